@@ -167,8 +167,6 @@ class Tables:
             frames["hits"] = self.hits
         for s in frames:
             text = text.replace(f"FROM {s}", f"FROM {{{s}}}").replace(f"JOIN {s}", f"JOIN {{{s}}}")
-        if name == "funnels":
-            text = text.replace("{", "{{").replace("}", "}}")
         return self.spark.sql(text, **frames)
 
     def __getattr__(self, name: str) -> DataFrame:
