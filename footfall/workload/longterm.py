@@ -134,10 +134,7 @@ def breakdown_merge(t):
     # A stored day without raw rows must survive; stored days with raw rows are replaced.
     new = cube(t, (datetime(2024, 1, 1), datetime(2024, 1, 31)))
     stale = new.withColumn("n", F.col("n") * 0 - 5)
-    gone = new.limit(1).select(
-        F.lit(1).cast("long").alias("site_id"), F.lit(date(2023, 12, 31)).alias("day"), F.lit("page").alias("dim"),
-        F.lit("/old").alias("key"), F.lit("").alias("currency"), F.lit(77).cast("long").alias("n"),
-        F.lit(None).cast("long").alias("visitors"), F.lit(None).cast("long").alias("revenue_cents"))
+    gone = t.spark.createDataFrame([(1, date(2023, 12, 31), "page", "/old", "", 77, None, None)], BREAKDOWNS)
     out = ru.merge_breakdowns(stale.unionByName(gone), new, ru.source_families(t.hits, t.bots))
     return out.groupBy("site_id", "day", "dim").agg(F.sum("n").alias("n")).withColumn("day", _day())
 
