@@ -82,8 +82,9 @@ def client_ip(forwarded: Column, peer: Column) -> Column:
     )
 
 
-def _hex4(group: Column) -> Column:
-    return F.lpad(group, 4, "0")
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once per row, however often body mentions it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def _v4_hex(v4: Column) -> Column:
@@ -91,31 +92,35 @@ def _v4_hex(v4: Column) -> Column:
     return F.lower(F.array_join(octets, ""))
 
 
-def ip_key(ip: Column) -> Column:
-    """32-digit hex key; null for text that is not an address."""
-    t = strip(ip)
-    bare = F.lower(F.regexp_replace(t, r"%[^%]+\z", ""))
-    tail = F.regexp_extract(bare, rf":({_V4})\z", 1)
-    groups_of_tail = F.concat(
-        F.substring(_v4_hex(tail), 1, 4), F.lit(":"), F.substring(_v4_hex(tail), 5, 4)
-    )
-    flat = F.when(tail != "", F.concat(F.regexp_replace(bare, rf"{_V4}\z", ""), groups_of_tail)).otherwise(bare)
-    halves = F.split(flat, "::", -1)
+def _groups_hex(text: Column) -> Column:
+    groups = F.filter(F.split(text, ":", -1), lambda g: g != "")
+    return F.array_join(F.transform(groups, lambda g: F.lpad(g, 4, "0")), "")
+
+
+def _v6_hex(text: Column) -> Column:
+    """Hex digits of lower-case IPv6 text without a zone, null for a malformed one."""
+    tail = F.regexp_extract(text, rf":({_V4})\z", 1)
+    flat = F.when(tail == "", text).otherwise(let(_v4_hex(tail), lambda h: F.concat(
+        F.regexp_replace(text, rf"{_V4}\z", ""), F.substring(h, 1, 4), F.lit(":"), F.substring(h, 5, 4))))
+
+    def short(t: Column) -> Column:
+        ends = F.array(
+            _groups_hex(F.substring_index(t, "::", 1)), _groups_hex(F.substring_index(t, "::", -1)))
+        return let(ends, lambda e: F.when(
+            F.length(e[0]) + F.length(e[1]) <= 28,
+            F.concat(e[0], F.repeat(F.lit("0"), F.lit(32) - F.length(e[0]) - F.length(e[1])), e[1])))
 
-    def groups(text: Column) -> Column:
-        return F.filter(F.split(text, ":", -1), lambda g: g != "")
+    return let(flat, lambda t: F.when(
+        t.rlike(r"\A[0-9a-f]{1,4}(?::[0-9a-f]{1,4}){7}\z"), _groups_hex(t)
+    ).when(
+        t.rlike(r"\A(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4})*)?::(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4})*)?\z"), short(t)))
 
-    left, right = groups(F.get(halves, F.lit(0))), groups(F.coalesce(F.get(halves, F.lit(1)), F.lit("")))
-    n = F.size(left) + F.size(right)
-    shaped = flat.rlike(
-        r"\A(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4})*)?::(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4})*)?\z"
-    ) & (n <= 7)
-    full = flat.rlike(r"\A[0-9a-f]{1,4}(?::[0-9a-f]{1,4}){7}\z")
-    zeros = F.array_repeat(F.lit("0"), F.greatest(F.lit(8) - n, F.lit(0)))
-    v6 = F.array_join(F.transform(F.concat(left, zeros, right), _hex4), "")
-    v4_ok = t.rlike(rf"\A{_V4}\z")
-    v6_ok = t.contains(":") & (shaped | full)
-    return F.when(v4_ok, F.concat(F.lit(_V4_PREFIX), _v4_hex(t))).when(v6_ok, v6)
+
+def ip_key(ip: Column) -> Column:
+    """32-digit hex key; null for text that is not an address."""
+    return let(strip(ip), lambda t: F.when(
+        t.rlike(rf"\A{_V4}\z"), F.concat(F.lit(_V4_PREFIX), _v4_hex(t))
+    ).when(t.contains(":"), _v6_hex(F.lower(F.regexp_replace(t, r"%[^%]+\z", "")))))
 
 
 def _bounds(block: str) -> tuple[str, str]:
@@ -132,13 +137,16 @@ def _in_blocks(key: Column, blocks: tuple[str, ...]) -> Column:
     return first_of([(key.between(*_bounds(b)), F.lit(True)) for b in blocks], F.lit(False))
 
 
+def is_private_key(key: Column) -> Column:
+    """is_private_ip for an address that already is a key."""
+    v4 = _in_blocks(key, NOT_GLOBAL_V4) & ~_in_blocks(key, GLOBAL_V4)
+    v6 = _in_blocks(key, NOT_GLOBAL_V6) & ~_in_blocks(key, GLOBAL_V6)
+    return F.coalesce(F.when(key.startswith(_V4_PREFIX), v4).when(key.isNotNull(), v6), F.lit(False))
+
+
 def is_private_ip(ip: Column) -> Column:
     """Not globally reachable. Text that is no address counts as not private."""
-    key = ip_key(ip)
-    hit = (_in_blocks(key, NOT_GLOBAL_V4) & ~_in_blocks(key, GLOBAL_V4)) | (
-        _in_blocks(key, NOT_GLOBAL_V6) & ~_in_blocks(key, GLOBAL_V6)
-    )
-    return F.coalesce(F.when(key.isNotNull(), hit), F.lit(False))
+    return let(ip_key(ip), is_private_key)
 
 
 def datacenter_name(asn: Column) -> Column:
@@ -180,14 +188,14 @@ def range_table(ranges: DataFrame, values: list[str]) -> DataFrame:
     return r.select(slot.alias("slot"), "first", "last", *values)
 
 
-def lookup_ranges(rows: DataFrame, ip: str, ranges: DataFrame, values: list[str]) -> DataFrame:
-    """Left join of each row's address with the one range that holds it.
+def lookup_ranges(rows: DataFrame, key: str, ranges: DataFrame, values: list[str]) -> DataFrame:
+    """Left join of each row's address key (see ip_key) with the one range that holds it.
 
     Two equi-joins on a prefix slot (fine, then the few very wide ranges). No join hint: the
     plan broadcasts the range table only when its measured size is under the session's limit,
     else it shuffles, and AQE splits a slot that many rows share."""
     table = range_table(ranges, values)
-    out = rows.withColumn("_key", ip_key(F.col(ip)))
+    out = rows.withColumn("_key", F.col(key))
     for i, width in enumerate((None, 4)):
         part = table.where(F.length("slot") == 4) if width else table.where(F.length("slot") > 4)
         part = part.select(
@@ -207,18 +215,18 @@ def lookup_ranges(rows: DataFrame, ip: str, ranges: DataFrame, values: list[str]
     return out.drop("_key")
 
 
-def with_datacenter(rows: DataFrame, ip: str, asn_ranges: DataFrame) -> DataFrame:
+def with_datacenter(rows: DataFrame, key: str, asn_ranges: DataFrame) -> DataFrame:
     """Adds dc_asn for addresses of listed hosting networks. Only listed networks are kept
     from the range table, before it is split into slots."""
     listed = asn_ranges.where(F.col("asn").isin(*DATACENTER_NAMES)).select(
         "start_ip", "end_ip", F.col("asn").alias("dc_asn")
     )
-    return lookup_ranges(rows, ip, listed, ["dc_asn"])
+    return lookup_ranges(rows, key, listed, ["dc_asn"])
 
 
-def with_geo(rows: DataFrame, ip: str, geo_ranges: DataFrame) -> DataFrame:
+def with_geo(rows: DataFrame, key: str, geo_ranges: DataFrame) -> DataFrame:
     """Adds country and first subdivision; nothing finer exists."""
-    return lookup_ranges(rows, ip, geo_ranges, ["country", "region"])
+    return lookup_ranges(rows, key, geo_ranges, ["country", "region"])
 
 
 # --- visitor hash ----------------------------------------------------------------------

@@ -301,8 +301,9 @@ def burst_backfill(
     flagged = find_bursts(landings(hits), rule, window)
     out = move_to_bots(hits, items, bots, flagged, rule)
     touched = cut_lineage(out.pop("touched"))
+    days = touched.select(F.col("site_id").alias("_site"), F.col("day").alias("_day"))
     redo = out["hits"].join(
-        touched, (out["hits"]["site_id"] == touched["site_id"]) & (F.to_date("ts") == touched["day"]), "left_semi")
+        days, (F.col("site_id") == F.col("_site")) & (F.to_date("ts") == F.col("_day")), "left_semi")
     out["rollups"] = merge_rollups(rollups, daily_rollup(redo, touched))
     out["report"] = burst_report(hits, flagged, rule)
     out["flagged"] = flagged

@@ -13,6 +13,7 @@ from footfall.functions.timewin import day_lit, day_of, day_text, micros, ntz, w
 from footfall.operators.frames import top_per, union_all, zero_fill
 from footfall.operators.metrics import PAGEVIEW_DIMS, dim_entries
 from footfall.operators.sessions import sessionize, visit_totals
+from footfall.session import cut_lineage
 from footfall.schema import BREAKDOWN_CAP, DEFAULT_CURRENCY, DIRECT, UNKNOWN
 
 HIT_DIMS = (*PAGEVIEW_DIMS, "campaign", "event", "ai", "ai_total")
@@ -291,11 +292,14 @@ def retention(
     sealed = merge_rollups(rollups, daily_rollup(hits, missing.select("site_id", "day"), old_window))
     have = breakdowns.select("site_id", "day").distinct()
     doomed = source_days(hits, bots, before=cut)
-    todo = doomed.join(have, ["site_id", "day"], "left_anti").unionByName(
-        missing.select("site_id", "day")).distinct()
+    # A small list of days that several branches below need: computed once.
+    todo = cut_lineage(doomed.join(have, ["site_id", "day"], "left_anti").unionByName(
+        missing.select("site_id", "day")).distinct())
     pairs = ["site_id", "day"]
     cube = breakdown_cube(
-        doomed_hits.join(todo, [F.to_date("ts") == todo["day"], doomed_hits["site_id"] == todo["site_id"]], "left_semi"),
+        doomed_hits.join(
+            todo.select(F.col("site_id").alias("_site"), F.col("day").alias("_day")),
+            (F.col("site_id") == F.col("_site")) & (F.to_date("ts") == F.col("_day")), "left_semi"),
         within(items, old_window), bots.join(todo, pairs, "left_semi"), sites, old_window)
     cube = cube.join(todo, pairs, "left_semi")
     sources = source_families(hits, bots, before=cut).join(todo, pairs, "left_semi")

@@ -66,12 +66,13 @@ def judge(beacons: DataFrame, dims: Dimensions, secret: str, count_private: bool
     b = b.join(s, (F.col("public_id") == F.col("_pid")) & (F.length("public_id") <= 64), "left").drop("_pid")
     b = b.withColumn("reject", F.coalesce(F.col("reject"), F.when(F.col("site_id").isNull(), "unknown_site")))
     ua = F.coalesce(F.col("user_agent"), F.lit(""))
-    b = b.withColumn("ip", network.client_ip(F.col("x_forwarded_for"), F.col("peer_ip")))
+    b = b.withColumn("ip", network.client_ip(F.col("x_forwarded_for"), F.col("peer_ip"))).withColumn(
+        "ip_key", network.ip_key(F.col("ip")))
     b = b.withColumn("ref_host", cleaning.referrer_host(cleaning.text_field(F.col("payload"), "$.r")))
     robot = agents.classify_hit(
         ua, F.col("signature_agent"), F.col("signature_input"), _webdriver(F.col("payload")), F.col("ref_host"))
     b = b.withColumn("robot", robot)
-    b = network.with_datacenter(b, "ip", dims.asn_ranges)
+    b = network.with_datacenter(b, "ip_key", dims.asn_ranges)
     b = with_daily_salt(b, dims.salts)
     b = b.withColumn("visitor_hash", network.visitor_hash(
         F.col("ip"), ua, F.col("site_id"), F.col("day_salt"), secret)).drop("day_salt")
@@ -80,7 +81,7 @@ def judge(beacons: DataFrame, dims: Dimensions, secret: str, count_private: bool
         b = b.join(f, ["site_id", "visitor_hash"], "left")
     else:
         b = b.withColumn("_burst", F.lit(None).cast("boolean"))
-    private = F.lit(False) if count_private else network.is_private_ip(F.col("ip"))
+    private = F.lit(False) if count_private else network.is_private_key(F.col("ip_key"))
     network_robot = F.struct(
         F.lit("datacenter").alias("bot_class"), network.datacenter_name(F.col("dc_asn")).alias("agent"))
     burst_robot = F.struct(F.lit("script").alias("bot_class"), F.lit("burst").alias("agent"))
@@ -128,7 +129,7 @@ def rate_limit(
 def clean(rows: DataFrame, dims: Dimensions) -> DataFrame:
     """Accepted beacons as hit columns plus `lines`, the product lines."""
     p = F.col("payload")
-    got = network.with_geo(rows, "ip", dims.geo_ranges)
+    got = network.with_geo(rows, "ip_key", dims.geo_ranges)
     ua = agents.parse_ua(F.coalesce(F.col("user_agent"), F.lit("")))
     raw = lambda k: F.try_variant_get(p, f"$.{k}", "variant")
     text = lambda k: cleaning.text_field(p, f"$.{k}")

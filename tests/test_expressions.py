@@ -210,7 +210,8 @@ def test_range_lookup(spark):
         ("2001:db8::", "2001:db8:0:ffff::", "D")], "start_ip string, end_ip string, name string")
     ips = ["10.0.0.0", "10.77.1.2", "11.0.0.255", "11.0.1.0", "2a05::9", "2001:db8::5", "2001:db9::", "x"]
     rows = spark.createDataFrame([(i, ip) for i, ip in enumerate(ips)], "i int, ip string")
-    got = [r.name for r in network.lookup_ranges(rows, "ip", ranges, ["name"]).orderBy("i").collect()]
+    rows = rows.withColumn("key", network.ip_key(F.col("ip")))
+    got = [r.name for r in network.lookup_ranges(rows, "key", ranges, ["name"]).orderBy("i").collect()]
     assert got == ["A", "A", "B", None, "C", "D", None, None]
 
 
