@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Classes of non-human traffic and their labels.
@@ -160,6 +160,11 @@ PRESTO_MODERN = (
 )
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once per row, however often body mentions it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def first_of(pairs: list[tuple[Column, object]], default: object = None) -> Column:
     """CASE over (condition, value) pairs; the first true condition wins."""
     head, *rest = pairs
@@ -171,10 +176,16 @@ def _blank(ua: Column) -> Column:
     return ua.isNull() | ~ua.rlike(r"(?U)[^\s]")
 
 
+def _word_in(low: Column) -> Column:
+    """First robot word of a lower-cased user agent, else null. The cheap containment tests
+    spare people the regular expression."""
+    any_word = reduce(lambda x, y: x | y, [low.contains(w) for w in BOT_WORDS.split("|")])
+    return F.when(any_word, F.regexp_extract(low, f"({BOT_WORDS})", 1))
+
+
 def bot_match(ua: Column) -> Column:
     """'empty' for a blank user agent, else the robot word found, else null."""
-    word = F.lower(F.regexp_extract(ua, f"(?i)({BOT_WORDS})", 1))
-    return F.when(_blank(ua), "empty").when(word != "", word)
+    return F.when(_blank(ua), "empty").otherwise(_word_in(F.lower(ua)))
 
 
 def parse_ua(ua: Column) -> Column:
@@ -217,22 +228,32 @@ def _verdict(cls: Column, agent: Column) -> Column:
     return F.struct(cls.alias("bot_class"), agent.alias("agent"))
 
 
-def classify_ua(ua: Column) -> Column:
-    """struct<bot_class, agent> for a user agent that is not a person, else null."""
-    u = F.lower(ua)
-    known = first_of([
-        (u.contains(token), _verdict(F.lit(cls), F.lit(name))) for token, name, cls in KNOWN_AGENTS
-    ])
-    word = bot_match(ua)
+def _known_no(low: Column) -> Column:
+    """Position of the first known agent a lower-cased user agent names, else null."""
+    return first_of([(low.contains(token), F.lit(i)) for i, (token, _, _) in enumerate(KNOWN_AGENTS)])
+
+
+def _pick(field: int, no: Column) -> Column:
+    return F.get(F.array(*[F.lit(a[field]) for a in KNOWN_AGENTS]), no)
+
+
+def _by_ua(blank: Column, known: Column, word: Column, ua: Column) -> Column:
     word_class = first_of([(word == w, F.lit(c)) for w, c in WORD_CLASS.items()], F.lit("other"))
-    return F.coalesce(
-        F.when(_blank(ua), _verdict(F.lit("script"), F.lit("empty"))),
-        known,
-        F.when(word.isNotNull(), _verdict(word_class, word)),
-        F.when(impossible_ua(ua).isNotNull(), _verdict(F.lit("script"), F.lit("fake-ua"))),
+    return (
+        F.when(blank, _verdict(F.lit("script"), F.lit("empty")))
+        .when(known.isNotNull(), _verdict(_pick(2, known), _pick(1, known)))
+        .when(word.isNotNull(), _verdict(word_class, word))
+        .when(impossible_ua(ua).isNotNull(), _verdict(F.lit("script"), F.lit("fake-ua")))
     )
 
 
+def classify_ua(ua: Column) -> Column:
+    """struct<bot_class, agent> for a user agent that is not a person, else null."""
+    return let(F.lower(ua), lambda low: let(
+        F.struct(_known_no(low).alias("known"), _word_in(low).alias("word")),
+        lambda f: _by_ua(_blank(ua), f["known"], f["word"], ua)))
+
+
 def is_named_agent(agent: Column) -> Column:
     return agent.isin(*sorted({name for _, name, _ in KNOWN_AGENTS}))
 
@@ -248,17 +269,21 @@ def signed_agent(signature_agent: Column, signature_input: Column) -> Column:
     return F.when((sig != "") | declared, name)
 
 
-def classify_hit(
-    ua: Column, signature_agent: Column, signature_input: Column, webdriver: Column, ref_host: Column
-) -> Column:
-    """struct<bot_class, agent> or null for a person. Named robot, then signature, then the
-    webdriver flag, then a bare robot word or impossible user agent, then a fake referrer."""
-    by_ua = classify_ua(ua)
-    signed = signed_agent(signature_agent, signature_input)
-    return F.coalesce(
-        F.when(is_named_agent(by_ua["agent"]), by_ua),
-        F.when(signed.isNotNull(), _verdict(F.lit("agent"), signed)),
-        F.when(webdriver, _verdict(F.lit("agent"), F.lit("webdriver"))),
-        by_ua,
-        F.when(spoofed_referrer(ref_host), _verdict(F.lit("script"), F.lit("fake-referrer"))),
+def with_robot(
+    hits: DataFrame, ua: str, signature_agent: str, signature_input: str, webdriver: str, ref_host: str
+) -> DataFrame:
+    """Adds `robot`, struct<bot_class, agent> or null for a person. Named robot, then
+    signature, then the webdriver flag, then a bare robot word or impossible user agent, then
+    a fake referrer. The steps are columns of their own, so each is computed once per row."""
+    h = hits.withColumn("_ua", F.coalesce(F.col(ua), F.lit(""))).withColumn("_low", F.lower("_ua"))
+    h = h.withColumn("_known", _known_no(F.col("_low"))).withColumn("_word", _word_in(F.col("_low")))
+    h = h.withColumn("_by_ua", _by_ua(_blank(F.col("_ua")), F.col("_known"), F.col("_word"), F.col("_ua")))
+    h = h.withColumn("_signed", signed_agent(F.col(signature_agent), F.col(signature_input)))
+    robot = (
+        F.when(is_named_agent(F.col("_by_ua.agent")), F.col("_by_ua"))
+        .when(F.col("_signed").isNotNull(), _verdict(F.lit("agent"), F.col("_signed")))
+        .when(F.col(webdriver), _verdict(F.lit("agent"), F.lit("webdriver")))
+        .when(F.col("_by_ua").isNotNull(), F.col("_by_ua"))
+        .when(spoofed_referrer(F.col(ref_host)), _verdict(F.lit("script"), F.lit("fake-referrer")))
     )
+    return h.withColumn("robot", robot).drop("_ua", "_low", "_known", "_word", "_by_ua", "_signed")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from footfall.functions.agents import first_of
+from footfall.functions.agents import first_of, let
 from footfall.functions.cleaning import strip
 
 _V4_PREFIX = "0" * 20 + "ffff"
@@ -82,11 +82,6 @@ def client_ip(forwarded: Column, peer: Column) -> Column:
     )
 
 
-def let(value: Column, body) -> Column:
-    """body(value) with the value computed once per row, however often body mentions it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _v4_hex(v4: Column) -> Column:
     octets = F.transform(F.split(v4, r"\."), lambda o: F.lpad(F.hex(o.cast("long")), 2, "0"))
     return F.lower(F.array_join(octets, ""))

@@ -189,6 +189,7 @@ def _run_part(rule: BurstRule, horizon):
         end = (int(s["part"]) + 1) * rule.part_us
         all_us, all_id = f_us + got["us"].tolist(), f_id + got["id"].tolist()
         keep = [(u, i) for u, i in zip(all_us, all_id) if u >= end - rule.part_us]
+        last_on = active_out
         active_out = active_out if active_out >= end else 0
         k_us, k_id = [u for u, _ in keep], [i for _, i in keep]
         site, country, part = int(s["site_id"]), s["country"], int(s["part"])
@@ -196,7 +197,7 @@ def _run_part(rule: BurstRule, horizon):
             ("flag", site, country, part, int(r.us), int(r.id), r.visitor_hash, r.path, 0, [], [], "")
             for r in got.itertuples()
         ]
-        recs.append(("run", site, country, part, 0, 0, "", "", 0, [], [], s["digest"]))
+        recs.append(("run", site, country, part, 0, 0, "", "", last_on, [], [], s["digest"]))
         recs.append(("next", site, country, part + 1, 0, 0, "", "", active_out, k_us, k_id,
                      _digest(active_out, k_us, k_id)))
         return pd.DataFrame(recs, columns=[c.split()[0] for c in _OUT.split(", ")])
@@ -205,21 +206,36 @@ def _run_part(rule: BurstRule, horizon):
 
 
 def find_bursts(
-    found: DataFrame, rule: BurstRule = RULE, window=None, horizon: int | None = None, max_rounds: int = 100_000
+    found: DataFrame, rule: BurstRule = RULE, window=None, horizon: int | None = None
 ) -> DataFrame:
     """(site_id, country, visitor_hash, us, id, path) of the landings that belong to a burst.
 
     `window` limits which landings are judged (the baseline always counts all of them);
     `horizon` (microseconds) leaves later landings as look-ahead only."""
+    return burst_pass(found, rule, window, horizon)[0]
+
+
+def burst_pass(
+    found: DataFrame, rule: BurstRule = RULE, window=None, horizon: int | None = None, carry: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """find_bursts and the bursts still on: (flagged landings, (site_id, country, active)).
+    `carry` is the second result of an earlier pass; it needs `window`, where it takes effect."""
     spark = found.sparkSession
     feats = cut_lineage(_features(found, rule, window))
     none = F.array().cast("array<long>")
     pending = feats.where("trigger").select(*KEY).distinct().select(
         *KEY, F.lit(0).cast("long").alias("active"), none.alias("flag_us"), none.alias("flag_id"),
         F.lit("").alias("digest"))
+    if carry is not None:
+        start = int((window[0] - _EPOCH).total_seconds() * S)
+        on = carry.where(F.col("active") >= start).select(
+            "site_id", "country", F.lit(start // rule.part_us).alias("part"), F.col("active").alias("_on"))
+        pending = pending.join(on, KEY, "full_outer").select(
+            *KEY, F.coalesce("_on", "active").alias("active"), none.alias("flag_us"), none.alias("flag_id"),
+            F.when(F.col("_on").isNotNull(), "carried").otherwise("").alias("digest"))
     rounds: list[DataFrame] = []
     last_in = None
-    for no in range(max_rounds):
+    while True:
         pending = cut_lineage(pending)
         if pending.isEmpty():
             break
@@ -228,7 +244,7 @@ def find_bursts(
         state = pending.select(*[F.col(c).alias(c) for c in pending.columns])
         out = cut_lineage(rows.groupBy(*KEY).cogroup(state.groupBy(*KEY)).applyInPandas(
             _run_part(rule, horizon), _OUT))
-        rounds.append(out.withColumn("round", F.lit(no)))
+        rounds.append(out.withColumn("round", F.lit(len(rounds))))
         ran = out.where("kind = 'run'").select(*KEY, F.col("digest").alias("used"))
         # The state each part last ran with; a part that never ran counts as run with none.
         last_in = ran if last_in is None else ran.unionByName(last_in.join(ran, KEY, "left_anti"))
@@ -238,11 +254,14 @@ def find_bursts(
         ).select(*KEY, "active", "flag_us", "flag_id", "digest")
     cols = ["site_id", "country", "visitor_hash", "us", "id", "path"]
     if not rounds:
-        return spark.createDataFrame(
-            [], "site_id long, country string, visitor_hash string, us long, id long, path string")
+        return (
+            spark.createDataFrame([], "site_id long, country string, visitor_hash string, us long, id long, path string"),
+            spark.createDataFrame([], "site_id long, country string, active long"))
     everything = union_all(rounds)
     latest = everything.where("kind = 'run'").groupBy(*KEY).agg(F.max("round").alias("round"))
-    return everything.where("kind = 'flag'").join(latest, KEY + ["round"], "left_semi").select(*cols)
+    final = everything.join(latest, KEY + ["round"], "left_semi")
+    still = final.where("kind = 'run' AND active > 0").groupBy("site_id", "country").agg(F.max("active").alias("active"))
+    return final.where("kind = 'flag'").select(*cols), still
 
 
 def burst_spans(flagged: DataFrame, rule: BurstRule = RULE) -> DataFrame:

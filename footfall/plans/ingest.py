@@ -33,6 +33,11 @@ class Ingested:
     bot_counts: DataFrame
     drops: DataFrame
     rejects: DataFrame
+    judged: DataFrame
+
+    def release(self) -> None:
+        """Call when the outputs are written."""
+        self.judged.unpersist()
 
 
 def with_daily_salt(df: DataFrame, salts: DataFrame, ts: str = "received_at") -> DataFrame:
@@ -69,9 +74,8 @@ def judge(beacons: DataFrame, dims: Dimensions, secret: str, count_private: bool
     b = b.withColumn("ip", network.client_ip(F.col("x_forwarded_for"), F.col("peer_ip"))).withColumn(
         "ip_key", network.ip_key(F.col("ip")))
     b = b.withColumn("ref_host", cleaning.referrer_host(cleaning.text_field(F.col("payload"), "$.r")))
-    robot = agents.classify_hit(
-        ua, F.col("signature_agent"), F.col("signature_input"), _webdriver(F.col("payload")), F.col("ref_host"))
-    b = b.withColumn("robot", robot)
+    b = b.withColumn("wd", _webdriver(F.col("payload")))
+    b = agents.with_robot(b, "user_agent", "signature_agent", "signature_input", "wd", "ref_host")
     b = network.with_datacenter(b, "ip_key", dims.asn_ranges)
     b = with_daily_salt(b, dims.salts)
     b = b.withColumn("visitor_hash", network.visitor_hash(
@@ -110,19 +114,38 @@ def _webdriver(payload: Column) -> Column:
     return F.coalesce(yes, F.lit(False))
 
 
+def minute_of(ts: str = "received_at") -> Column:
+    return F.floor(micros(ts) / 60_000_000)
+
+
+def minute_counts(rows: DataFrame, ts: str = "received_at") -> DataFrame:
+    """(site_id, visitor_hash, minute, n)."""
+    return rows.groupBy("site_id", "visitor_hash", minute_of(ts).alias("minute")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def rate_limit(
-    rows: DataFrame, per_minute: int = EVENTS_PER_MINUTE, ts: str = "received_at", order: str = "beacon_id"
+    rows: DataFrame, per_minute: int = EVENTS_PER_MINUTE, ts: str = "received_at", order: str = "beacon_id",
+    used: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """(first `per_minute` rows of each visitor minute, (site_id, n) dropped).
+    """(first `per_minute` rows of each visitor minute, (site_id, n) dropped). `used` holds
+    (visitor_hash, minute, used) of rows seen before this batch.
 
     The rank is cut per task before the shuffle, so a looping script sends at most
     `per_minute` rows per task; what was dropped is the difference of two counts."""
-    m = rows.withColumn("minute", F.floor(micros(ts) / 60_000_000))
+    m = rows.withColumn("minute", minute_of(ts))
     w = Window.partitionBy("visitor_hash", "minute").orderBy(ts, order)
-    kept = m.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= per_minute).drop("_n", "minute")
-    over = m.groupBy("site_id", "visitor_hash", "minute").agg(F.count(F.lit(1)).alias("n"))
-    dropped = over.where(F.col("n") > per_minute).groupBy("site_id").agg(
-        F.sum(F.col("n") - per_minute).alias("n"))
+    kept = m.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= per_minute)
+    seen = minute_counts(rows, ts)
+    before = F.lit(0)
+    if used is not None:
+        u = used.select("visitor_hash", "minute", "used")
+        kept = kept.join(u, ["visitor_hash", "minute"], "left")
+        seen = seen.join(u, ["visitor_hash", "minute"], "left")
+        before = F.coalesce("used", F.lit(0))
+    kept = kept.where(F.col("_n") + before <= per_minute).drop("_n", "minute", "used")
+    room = F.greatest(F.lit(per_minute) - before, F.lit(0))
+    dropped = seen.withColumn("_over", F.col("n") - room).where("_over > 0").groupBy("site_id").agg(
+        F.sum("_over").alias("n"))
     return kept, dropped
 
 
@@ -183,10 +206,18 @@ def robot_counts(judged: DataFrame) -> DataFrame:
     return tidy_counts(rows)
 
 
-def ingest(beacons: DataFrame, dims: Dimensions, secret: str, count_private: bool = False) -> Ingested:
-    """The whole write path over a batch of beacons (or one micro-batch)."""
-    judged = judge(beacons, dims, secret, count_private)
-    kept, over = rate_limit(judged.where("reason IS NULL"))
+def ingest(
+    beacons: DataFrame, dims: Dimensions, secret: str, count_private: bool = False, used: DataFrame | None = None
+) -> Ingested:
+    """The whole write path over a batch of beacons (or one micro-batch). `used` carries the
+    visitor minutes of earlier micro-batches."""
+    # Five outputs read the verdicts, and a filter on a verdict would be pushed down as its
+    # whole expression: the batch is judged once and kept (memory, then local disk; a lost
+    # part is judged again).
+    judged = judge(beacons, dims, secret, count_private).select(
+        "beacon_id", "received_at", "site_id", "visitor_hash", "payload", "user_agent", "ip_key", "ref_host",
+        "reject", "reason", "robot").persist()
+    kept, over = rate_limit(judged.where("reason IS NULL"), used=used)
     hits, items = split_lines(clean(kept, dims))
     rejects = judged.where("reject IS NOT NULL").groupBy("reject").agg(F.count(F.lit(1)).alias("n"))
-    return Ingested(hits, items, robot_counts(judged), drop_counts(judged, over), rejects)
+    return Ingested(hits, items, robot_counts(judged), drop_counts(judged, over), rejects, judged)
