@@ -233,15 +233,21 @@ def burst_pass(
         pending = pending.join(on, KEY, "full_outer").select(
             *KEY, F.coalesce("_on", "active").alias("active"), none.alias("flag_us"), none.alias("flag_id"),
             F.when(F.col("_on").isNotNull(), "carried").otherwise("").alias("digest"))
+    # A part without candidates flags nothing, and no state outlives it.
+    judged = feats.where("own").select(*KEY).distinct()
+    pending = pending.join(judged, KEY, "left_semi")
     rounds: list[DataFrame] = []
     last_in = None
     while True:
         pending = cut_lineage(pending)
         if pending.isEmpty():
             break
-        rows = feats.join(pending.select(*KEY), KEY, "left_semi")
+        # A fixed number of tasks: the groups are small in bytes but not in work, so they must
+        # not be coalesced by size.
+        tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        rows = feats.join(pending.select(*KEY), KEY, "left_semi").repartition(tasks, *KEY)
         # Fresh column identities: both sides stem from the same feature table.
-        state = pending.select(*[F.col(c).alias(c) for c in pending.columns])
+        state = pending.select(*[F.col(c).alias(c) for c in pending.columns]).repartition(tasks, *KEY)
         out = cut_lineage(rows.groupBy(*KEY).cogroup(state.groupBy(*KEY)).applyInPandas(
             _run_part(rule, horizon), _OUT))
         rounds.append(out.withColumn("round", F.lit(len(rounds))))
@@ -251,7 +257,7 @@ def burst_pass(
         last_in = cut_lineage(last_in)
         pending = out.where("kind = 'next'").join(last_in, KEY, "left").where(
             F.col("digest") != F.coalesce("used", F.lit(""))
-        ).select(*KEY, "active", "flag_us", "flag_id", "digest")
+        ).select(*KEY, "active", "flag_us", "flag_id", "digest").join(judged, KEY, "left_semi")
     cols = ["site_id", "country", "visitor_hash", "us", "id", "path"]
     if not rounds:
         return (

@@ -152,9 +152,15 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = use_utc(spark)
         self.dir = sf_dir
+        self._made: dict[str, DataFrame] = {}
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        return self._once(f"{name}.parquet", lambda: self.spark.read.parquet(f"{self.dir}/{name}.parquet"))
+
+    def _once(self, key: str, make) -> DataFrame:
+        if key not in self._made:
+            self._made[key] = make()
+        return self._made[key]
 
     def view(self, name: str) -> DataFrame:
         text = _TEMPLATES[name].format(**_SPARK)
@@ -171,5 +177,5 @@ class Tables:
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in _TEMPLATES:
-            return self.view(name)
+            return self._once(name, lambda: self.view(name))
         raise AttributeError(name)
