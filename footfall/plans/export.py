@@ -56,8 +56,9 @@ BREAKDOWN_FILES = {
 }
 
 
-def _renamed(df: DataFrame, names: dict[str, str]) -> DataFrame:
-    return df.select("site_id", *[F.col(a).alias(b) for a, b in names.items()])
+def _renamed(df: DataFrame, names: dict[str, str], key: str = "site_id") -> DataFrame:
+    """`key` and the named columns under their export names; optional ones may be absent."""
+    return df.select(key, *[F.col(a).alias(b) for a, b in names.items() if a in df.columns])
 
 
 def breakdown_files(hits: DataFrame, sites: DataFrame) -> dict[str, DataFrame]:
@@ -128,9 +129,10 @@ def site_export(t: SiteTables) -> dict[str, DataFrame]:
     ends = entry_exit(t.hits, None, limit=None)
     page_of = {"inngangssider": "entry", "utgangssider": "exit"}
     out = {
-        "nettsted": t.sites.select(
-            F.col("id").alias("site_id"), F.col("domain").alias("domene"), F.col("public_id").alias("nettsted_id"),
-            (F.col("public_dash") == 1).alias("offentlig_dashboard")),
+        "nettsted": _renamed(
+            t.sites.withColumn("site_id", F.col("id")).withColumn("public_dash", F.col("public_dash") == 1), {
+                "domain": "domene", "public_id": "nettsted_id", "created_at": "opprettet",
+                "public_dash": "offentlig_dashboard"}),
         "tidsserie": daily_series(t.hits),
         "daglige_tall": _renamed(t.rollups.withColumn("day", day_text("day")), {
             "day": "dag", "pageviews": "sidevisninger", "visitors": "unike_besoekende", "sessions": "okter",
@@ -146,7 +148,7 @@ def site_export(t: SiteTables) -> dict[str, DataFrame]:
         "egendefinerte_hendelser": _renamed(metrics.top_events(t.hits, None, None), {
             "event": "hendelse", "n": "antall", "visitors": "unike_besoekende"}),
         "maal": _renamed(metrics.goal_stats(t.hits, t.goals), {
-            "name": "maal", "match_type": "type", "match_value": "verdi",
+            "name": "maal", "match_type": "type", "match_value": "verdi", "created_at": "opprettet",
             "completions": "unike_fullforinger", "rate": "konverteringsrate_prosent"}),
         "trakter": _renamed(funnel(t.hits, t.funnels, None, digits=1), {
             "funnel": "trakt", "step": "steg", "type": "type", "value": "verdi", "visitors": "besoekende",
@@ -181,18 +183,23 @@ def folder_names(sites: DataFrame) -> DataFrame:
     w = Window.partitionBy("tenant_id", F.lower("base")).orderBy("domain", "id")
     s = sites.withColumn("base", base).withColumn("no", F.row_number().over(w))
     name = F.when(F.col("no") > 1, F.concat("base", F.lit("-"), F.col("no").cast("string"))).otherwise(F.col("base"))
-    return s.select(F.col("id").alias("site_id"), "tenant_id", name.alias("folder"))
+    s = s.select(F.col("id").alias("site_id"), "tenant_id", "no", name.alias("folder"), F.lower(name).alias("_name"))
+    # A made-up name can meet the plain name of another site; that one then takes its id too.
+    plain = s.where("no = 1").select("tenant_id", "_name", F.lit(True).alias("_taken"))
+    s = s.join(plain, ["tenant_id", "_name"], "left")
+    clash = (F.col("no") > 1) & F.col("_taken")
+    folder = F.when(clash, F.concat("folder", F.lit("-"), F.col("site_id").cast("string"))).otherwise(F.col("folder"))
+    return s.select("site_id", "tenant_id", folder.alias("folder"))
 
 
 def account_tables(tenants: DataFrame, users: DataFrame) -> dict[str, DataFrame]:
     return {
-        "konto": tenants.select(
-            F.col("id").alias("tenant_id"), F.col("name").alias("firmanavn"), "plan",
-            F.col("trial_ends_at").alias("proveperiode_slutt"), F.col("cancelled_at").alias("avsluttet"),
-            F.col("created_at").alias("opprettet")),
-        "brukere": users.select(
-            "tenant_id", F.col("email").alias("epost"), (F.col("email_verified") == 1).alias("bekreftet"),
-            F.col("created_at").alias("opprettet")),
+        "konto": _renamed(tenants.withColumn("tenant_id", F.col("id")), {
+            "name": "firmanavn", "plan": "plan", "trial_ends_at": "proveperiode_slutt",
+            "plan_ends_at": "abonnement_gjelder_til", "cancelled_at": "avsluttet", "created_at": "opprettet"},
+            "tenant_id"),
+        "brukere": _renamed(users.withColumn("email_verified", F.col("email_verified") == 1), {
+            "email": "epost", "email_verified": "bekreftet", "created_at": "opprettet"}, "tenant_id"),
     }
 
 

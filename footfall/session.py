@@ -7,10 +7,13 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
-def use_utc(spark: SparkSession) -> SparkSession:
-    """All stored timestamps are UTC without zone; casts must not move them."""
-    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
+def prepare(spark: SparkSession) -> SparkSession:
+    """Run-time settings the operators count on, for a session made elsewhere."""
+    # All stored timestamps are UTC without zone; casts must not move them.
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    # Generated methods above this size are not compiled by the JVM; wide projections
+    # (classification) run faster as several smaller ones.
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     return spark
 
 
@@ -37,7 +40,7 @@ def build_session(
         b = b.master(master).config("spark.driver.memory", "8g")
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    return b.getOrCreate()
+    return prepare(b.getOrCreate())
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

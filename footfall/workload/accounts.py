@@ -190,7 +190,7 @@ def dormant(t):
 @query("to_warn", ctes("tenants", "users", extra=_FIRST + "," + _ENDED) + f"""
 SELECT en.tenant_id, name, email, category, strftime(ended_at, '%Y-%m-%d %H:%M:%S') AS ended_at,
   strftime({_DELETE_ON.format(told=_LATE)}, '%Y-%m-%d %H:%M:%S') AS delete_on
-FROM en JOIN fu ON fu.tenant_id = en.tenant_id WHERE warned_at IS NULL AND ended_at < {_LATE} - INTERVAL 70 DAY""")
+FROM en JOIN fu ON fu.tenant_id = en.tenant_id WHERE email <> '' AND warned_at IS NULL AND ended_at < {_LATE} - INTERVAL 70 DAY""")
 def to_warn(t):
     return ac.to_warn(t.tenants, t.users, LATE).withColumn("ended_at", _ts("ended_at")).withColumn(
         "delete_on", _ts("delete_on"))
@@ -199,7 +199,7 @@ def to_warn(t):
 _HELD = f"""
 held AS (SELECT due.tenant_id, category FROM due JOIN fu ON fu.tenant_id = due.tenant_id,
   LATERAL (SELECT CASE WHEN category = 'trial_expired' THEN trial_ends_at ELSE cancelled_at END AS e) x
-  WHERE category IN ('trial_expired', 'cancelled') AND NOT {_LATE} >= e + INTERVAL 89 DAY
+  WHERE fu.email <> '' AND category IN ('trial_expired', 'cancelled') AND NOT {_LATE} >= e + INTERVAL 89 DAY
   AND NOT coalesce(deletion_warned_at >= e AND {_LATE} >= deletion_warned_at + INTERVAL 7 DAY, FALSE))"""
 
 
@@ -269,7 +269,7 @@ def purge_enforced(t):
 SELECT 'tenants' AS "table", count(*) AS deleted FROM gone
 UNION ALL SELECT 'sites', count(*) FROM gone
 UNION ALL SELECT 'users', count(*) FROM users WHERE tenant_id IN (SELECT tenant_id FROM gone)
-UNION ALL SELECT 'reset_tokens', count(*) FROM users WHERE tenant_id IN (SELECT tenant_id FROM gone)
+UNION ALL SELECT 'reset_tokens', count(*) FROM users WHERE email IN (SELECT email FROM users WHERE tenant_id IN (SELECT tenant_id FROM gone))
 UNION ALL SELECT 'invites', count(*) FROM users WHERE tenant_id IN (SELECT tenant_id FROM gone)
 UNION ALL SELECT 'events', 0 UNION ALL SELECT 'daily_rollups', 0
 UNION ALL SELECT 'goals', count(*) FROM hits WHERE 1 + id % {_MANYID} IN (SELECT tenant_id FROM gone)""")

@@ -293,7 +293,7 @@ SELECT t.id AS tenant_id, t.plan, CAST({_LIMIT} AS BIGINT) AS page_limit, u.emai
 JOIN (SELECT tenant_id, arg_min(email, id) AS email FROM users GROUP BY 1) u ON u.tenant_id = t.id
 JOIN x ON x.tenant_id = t.id
 WHERE t.email_optout = 0 AND (t.overage_notified_month IS NULL OR t.overage_notified_month <> '2024-01')
-  AND x.pageviews > {_LIMIT} AND {_LIMIT} > 0 AND t.plan <> 'cancelled'""")
+  AND x.pageviews > {_LIMIT} AND {_LIMIT} > 0 AND t.plan <> 'cancelled' AND u.email <> ''""")
 def overage(t):
     # Every order line is one page view of this month: enough traffic to pass a small plan.
     hits = t.raw("lineitem").selectExpr(
@@ -307,7 +307,7 @@ def overage(t):
   FROM many m LEFT JOIN mh h ON h.site_id = m.id AND h.name = 'pageview' AND h.ts >= TIMESTAMP '2024-01-01' GROUP BY ALL)
 SELECT t.id AS tenant_id, u.email, p.site_id, p.domain, p.pageviews, p.visitors
 FROM tenants t JOIN users u ON u.tenant_id = t.id JOIN per p ON p.tenant_id = t.id
-WHERE t.email_optout = 0 AND p.pageviews > 0""")
+WHERE t.email_optout = 0 AND p.pageviews > 0 AND u.email <> ''""")
 def weekly_report(t):
     hits, sites = many_sites(t)
     return m.weekly_report(hits, sites, t.tenants, t.users, AS_OF, days=30)

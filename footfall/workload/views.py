@@ -11,7 +11,7 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 
-from footfall.session import use_utc
+from footfall.session import prepare
 
 AS_OF = datetime(2024, 1, 30, 23, 59, 59)
 
@@ -109,9 +109,9 @@ FROM customer"""
 
 _USERS = """
 SELECT c_custkey * 2 + 1 AS id, c_custkey + 1 AS tenant_id,
-  concat(lower(c_name), '@example.com') AS email, CASE WHEN c_custkey % 3 = 0 THEN 0 ELSE 1 END AS email_verified,
+  CASE WHEN c_custkey % 11 = 0 THEN '' ELSE concat(lower(c_name), '@example.com') END AS email, CASE WHEN c_custkey % 3 = 0 THEN 0 ELSE 1 END AS email_verified,
   {TS0} + ({DAYS}) - INTERVAL 30 DAY AS created_at
-FROM customer WHERE c_custkey % 11 <> 0"""
+FROM customer"""
 
 _TEMPLATES = {
     "hits": _HITS, "sites": _SITES, "items": _ITEMS, "goals": _GOALS, "funnels": _FUNNELS,
@@ -150,7 +150,7 @@ class Tables:
     """Driver tables of one directory and the views over them, built on demand."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark = use_utc(spark)
+        self.spark = prepare(spark)
         self.dir = sf_dir
         self._made: dict[str, DataFrame] = {}
 
