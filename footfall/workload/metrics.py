@@ -267,9 +267,8 @@ def many_sites(t):
     c = t.raw("customer")
     sites = c.selectExpr("c_custkey + 1 AS id", "c_custkey + 1 AS tenant_id",
                          "concat('s', CAST(c_custkey + 1 AS STRING), '.example') AS domain")
-    n = t.spark.sql("SELECT count(*) AS n FROM {c}", c=c)
-    hits = t.hits.join(F.broadcast(n)).withColumn("site_id", 1 + F.col("id") % F.col("n")).drop("n")
-    return hits, sites
+    hits = t.spark.sql("SELECT *, (SELECT count(*) FROM {c}) AS n FROM {h}", c=c, h=t.hits)
+    return hits.withColumn("site_id", 1 + F.col("id") % F.col("n")).drop("n"), sites
 
 
 _LIMIT = """CASE plan WHEN 'trial' THEN 100000 WHEN 'liten' THEN 10000 WHEN 'vekst' THEN 100000
