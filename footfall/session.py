@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,6 +32,7 @@ def build_session(
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.sources.partitionOverwriteMode", "dynamic")
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         # Plans here are large; recording a call site per column doubles the time to build one.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
@@ -43,11 +45,33 @@ def build_session(
     return prepare(b.getOrCreate())
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """Folder that the driver and all executors see: what the session names in
+    spark.checkpoint.dir. Only a session on one machine may go without; it gets a temporary
+    folder. On a cluster a missing setting is an error, since executors do not share disks."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="footfall-shared-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named.rstrip("/")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the session names in spark.checkpoint.dir. Only
-    a session without one (tests on one machine) gets a folder of its own."""
+    """Reliable checkpoint in the shared folder of the session."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="footfall-ckpt-"))
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, name: str = "part") -> DataFrame:
+    """Writes `df` once to a table of its own in the shared folder and reads it back: a cut of
+    the lineage that is columnar, keeps its measured size for the planner, and survives lost
+    executors. The caller's cluster empties the shared folder as it does checkpoints."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from footfall.workload import catalog
 from tests_support import compare, duck
 
 SF = "/root/testdata/sf0.001"
@@ -13,9 +14,9 @@ def con():
     return duck(SF)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query(spark, con, name):
-    err, _, df = compare(spark, con, name, entry.queries()[name], entry.oracle_sql().get(name), SF)
+    err, _, df = compare(spark, con, name, catalog.QUERIES[name], catalog.ORACLES.get(name), SF)
     assert err is None
     spark.catalog.clearCache()
 
