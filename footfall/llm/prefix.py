@@ -1,0 +1,25 @@
+"""Running totals over a whole ordered table."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from footfall.session import stored
+
+
+def running_totals(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """`df` with, for each name of `sums`, the total of that expression over all rows before
+    this one in `order`. Two levels: totals inside range partitions, then over the list of
+    partitions (as many rows as there are partitions), so no task sees the whole table. The
+    partition numbers are written down once: a second sampling of ranges could differ."""
+    dealt = stored(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
+    before = Window.unboundedPreceding
+    parts = dealt.groupBy("_part").agg(*[F.sum(e).alias(f"_t_{n}") for n, e in sums.items()])
+    w = Window.orderBy("_part").rowsBetween(before, -1)
+    parts = parts.select("_part", *[F.coalesce(F.sum(f"_t_{n}").over(w), F.lit(0)).alias(f"_b_{n}") for n in sums])
+    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(before, -1)
+    out = dealt.join(parts, "_part")
+    for n, e in sums.items():
+        out = out.withColumn(n, F.col(f"_b_{n}") + F.coalesce(F.sum(e).over(inside), F.lit(0)))
+    return out.drop("_part", *[f"_b_{n}" for n in sums])
