@@ -1,4 +1,4 @@
 """Imports every operator module that registers a query."""
 
-from footfall.llm import chat, mixing  # noqa: F401
+from footfall.llm import chat, linededup, mixing, simhash  # noqa: F401
 from footfall.llm.registry import ORACLES, QUERIES  # noqa: F401
