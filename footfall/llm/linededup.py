@@ -258,7 +258,8 @@ def dedup_lines(docs: DataFrame, index: LineIndex) -> DataFrame:
     `n_dropped`. `docs` must be in the index. Null or empty texts are one empty line; rows with a
     null doc_id keep all lines; repeated doc_ids are one document, each row loses the same lines."""
     lost = stored(drops(index, index.postings), "lost").select(F.col("doc_id").alias("_id"), F.col("keys").alias("_keys"))
-    joined = docs.join(lost, docs["doc_id"] == lost["_id"], "left").drop("_id")
+    # Many documents lose lines, so this side is seldom small: one plan for every size.
+    joined = docs.join(lost.hint("merge"), docs["doc_id"] == lost["_id"], "left").drop("_id")
     names = [c for c in joined.columns if c != "_keys"]
     schema = joined.select(*names).schema.add("kept", "string").add("n_lines", "long").add("n_dropped", "long")
 

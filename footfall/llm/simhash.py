@@ -134,7 +134,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     with a null doc_id stay if their group has no id."""
     found = near_duplicates(docs)
     gone = stored(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
 
 
 @query("op7_simhash")
