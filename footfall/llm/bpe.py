@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 import public_tokenizers
 from footfall.llm.registry import query, table
@@ -218,7 +218,7 @@ def encode(docs: DataFrame, vocabulary: str | None = None, pattern: str | None =
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(flat, np.int32)))
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in names] + [lists], [*names, "ids"])
 
-    return docs.mapInArrow(run, docs.schema.add("ids", "array<int>"))
+    return docs.mapInArrow(run, docs.schema.add("ids", T.ArrayType(T.IntegerType())))
 
 
 def _lists(ids: pa.ListArray) -> Iterator[list[int] | None]:
