@@ -218,7 +218,7 @@ def encode(docs: DataFrame, vocabulary: str | None = None, pattern: str | None =
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(flat, np.int32)))
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in names] + [lists], [*names, "ids"])
 
-    return docs.mapInArrow(run, docs.schema.add("ids", T.ArrayType(T.IntegerType())))
+    return docs.mapInArrow(run, T.StructType([*docs.schema, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 
 
 def _lists(ids: pa.ListArray) -> Iterator[list[int] | None]:
@@ -241,7 +241,7 @@ def decode(rows: DataFrame, vocabulary: str | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c) for c in names] + [pa.array(out, pa.binary())], [*names, "decoded"])
 
-    return rows.mapInArrow(run, rows.schema.add("decoded", "binary"))
+    return rows.mapInArrow(run, T.StructType([*rows.schema, T.StructField("decoded", T.BinaryType())]))
 
 
 def decoded_digest(rows: DataFrame, key: str = "doc_id", vocabulary: str | None = None) -> DataFrame:
