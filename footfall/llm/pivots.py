@@ -7,109 +7,39 @@ score. In a block of candidates a query first evaluates those with the best boun
 stops for good if no other bound reaches the 20th score found so far, else it evaluates just
 those that do.
 
-Blocks of candidates meet blocks of queries by an equality join on the number of the query
-block; no task holds more than one block of each.
+blocks.py brings blocks of candidates and queries together.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from footfall.llm.blocks import finite, merge, search
 from footfall.llm.registry import query, table
-from footfall.session import stored
 
 K = 20
 PIVOTS = 24
-BLOCK = 4096
-QUERY_BLOCK = 512
 FIRST = 64  # candidates of a block evaluated before the bounds are looked at again
-GROUP = 16  # candidate blocks that follow each other in a task and hand on their scores
-
-
-def finite(v: Column) -> Column:
-    """True for a vector (array of numbers) that is not null and holds no null or non-finite one."""
-    bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) == float("inf")))
-    return F.coalesce(v.isNotNull() & ~bad, F.lit(False))
 
 
 def quantised(v: Column, scale: int = 64) -> Column:
     return F.transform(v, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("long"))
 
 
-def _matrix(column: pa.ListArray) -> np.ndarray:
-    flat, ends = column.values.to_numpy(), column.offsets.to_numpy()
-    return flat[ends[0]:ends[-1]].reshape(len(column), -1)
-
-
 def _squares(rows: np.ndarray) -> np.ndarray:
     return (rows * rows).sum(1)
 
 
-def blocks(vectors: DataFrame, pivots: np.ndarray, size: int) -> DataFrame:
-    """Packs (vec_id, v) into rows of up to `size` vectors: (block, ids, data, dist), the last
-    three as bytes; dist has the distances to the pivots."""
-    names = ["block", "ids", "data", "dist"]
-    kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-
-    def pack(parts: list[pa.RecordBatch], number: int) -> pa.RecordBatch:
-        ids = np.concatenate([p.column(0).to_numpy() for p in parts])
-        data = np.concatenate([_matrix(p.column(1)) for p in parts])
-        x = data.astype(np.float64)
-        square = _squares(x)[:, None] + _squares(pivots)[None, :] - 2 * x @ pivots.T
-        dist = np.sqrt(np.maximum(square, 0)).astype(np.float32)
-        row = [[number], [ids.tobytes()], [data.tobytes()], [dist.tobytes()]]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(row, kinds, strict=True)], names)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        number = TaskContext.get().partitionId() << 32
-        parts: list[pa.RecordBatch] = []
-        room = size
-        for batch in batches:
-            while batch.num_rows:
-                parts.append(batch.slice(0, room))
-                room -= parts[-1].num_rows
-                batch = batch.slice(parts[-1].num_rows)
-                if not room:
-                    yield pack(parts, number)
-                    parts, room, number = [], size, number + 1
-        if parts:
-            yield pack(parts, number)
-
-    return vectors.mapInArrow(run, "block long, ids binary, data binary, dist binary")
-
-
-def _unpack(ids: bytes, data: bytes, dist: bytes) -> dict:
-    at = np.frombuffer(ids, np.int64)
-    x = np.frombuffer(data, np.int64).reshape(len(at), -1).astype(np.float64)
-    return {"ids": at, "x": x, "square": _squares(x), "dist": np.frombuffer(dist, np.float32).reshape(len(at), -1)}
-
-
-def _merge(best: list, k: int, ids: np.ndarray, scores: np.ndarray, rows: np.ndarray) -> None:
-    """Enters scores (one line per query of `rows`; -inf is none) of candidates `ids` into `best`."""
-    if scores.shape[1] > k:
-        least = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
-    else:
-        least = np.full(len(rows), -np.inf)
-    for i, at in enumerate(rows):
-        mine = best[at]
-        floor = max(least[i], mine[-1, 0] if len(mine) == k else -np.inf)
-        good = np.flatnonzero((scores[i] >= floor) & (scores[i] > -np.inf))
-        if len(good):
-            of = ids[i] if ids.ndim == 2 else ids
-            new = np.concatenate([mine, np.stack([scores[i, good].astype(np.int64), of[good]], 1)])
-            best[at] = new[np.lexsort((new[:, 1], -new[:, 0]))[:k]]
-
-
-def search_block(q: dict, x: dict, best: list, k: int) -> None:
-    """Improves `best` (per query rows of score and id, best first) with one block of candidates."""
-    every = np.arange(len(q["ids"]))
+def distances(rows: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """Euclidean distances of rows to pivots."""
+    square = _squares(rows)[:, None] + _squares(pivots)[None, :] - 2 * rows @ pivots.T
+    return np.sqrt(np.maximum(square, 0)).astype(np.float32)
+
+
+def look(q: dict, x: dict, best: list, k: int) -> None:
+    """Enters one block of candidates; skips only those whose bound is below the last score."""
     bound = np.zeros((len(q["ids"]), len(x["ids"])), np.float32)
     for p in range(q["dist"].shape[1]):
         np.maximum(bound, np.abs(q["dist"][:, p, None] - x["dist"][None, :, p]), out=bound)
@@ -121,68 +51,42 @@ def search_block(q: dict, x: dict, best: list, k: int) -> None:
     near = np.argpartition(-upper, first - 1, axis=1)[:, :first]
     scores = np.einsum("qd,qsd->qs", q["x"], x["x"][near])
     scores[np.take_along_axis(upper, near, 1) == -np.inf] = -np.inf
-    _merge(best, k, x["ids"][near], scores, every)
+    merge(best, k, x["ids"][near], scores, np.arange(len(q["ids"])))
     np.put_along_axis(upper, near, -np.inf, 1)
-    least = np.array([b[-1, 0] if len(b) == k else -np.inf for b in best])
+    least = np.array([s[-1] if len(s) == k else -np.inf for _, s in best])
     # A bound equal to the last score may hide a tie with a smaller id.
     still = (upper >= least[:, None]) & (upper > -np.inf)
     rows, columns = np.flatnonzero(still.any(1)), np.flatnonzero(still.any(0))
     if len(rows):
         scores = q["x"][rows] @ x["x"][columns].T
         scores[~still[np.ix_(rows, columns)]] = -np.inf
-        _merge(best, k, x["ids"][columns], scores, rows)
+        merge(best, k, x["ids"][columns], scores, rows)
 
 
-def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = K, n_pivots: int = PIVOTS) -> DataFrame:
+def exact_top_k(vectors: DataFrame, asked: DataFrame, k: int = K, n_pivots: int = PIVOTS) -> DataFrame:
     """(query_id, rank, vec_id, score): the `k` largest integer inner products of every row of
-    `queries` (vec_id, v: array of long) with the rows of `vectors` of another vec_id, ties to the
+    `asked` (vec_id, v: array of long) with the rows of `vectors` of another vec_id, ties to the
     smaller vec_id; all of them, if there are fewer.
 
     `v` must hold no nulls and have one length; products must stay within 2^53. Rows of equal
     vec_id are candidates of their own; a null vec_id is left out. Empty sides give no rows. The
     pivots are the `n_pivots` vectors with the smallest hashes of their ids: a bounded sample
     that only decides how much is skipped, never what is found."""
-    vectors, queries = vectors.select("vec_id", "v").where("vec_id IS NOT NULL"), queries.select("vec_id", "v").where("vec_id IS NOT NULL")
+    vectors, asked = (d.select("vec_id", "v").where("vec_id IS NOT NULL") for d in (vectors, asked))
     picked = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(n_pivots).collect()
-    none = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     if not picked:
-        return none
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     pivots = np.array([r["v"] for r in picked], np.float64)
-    asked = stored(blocks(queries, pivots, QUERY_BLOCK), "queries")
-    number = asked.select("block", (F.row_number().over(Window.orderBy("block")) - 1).alias("q"))
-    right = asked.join(number, "block").select("q", *[F.col(c).alias(f"q_{c}") for c in ("ids", "data", "dist")])
-    n = asked.count()
-    if not n:
-        return none
-    left = blocks(vectors, pivots, BLOCK).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    pairs = left.join(right, "q")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q, best, asked, seen = None, [], None, 0
-
-        def out() -> pa.RecordBatch:
-            found = np.concatenate(best)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(q["ids"], [len(b) for b in best])), pa.array(found[:, 1]), pa.array(found[:, 0])],
-                ["query_id", "vec_id", "score"])
-
-        for batch in batches:
-            for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
-                if row["q"] != asked or seen == GROUP:
-                    if q is not None:
-                        yield out()
-                    asked, seen = row["q"], 0
-                    q = _unpack(row["q_ids"], row["q_data"], row["q_dist"])
-                    best = [np.zeros((0, 2), np.int64) for _ in q["ids"]]
-                search_block(q, _unpack(row["ids"], row["data"], row["dist"]), best, k)
-                seen += 1
-        if q is not None:
-            yield out()
-
-    found = pairs.mapInArrow(run, "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(
-        "query_id", "rank", "vec_id", "score")
+
+    def derive(x: np.ndarray) -> bytes:
+        return distances(x.astype(np.float64), pivots).tobytes()
+
+    def complete(block: dict) -> dict:
+        block["dist"] = np.frombuffer(block["more"], np.float32).reshape(len(block["ids"]), -1)
+        block["square"] = _squares(block["x"])
+        return block
+
+    return search(vectors, asked, derive, look, complete, k, "i8").withColumn("score", F.col("score").cast("long"))
 
 
 EXACT_SQL = """

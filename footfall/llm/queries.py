@@ -1,4 +1,4 @@
 """Imports every operator module that registers a query."""
 
-from footfall.llm import bpe, chat, linededup, mixing, pivots, simhash, warczip  # noqa: F401
+from footfall.llm import ann, bpe, chat, linededup, mixing, pivots, simhash, warczip  # noqa: F401
 from footfall.llm.registry import ORACLES, QUERIES  # noqa: F401
