@@ -60,7 +60,7 @@ class CuckooFilter:
         return mark.astype(np.uint16), one, self.other(one, mark)
 
     def other(self, bucket: np.ndarray, mark: np.ndarray) -> np.ndarray:
-        return bucket ^ (mark.astype(np.uint64) * np.uint64(0x5BD1E9955BD1E995) >> np.uint64(20) & self.mask)
+        return bucket ^ (mark.astype(np.uint64) * np.uint64(0x5BD1E995) >> np.uint64(8) & self.mask)
 
     def contains(self, keys: np.ndarray) -> np.ndarray:
         mark, one, two = self.places(keys)

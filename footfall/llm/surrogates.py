@@ -29,6 +29,7 @@ from footfall.session import stored
 
 KEY = b"surrogates of footfall"
 SENT_ENTITIES = 100_000
+ROUNDS = 60
 
 # Forms of address by gender.
 FEMALE = ("Mrs", "Ms", "Miss", "Madam", "Frau", "Mme", "Mlle", "Madame", "Señora", "Señorita", "Sra", "Doña", "Signora", "Госпожа", "Κυρία")
@@ -175,7 +176,7 @@ def surrogate(key: bytes, kind: str, normal: str, attempt: int = 0) -> str:
     if kind == "key":
         prefix = re.match(_KEYS, normal)[0]
         return prefix + "".join(map(s.like, normal[len(prefix):]))
-    if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", normal):
+    if kind == "secret" and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", normal) and not normal.isdigit():
         digits = "0123456789abcdef" if normal.islower() else "0123456789ABCDEF"
         return "".join(digits[s.below(16)] for _ in normal)
     return "".join(map(s.like, normal))
@@ -233,7 +234,7 @@ def distinct_entities(docs: DataFrame) -> DataFrame:
 def settle(found: DataFrame, key: bytes = KEY) -> DataFrame:
     """(kind, normal, attempt, surrogate) of distinct entities `found` (kind, normal): surrogates are
     distinct and none is an entity of `found`. Each round looks at entities and surrogates
-    only; it ends when no entity has to try again."""
+    only; it ends when no entity has to try again. Raises if some form has no room for that."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -242,7 +243,7 @@ def settle(found: DataFrame, key: bytes = KEY) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(new, pa.string())], ["kind", "normal", "attempt", "surrogate"])
 
     state = found.select("kind", "normal", F.lit(0).alias("attempt"))
-    while True:
+    for _ in range(ROUNDS):
         tried = stored(state.mapInArrow(run, "kind string, normal string, attempt int, surrogate string"), "tried")
         shared = tried.groupBy("kind", "surrogate").agg(F.count("*").alias("n"), F.min("normal").alias("first")).where("n > 1")
         taken = tried.join(shared, ["kind", "surrogate"]).where("normal <> first").select("kind", "normal")
@@ -252,6 +253,7 @@ def settle(found: DataFrame, key: bytes = KEY) -> DataFrame:
             return tried
         state = tried.join(again, ["kind", "normal"], "left").select(
             "kind", "normal", (F.col("attempt") + F.coalesce("again", F.lit(0))).alias("attempt"))
+    raise ValueError("too many entities of one form for distinct surrogates")
 
 
 def replace_entities(docs: DataFrame, key: bytes = KEY, sent: int = SENT_ENTITIES) -> DataFrame:
