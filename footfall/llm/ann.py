@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from footfall.llm.blocks import finite, merge, search
 from footfall.llm.registry import query, table
+from footfall.llm.sample import bounded_sample
 from footfall.session import stored
 
 K = 20
@@ -141,7 +142,7 @@ def nearest(vectors: DataFrame, asked: DataFrame, k: int = K, sample: int = SAMP
     Vectors that are null, zero, or hold a null or non-finite component, and rows with a null
     vec_id, take no part. All vectors have one length. Equal vec_ids are candidates of their
     own; equal scores go to the smaller vec_id; empty sides give no rows. Codes are fitted on
-    the `sample` vectors with the smallest hashes of their ids."""
+    about `sample` vectors, chosen by hash."""
     live = F.col("vec_id").isNotNull() & finite(F.col("v")) & F.exists("v", lambda c: c != 0)
     vectors, asked = (d.select("vec_id", "v").where(live) for d in (vectors, asked))
     square = F.aggregate("v", F.lit(0.0), lambda s, c: s + c.cast("double") * c.cast("double"))
@@ -149,7 +150,8 @@ def nearest(vectors: DataFrame, asked: DataFrame, k: int = K, sample: int = SAMP
     if not n:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     kind = "f4" if "float" in vectors.schema["v"].dataType.simpleString() else "f8"
-    picked = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").toPandas()["v"]
+    chosen = bounded_sample(vectors, F.xxhash64("vec_id", "v"), sample, n).select("v").toPandas()["v"]
+    picked = chosen if len(chosen) else vectors.limit(sample).select("v").toPandas()["v"]  # all in one hash
     rows = np.unique(np.stack(picked.to_numpy()).astype(np.float64), axis=0)
     coder = Coder(rows, float(top))
     known = coder.codes(rows)

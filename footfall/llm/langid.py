@@ -6,8 +6,8 @@ prior of its host. How far a declaration or suffix speaks for a language, and ho
 has it, is counted over all documents from their text posteriors by grouped sums; a host's
 counts are smoothed towards those of its domain, and these towards all documents.
 
-Only the trigram models are fitted on a sample: the FIT_ROWS labelled documents (of at most
-FIT_CHARS characters) with the smallest hashes of their ids.
+Only the trigram models are fitted on a sample: about FIT_ROWS labelled documents (of at most
+FIT_CHARS characters), chosen by hash.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from footfall.llm.registry import query, table
+from footfall.llm.sample import bounded_sample
 from footfall.session import stored
 
 FIT_ROWS = 2000
@@ -50,7 +51,7 @@ def trigrams(text: str) -> np.ndarray:
 def fit(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages in order and log probabilities (buckets x languages), from (doc_id, text, lang)."""
     rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL").where(F.length("text") <= FIT_CHARS)
-    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS).select("lang", "text").collect()
+    rows = bounded_sample(rows, F.xxhash64("doc_id", "text"), FIT_ROWS, rows.count()).select("lang", "text").collect()
     langs = sorted({r["lang"] for r in rows})
     counts = np.full((BUCKETS, len(langs)), 0.1)
     for r in rows:
