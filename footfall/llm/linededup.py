@@ -22,6 +22,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from footfall.llm.registry import query, table
 from footfall.session import stored
@@ -253,15 +254,19 @@ def _kept(text: str | None, keys: set[bytes]) -> tuple[str, int, int]:
     return "\n".join(stay), len(lines), len(lines) - len(stay)
 
 
-def dedup_lines(docs: DataFrame, index: LineIndex) -> DataFrame:
+def dedup_lines(docs: DataFrame, index: LineIndex, prefix: str = "") -> DataFrame:
     """`docs` (doc_id, text and others) with `kept` (the other lines, joined), `n_lines` before and
-    `n_dropped`. `docs` must be in the index. Null or empty texts are one empty line; rows with a
-    null doc_id keep all lines; repeated doc_ids are one document, each row loses the same lines."""
+    `n_dropped`; these names get `prefix`, and replace columns of the same names. `docs` must be
+    in the index. Null or empty texts are one empty line; rows with a null doc_id keep all
+    lines; repeated doc_ids are one document, each row loses the same lines; no rows in, no
+    rows out."""
+    made = [prefix + c for c in ("kept", "n_lines", "n_dropped")]
+    docs = docs.drop(*made)
     lost = stored(drops(index, index.postings), "lost").select(F.col("doc_id").alias("_id"), F.col("keys").alias("_keys"))
     # Many documents lose lines, so this side is seldom small: one plan for every size.
     joined = docs.join(lost.hint("merge"), docs["doc_id"] == lost["_id"], "left").drop("_id")
-    names = [c for c in joined.columns if c != "_keys"]
-    schema = joined.select(*names).schema.add("kept", "string").add("n_lines", "long").add("n_dropped", "long")
+    names = docs.columns
+    schema = T.StructType([*docs.schema, *[T.StructField(c, t()) for c, t in zip(made, (T.StringType, T.LongType, T.LongType), strict=True)]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -271,8 +276,7 @@ def dedup_lines(docs: DataFrame, index: LineIndex) -> DataFrame:
             ]
             kept, n, cut = zip(*rows, strict=True) if rows else ((), (), ())
             more = [pa.array(kept, pa.string()), pa.array(n, pa.int64()), pa.array(cut, pa.int64())]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in names] + more, [*names, "kept", "n_lines", "n_dropped"])
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + more, [*names, *made])
 
     return joined.mapInArrow(run, schema)
 
