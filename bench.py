@@ -21,7 +21,7 @@ HEADLINE = [
     "kpis", "sessionize", "entry_exit", "transitions", "breakdowns", "campaigns", "timeseries_daily", "overview",
     "goals", "funnel", "revenue_by_source", "top_products", "ai_sources", "bot_summary", "daily_rollup",
     "breakdown_cube", "long_kpis", "merkle_root", "find_bursts", "ingest_hits", "mask_path", "rate_limit",
-    "search_kpis", "overlap_score",
+    "search_kpis", "rank_pages",
 ]
 
 

@@ -88,9 +88,11 @@ def clean_payment(text: Column) -> Column:
     return F.when(slug.rlike(r"\A[a-z0-9_-]{1,32}\z"), slug)
 
 
-def clean_items(v: Column) -> Column:
-    """Product lines: array<struct<name, qty, unit_price_cents>> of the first 25 entries."""
-    lines = F.slice(F.try_variant_get(v, "$", "array<variant>"), 1, 25)
+def clean_items(v: Column, most: int | None = None) -> Column:
+    """Product lines: array<struct<name, qty, unit_price_cents>> of all entries, or the first `most`."""
+    lines = F.try_variant_get(v, "$", "array<variant>")
+    if most is not None:
+        lines = F.slice(lines, 1, most)
 
     def line(x: Column) -> Column:
         price = clean_money(F.try_variant_get(x, "$.p", "variant"))

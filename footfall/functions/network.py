@@ -7,11 +7,12 @@ table is `key BETWEEN first AND last` behind an equi-join on a key prefix.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from footfall.functions.agents import first_of, let
 from footfall.functions.cleaning import strip
+from footfall.session import stored
 
 _V4_PREFIX = "0" * 20 + "ffff"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
@@ -180,34 +181,49 @@ def range_table(ranges: DataFrame, values: list[str]) -> DataFrame:
         .when(F.col("w") == 4, F.right(tail, F.lit(4)))
         .otherwise(tail)
     )
-    return r.select(slot.alias("slot"), "first", "last", *values)
+    return _disjoint(r.select(slot.alias("slot"), "first", "last", *values), values)
 
 
-def lookup_ranges(rows: DataFrame, key: str, ranges: DataFrame, values: list[str]) -> DataFrame:
-    """Left join of each row's address key (see ip_key) with the one range that holds it.
+def _disjoint(slots: DataFrame, values: list[str]) -> DataFrame:
+    """(slot, first, past, values...): the stretches of each slot in which one range is the most
+    specific: the one that begins last, of those the one that ends first, of those the largest
+    value. An address key k is in a stretch if first <= k < past. A point just behind an
+    address is its key and a tilde, which sorts before the next key."""
+    points = slots.select("slot", F.explode(F.array("first", F.concat("last", F.lit("~")))).alias("at")).distinct()
+    inverse = F.translate("last", "0123456789abcdef", "fedcba9876543210")
+    over = points.alias("p").join(slots.alias("r"), [
+        F.col("p.slot") == F.col("r.slot"), F.col("r.first") <= F.col("p.at"), F.col("p.at") <= F.col("r.last")])
+    best = over.groupBy("p.slot", "p.at").agg(
+        F.max(F.struct("r.first", inverse.alias("inverse"), *[F.col(f"r.{v}") for v in values])).alias("best"))
+    stretch = points.withColumn("past", F.lead("at").over(Window.partitionBy("slot").orderBy("at")))
+    return stretch.join(best, ["slot", "at"]).select("slot", F.col("at").alias("first"), "past", *[F.col(f"best.{v}") for v in values])
+
 
-    Two equi-joins on a prefix slot (fine, then the few very wide ranges). No join hint: the
-    plan broadcasts the range table only when its measured size is under the session's limit,
-    else it shuffles, and AQE splits a slot that many rows share."""
-    table = range_table(ranges, values)
+def lookup_ranges(rows: DataFrame, key: str, ranges: DataFrame, values: list[str]) -> DataFrame:
+    """Left join of each row's address key (see ip_key) with the most specific range that holds
+    it; every row comes out once.
+
+    The table of disjoint stretches is stored, so its measured size decides: Spark broadcasts it
+    under the session's limit, and shuffles beyond. Very wide IPv6 ranges are a second, tiny
+    table; where there are none, there is one join."""
+    table = stored(range_table(ranges, values), "ranges")
+    fine, wide = table.where(F.length("slot") > 4), table.where(F.length("slot") == 4)
+    slot = F.expr(f"left(_key, CASE WHEN startswith(_key, '{_V4_PREFIX}') THEN 28 ELSE 8 END)")
+    parts = [(fine, slot)]
+    if not wide.isEmpty():
+        parts.append((wide, F.when(~F.col("_key").startswith(_V4_PREFIX), F.left("_key", F.lit(4)))))
     out = rows.withColumn("_key", F.col(key))
-    for i, width in enumerate((None, 4)):
-        part = table.where(F.length("slot") == 4) if width else table.where(F.length("slot") > 4)
+    for i, (part, at) in enumerate(parts):
         part = part.select(
-            F.col("slot").alias("_slot"), F.col("first").alias("_first"), F.col("last").alias("_last"),
-            *[F.col(v).alias(f"_{v}{i}") for v in values],
-        )
-        slot = F.left("_key", F.lit(4)) if width else F.expr(
-            f"left(_key, CASE WHEN startswith(_key, '{_V4_PREFIX}') THEN 28 ELSE 8 END)"
-        )
-        out = out.withColumn("_at", slot)
-        out = out.join(
-            part, (F.col("_at") == F.col("_slot")) & F.col("_key").between(F.col("_first"), F.col("_last")),
-            "left",
-        ).drop("_slot", "_first", "_last", "_at")
+            F.col("slot").alias("_slot"), F.col("first").alias("_first"), F.col("past").alias("_past"),
+            F.struct(*values).alias(f"_hit{i}"))
+        out = out.withColumn("_at", at).join(part, [
+            F.col("_at") == F.col("_slot"), F.col("_key") >= F.col("_first"), F.col("_key") < F.col("_past")],
+            "left").drop("_slot", "_first", "_past", "_at")
+    hit = F.coalesce(*[F.col(f"_hit{i}") for i in range(len(parts))])
     for v in values:
-        out = out.withColumn(v, F.coalesce(F.col(f"_{v}0"), F.col(f"_{v}1"))).drop(f"_{v}0", f"_{v}1")
-    return out.drop("_key")
+        out = out.withColumn(v, hit[v])
+    return out.drop("_key", *[f"_hit{i}" for i in range(len(parts))])
 
 
 def with_datacenter(rows: DataFrame, key: str, asn_ranges: DataFrame) -> DataFrame:

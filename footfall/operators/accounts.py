@@ -263,22 +263,32 @@ def attempt_counts(attempts: DataFrame, unit: str = "hour") -> DataFrame:
 
 
 def throttled(attempts: DataFrame, caps: dict[str, tuple[int, int | None]] = ATTEMPT_CAPS, unit: str = "hour") -> DataFrame:
-    """Attempts with `blocked`: the key already used its cap in the bucket. Ranks run per
-    (bucket, kind, key), split by minute first, so one hammering key is not one task: the
-    count of the minutes before plus the rank inside the minute."""
-    cap = F.lit(None).cast("int")
-    for kind, (per_key, _) in caps.items():
-        cap = F.when(F.col("kind") == kind, per_key).otherwise(cap)
+    """Attempts with `nth`, `nth_all` and `blocked`: in their bucket the key, or everyone together,
+    already used the cap (None: no cap for everyone). Both numbers are the count of the minutes
+    before plus the rank inside a part of a minute, so neither one hammering key nor everyone's
+    attempts of a bucket are one task: minutes are cut into tenths of a second for the ranks."""
+    mine, total = F.lit(None).cast("int"), F.lit(None).cast("int")
+    for kind, (per_key, everyone) in caps.items():
+        mine = F.when(F.col("kind") == kind, per_key).otherwise(mine)
+        total = F.when(F.col("kind") == kind, everyone).otherwise(total)
     bucket = F.date_trunc(unit, "ts").cast("timestamp_ntz")
-    a = attempts.withColumn("bucket", bucket).withColumn("_min", F.floor(micros("ts") / 60_000_000))
-    k = ["bucket", "kind", "key"]
-    per_min = a.groupBy(*k, "_min").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(
-        Window.partitionBy(*k).orderBy("_min").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    per_min = per_min.select(*k, "_min", before.alias("_before"))
-    rank = F.row_number().over(Window.partitionBy(*k, "_min").orderBy("ts", "id"))
-    out = a.withColumn("_rank", rank).join(per_min, k + ["_min"])
-    nth = F.col("_before") + F.col("_rank")
-    return out.withColumn("nth", nth).withColumn("blocked", F.coalesce(nth > cap, F.lit(False))).drop(
-        "_min", "_rank", "_before")
-
+    out = attempts.withColumn("bucket", bucket).withColumn("_min", F.floor(micros("ts") / 60_000_000)).withColumn(
+        "_part", F.floor(micros("ts") / 100_000))
+
+    def numbered(rows: DataFrame, k: list[str], name: str) -> DataFrame:
+        parts = rows.groupBy(*k, "_min", "_part").agg(F.count(F.lit(1)).alias("_n"))
+        minutes = parts.groupBy(*k, "_min").agg(F.sum("_n").alias("_m"))
+        rest = (Window.unboundedPreceding, -1)
+        minutes = minutes.select(*k, "_min", F.coalesce(F.sum("_m").over(
+            Window.partitionBy(*k).orderBy("_min").rowsBetween(*rest)), F.lit(0)).alias("_a"))
+        inside = F.coalesce(F.sum("_n").over(Window.partitionBy(*k, "_min").orderBy("_part").rowsBetween(*rest)), F.lit(0))
+        before = parts.select(*k, "_min", "_part", inside.alias("_b")).join(minutes, [*k, "_min"]).select(
+            *k, "_part", (F.col("_a") + F.col("_b")).alias("_before"))
+        rank = F.row_number().over(Window.partitionBy(*k, "_part").orderBy("ts", "id"))
+        return rows.withColumn("_rank", rank).join(before, [*k, "_part"]).withColumn(
+            name, F.col("_before") + F.col("_rank")).drop("_rank", "_before")
+
+    out = numbered(out, ["bucket", "kind", "key"], "nth")
+    out = numbered(out, ["bucket", "kind"], "nth_all")
+    over = F.coalesce(F.col("nth") > mine, F.lit(False)) | F.coalesce(F.col("nth_all") > total, F.lit(False))
+    return out.withColumn("blocked", over).drop("_min", "_part")

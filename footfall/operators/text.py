@@ -1,111 +1,79 @@
-"""Page texts: extraction from HTML, and keyword-overlap ranking of pages for questions."""
+"""Page texts: the stored pages, and keyword-overlap ranking of pages for questions."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from html.parser import HTMLParser
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from footfall.operators.frames import top_per
+from footfall.session import stored
 
-# Elements whose text is no content.
-SKIPPED = {"script", "style", "noscript", "svg", "nav", "footer"}
-MIN_TEXT = 100
-MAX_TEXT = 8000
 GRAM = 4
 
 
-class _Reader(HTMLParser):
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.depth = 0
-        self.found: list[str] = []
-
-    def handle_starttag(self, tag: str, attrs) -> None:
-        self.depth += tag in SKIPPED
-
-    def handle_endtag(self, tag: str) -> None:
-        if tag in SKIPPED and self.depth:
-            self.depth -= 1
-
-    def handle_data(self, data: str) -> None:
-        if not self.depth:
-            self.found.append(data)
-
-
-def _text(html: str) -> str:
-    r = _Reader()
-    r.feed(html)
-    return " ".join(" ".join(r.found).split())
-
-
-def html_to_text(pages: DataFrame, html: str = "html") -> DataFrame:
-    """Adds `text` (visible words, single spaces) and `title`."""
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema.fields]
-    schema = ", ".join([*fields, "text string"])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield b.assign(text=[_text(h) if isinstance(h, str) else "" for h in b[html]])
-
-    title = F.regexp_extract(html, r"<title>([^<]*)</title>", 1)
-    return pages.mapInPandas(run, schema).withColumn("title", F.trim(title))
-
-
-def upsert_pages(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(path, title, content, fetched_at): the last fetch of a path wins; thin pages are no
-    knowledge, long ones are stored up to the fixed size."""
-    fresh = new.where(F.length("content") >= MIN_TEXT).withColumn("content", F.substring("content", 1, MAX_TEXT))
-    rows = old.unionByName(fresh)
-    last = rows.groupBy("path").agg(
-        F.max_by(F.struct("title", "content", "fetched_at"), "fetched_at").alias("p"))
+def upsert_pages(old: DataFrame, new: DataFrame, least: int = 0, most: int | None = None) -> DataFrame:
+    """(path, title, content, fetched_at, cut): the last fetch of a path wins. With `least`, thinner
+    new pages are no knowledge; with `most`, new texts are stored up to that length and `cut`
+    says how many characters went (0 else)."""
+    fresh = new.where(F.length("content") >= least) if least else new
+    cut = F.greatest(F.length("content") - most, F.lit(0)) if most is not None else F.lit(0)
+    fresh = fresh.withColumn("cut", cut.cast("long"))
+    if most is not None:
+        fresh = fresh.withColumn("content", F.substring("content", 1, most))
+    if "cut" not in old.columns:
+        old = old.withColumn("cut", F.lit(0).cast("long"))
+    last = old.unionByName(fresh).groupBy("path").agg(
+        F.max_by(F.struct("title", "content", "fetched_at", "cut"), "fetched_at").alias("p"))
     return last.select("path", "p.*")
 
 
-def _words(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, word, tf) of lower-cased word runs."""
-    runs = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\w+"), 0)
-    return df.select(key, F.explode(runs).alias("word")).groupBy(key, "word").agg(F.count(F.lit(1)).alias("tf"))
+def _asked(questions: DataFrame) -> DataFrame:
+    """(question_id, asked): distinct question words of four letters or more."""
+    return questions.select("question_id", F.explode(F.array_distinct(F.regexp_extract_all(
+        F.lower("question"), F.lit(r"(?U)\w{4,}"), 0))).alias("asked"))
 
 
 def overlap_score(questions: DataFrame, pages: DataFrame) -> DataFrame:
     """(question_id, path, score > 0): for every distinct question word of four letters or
     more, how often it occurs in the page, also inside longer words.
 
-    Page texts become postings once; which vocabulary words contain a question word is an
-    equi-join on four-letter pieces between two vocabularies, not a scan of texts."""
-    asked = questions.select("question_id", F.explode(F.array_distinct(F.regexp_extract_all(
-        F.lower("question"), F.lit(r"(?U)\w{4,}"), 0))).alias("asked"))
-    postings = _words(pages, "path", "content").where(F.length("word") >= GRAM)
-    vocabulary = postings.select("word").distinct()
+    Pages are dealt out by path once, their words counted there, and stay there until they are
+    scored, so that the caller can cut the list per task. Which vocabulary words contain a
+    question word is an equi-join on four-letter pieces between two vocabularies; this table
+    and the question words are stored, so their size decides how they are joined."""
+    asked = stored(_asked(questions), "asked")
+    runs = F.regexp_extract_all(F.lower("content"), F.lit(r"(?U)\w{4,}"), 0)
+    postings = pages.repartition("path").select("path", F.explode(runs).alias("word")).groupBy("path", "word").agg(
+        F.count(F.lit(1)).alias("tf"))
+    vocabulary = pages.select(F.explode(F.array_distinct(runs)).alias("word")).distinct()
     at = F.sequence(F.lit(1), F.length("word") - GRAM + 1)
     pieces = vocabulary.select("word", F.explode(F.array_distinct(
         F.transform(at, lambda i: F.substring(F.col("word"), i, F.lit(GRAM))))).alias("piece"))
     heads = asked.select("asked").distinct().withColumn("piece", F.substring("asked", 1, GRAM))
     gone = F.length(F.replace(F.col("word"), F.col("asked"), F.lit("")))
     times = ((F.length("word") - gone) / F.length("asked")).cast("long")
-    inside = heads.join(pieces, "piece").where(F.col("word").contains(F.col("asked"))).select(
-        "asked", "word", times.alias("times"))
-    per_page = inside.join(postings, "word").groupBy("asked", "path").agg(
-        F.sum(F.col("times") * F.col("tf")).alias("n"))
-    return asked.join(per_page, "asked").groupBy("question_id", "path").agg(F.sum("n").alias("score"))
+    inside = stored(heads.join(pieces, "piece").where(F.col("word").contains(F.col("asked"))).select(
+        "asked", "word", times.alias("times")), "inside")
+    found = postings.join(inside, "word").groupBy("path", "asked").agg(F.sum(F.col("times") * F.col("tf")).alias("n"))
+    return found.join(asked, "asked").groupBy("path", "question_id").agg(F.sum("n").alias("score"))
 
 
-def rank_pages(questions: DataFrame, pages: DataFrame, k: int = 3, budget: int = 9000) -> DataFrame:
+def rank_pages(questions: DataFrame, pages: DataFrame, k: int = 3, budget: int | None = 9000) -> DataFrame:
     """(question_id, rank, path, title, score, taken): the k best pages of each question and
-    how many characters of each fit into the budget. Pages without overlap fill up in path
-    order, for which the first k paths are enough."""
+    how many characters of each fit into the budget (None: all). Pages without overlap fill up
+    in path order, for which the first k paths are enough. Scores leave the task that made
+    them only among its k best of a question."""
     fill = pages.select("path").orderBy("path").limit(k).agg(F.collect_list("path").alias("fill"))
-    zero = questions.select("question_id", F.lit(1).alias("j")).join(
-        fill.withColumn("j", F.lit(1)), "j").select(
-        "question_id", F.explode("fill").alias("path"), F.lit(0).cast("long").alias("score"))
-    scores = overlap_score(questions, pages).unionByName(zero).groupBy("question_id", "path").agg(
+    fill = fill.withColumn("fill", F.coalesce("fill", F.array().cast("array<string>")))
+    zero = questions.select("question_id").distinct().select(
+        "question_id", F.explode(fill.scalar()).alias("path"), F.lit(0).cast("long").alias("score"))
+    best = top_per(overlap_score(questions, pages), ["question_id"], [F.desc("score"), F.asc("path")], k)
+    scores = best.select("question_id", "path", "score").unionByName(zero).groupBy("question_id", "path").agg(
         F.sum("score").alias("score"))
     best = top_per(scores, ["question_id"], [F.desc("score"), F.asc("path")], k, rank="rank")
     best = best.join(pages.select("path", "title", F.length("content").alias("size")), "path")
+    if budget is None:
+        return best.select("question_id", "rank", "path", "title", "score", F.col("size").alias("taken"))
     before = F.coalesce(F.sum("size").over(Window.partitionBy("question_id").orderBy("rank").rowsBetween(
         Window.unboundedPreceding, -1)), F.lit(0))
     taken = F.least(F.col("size"), F.lit(budget) - before)

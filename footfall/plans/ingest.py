@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from footfall.functions import agents, cleaning, network
 from footfall.functions.timewin import day_of, micros
 from footfall.operators.robots import PATH_CLASSES, tidy_counts
-from footfall.schema import EVENTS_PER_MINUTE
+from footfall.schema import EVENTS_PER_MINUTE, MAX_EVENT_BYTES
 from footfall.sources.beacons import parse, respect_opt_out
+from footfall.session import stored
 
 
 @dataclass
@@ -35,10 +36,6 @@ class Ingested:
     rejects: DataFrame
     judged: DataFrame
 
-    def release(self) -> None:
-        """Call when the outputs are written."""
-        self.judged.unpersist()
-
 
 def with_daily_salt(df: DataFrame, salts: DataFrame, ts: str = "received_at") -> DataFrame:
     """Adds the salt of the row's day; null when that day has none any more."""
@@ -178,11 +175,12 @@ def clean_beacon_path(payload: Column) -> Column:
 
 
 def split_lines(cleaned: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(hits, product lines): one row per line, numbered within its hit."""
+    """(hits, product lines): one row per line, numbered within its hit. A body of at most
+    MAX_EVENT_BYTES holds fewer lines than that."""
     lines = cleaned.select(
         F.col("id").alias("event_id"), "site_id", "ts", "currency", F.posexplode("lines").alias("pos", "line")
     ).select(
-        (F.col("event_id") * 25 + F.col("pos")).alias("id"), "site_id", "event_id", "ts",
+        (F.col("event_id") * MAX_EVENT_BYTES + F.col("pos")).alias("id"), "site_id", "event_id", "ts",
         "line.name", "line.qty", "line.unit_price_cents", "currency")
     return cleaned.drop("lines"), lines
 
@@ -212,11 +210,10 @@ def ingest(
     """The whole write path over a batch of beacons (or one micro-batch). `used` carries the
     visitor minutes of earlier micro-batches."""
     # Five outputs read the verdicts, and a filter on a verdict would be pushed down as its
-    # whole expression: the batch is judged once and kept (memory, then local disk; a lost
-    # part is judged again).
-    judged = judge(beacons, dims, secret, count_private).select(
+    # whole expression: the batch is judged once and written to the shared folder.
+    judged = stored(judge(beacons, dims, secret, count_private).select(
         "beacon_id", "received_at", "site_id", "visitor_hash", "payload", "user_agent", "ip_key", "ref_host",
-        "reject", "reason", "robot").persist()
+        "reject", "reason", "robot"), "judged")
     kept, over = rate_limit(judged.where("reason IS NULL"), used=used)
     hits, items = split_lines(clean(kept, dims))
     rejects = judged.where("reject IS NOT NULL").groupBy("reject").agg(F.count(F.lit(1)).alias("n"))

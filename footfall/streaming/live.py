@@ -60,7 +60,6 @@ class LiveIngest:
         write_batch(out.drops, f"{self.root}/drops", batch_id)
         passed = out.judged.where("reason IS NULL")
         write_batch(minute_counts(passed).drop("site_id"), minutes, batch_id)
-        out.release()
 
     def start(self, beacons: DataFrame, checkpoint: str, **trigger) -> DataStreamWriter:
         return beacons.writeStream.foreachBatch(self.process).option(
@@ -150,3 +149,14 @@ def live_attempts(attempts: DataFrame, late: str = "10 minutes", caps=ATTEMPT_CA
     return _timed(attempts, "ts").withWatermark("ts", late).groupBy(F.window("ts", unit).alias("w"), "kind", "key").agg(
         F.count(F.lit(1)).alias("used")).select(
         F.col("w.start").alias("bucket"), "kind", "key", "used", F.coalesce(F.col("used") > cap, F.lit(False)).alias("blocked"))
+
+
+def live_attempt_totals(attempts: DataFrame, late: str = "10 minutes", caps=ATTEMPT_CAPS, unit: str = "1 hour") -> DataFrame:
+    """(bucket, kind, total, blocked): attempts of everyone together per tumbling window. An attempt
+    is refused if this or its key's row of live_attempts() is blocked."""
+    cap = F.lit(None).cast("int")
+    for kind, (_, everyone) in caps.items():
+        cap = F.when(F.col("kind") == kind, everyone).otherwise(cap)
+    return _timed(attempts, "ts").withWatermark("ts", late).groupBy(F.window("ts", unit).alias("w"), "kind").agg(
+        F.count(F.lit(1)).alias("total")).select(
+        F.col("w.start").alias("bucket"), "kind", "total", F.coalesce(F.col("total") > cap, F.lit(False)).alias("blocked"))

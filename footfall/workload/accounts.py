@@ -318,10 +318,11 @@ def attempt_counts(t):
 
 
 @query("attempts_throttled", ctes("hits", extra=_TRIES) + """
-SELECT id, kind, nth, CASE WHEN nth > CASE kind WHEN 'signup' THEN 5 ELSE 3 END THEN 1 ELSE 0 END AS blocked FROM (
-  SELECT *, row_number() OVER (PARTITION BY date_trunc('day', ts), kind, key ORDER BY ts, id) AS nth FROM tries)""")
+SELECT id, kind, nth, nth_all, CASE WHEN nth > CASE kind WHEN 'signup' THEN 5 ELSE 3 END OR (kind = 'signup' AND nth_all > 40) THEN 1 ELSE 0 END AS blocked FROM (
+  SELECT *, row_number() OVER (PARTITION BY date_trunc('day', ts), kind, key ORDER BY ts, id) AS nth,
+    row_number() OVER (PARTITION BY date_trunc('day', ts), kind ORDER BY ts, id) AS nth_all FROM tries)""")
 def attempts_throttled(t):
-    return ac.throttled(_tries(t), unit="day").select("id", "kind", "nth", F.col("blocked").cast("int").alias("blocked"))
+    return ac.throttled(_tries(t), unit="day").select("id", "kind", "nth", "nth_all", F.col("blocked").cast("int").alias("blocked"))
 
 
 # --- upkeep ---------------------------------------------------------------------------------
@@ -364,26 +365,36 @@ def reassign_sites(t):
 
 # --- texts ----------------------------------------------------------------------------------
 
-@query("html_to_text")
-def html_to_text(t):
-    return tx.html_to_text(t.raw("pages")).select("page_id", "title", "text")
-
-
 def _docs(t):
     return t.raw("documents").select(
         F.concat(F.lit("/d/"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("path"),
         F.col("source").alias("title"), F.col("text").alias("content"))
 
 
-@query("page_upsert", """
+_UPSERT = """
 SELECT concat('/d/', CAST(doc_id % 400 AS VARCHAR)) AS path, arg_max(source, doc_id) AS title,
-  CAST(length(arg_max(text, doc_id)) AS BIGINT) AS size
-FROM (SELECT doc_id, source, substr(text, 1, 8000) AS text FROM documents WHERE length(text) >= 100) GROUP BY doc_id % 400""")
-def page_upsert(t):
-    d = t.raw("documents").select(
+  CAST(length(arg_max(text, doc_id)) AS BIGINT) AS size, arg_max(cut, doc_id) AS cut
+FROM ({rows}) GROUP BY doc_id % 400"""
+
+
+def _fetched(t):
+    return t.raw("documents").select(
         F.concat(F.lit("/d/"), (F.col("doc_id") % 400).cast("string")).alias("path"), F.col("source").alias("title"),
         F.col("text").alias("content"), F.col("doc_id").alias("fetched_at"))
-    return tx.upsert_pages(d.where("false"), d).select("path", "title", F.length("content").cast("long").alias("size"))
+
+
+@query("page_upsert", _UPSERT.format(rows="SELECT doc_id, source, text, CAST(0 AS BIGINT) AS cut FROM documents"))
+def page_upsert(t):
+    d = _fetched(t)
+    return tx.upsert_pages(d.where("false"), d).select("path", "title", F.length("content").cast("long").alias("size"), "cut")
+
+
+@query("page_upsert_limits", _UPSERT.format(rows="""SELECT doc_id, source, substr(text, 1, 8000) AS text,
+  CAST(greatest(length(text) - 8000, 0) AS BIGINT) AS cut FROM documents WHERE length(text) >= 100"""))
+def page_upsert_limits(t):
+    d = _fetched(t)
+    return tx.upsert_pages(d.where("false"), d, least=100, most=8000).select(
+        "path", "title", F.length("content").cast("long").alias("size"), "cut")
 
 
 _OVERLAP = """
@@ -397,11 +408,6 @@ def _questions(t):
     return t.raw("benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
 
 
-@query("overlap_score", _OVERLAP + "SELECT question_id, path, score FROM sc")
-def overlap_score(t):
-    return tx.overlap_score(_questions(t), _docs(t))
-
-
 @query("rank_pages", _OVERLAP + """
 , r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, path) AS rank FROM sc),
 b AS (SELECT r.*, d.title, d.size, coalesce(sum(d.size) OVER (PARTITION BY question_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used

@@ -199,6 +199,22 @@ def datacenter_lookup(t):
         "event_id", network.datacenter_name(F.col("dc_asn")).alias("provider"))
 
 
+_NEST = """CASE event_id % 6 WHEN 0 THEN '84.5.1.1' WHEN 1 THEN '84.200.1.1' WHEN 2 THEN '84.5.128.7' WHEN 3 THEN '2a00:1::5'
+  WHEN 4 THEN '2a00:1:2::9' ELSE '9.9.9.9' END"""
+
+
+@query("geo_nested", """
+SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'Sweden' WHEN 1 THEN 'Norway' WHEN 2 THEN 'Denmark' WHEN 3 THEN 'France' WHEN 4 THEN 'Spain' END AS country,
+  CASE event_id % 6 WHEN 0 THEN 'inner' WHEN 1 THEN 'outer' WHEN 2 THEN 'innermost' WHEN 3 THEN 'wide' WHEN 4 THEN 'narrow' END AS region FROM events""")
+def geo_nested(t):
+    """Nested ranges: each address once, with its most specific range."""
+    ranges = t.spark.sql("""SELECT * FROM VALUES ('84.0.0.0', '84.255.255.255', 'Norway', 'outer'), ('84.5.0.0', '84.5.255.255', 'Sweden', 'inner'),
+      ('84.5.128.0', '84.5.129.255', 'Denmark', 'innermost'), ('2000::', '3fff:ffff:ffff:ffff:ffff:ffff:ffff:ffff', 'France', 'wide'),
+      ('2a00:1:2::', '2a00:1:2:ffff:ffff:ffff:ffff:ffff', 'Spain', 'narrow') AS r(start_ip, end_ip, country, region)""")
+    rows = t.raw("events").selectExpr("event_id", f"{_NEST} AS ip").withColumn("key", network.ip_key(F.col("ip")))
+    return network.with_geo(rows, "key", ranges).select("event_id", "country", "region")
+
+
 # --- the whole plan -----------------------------------------------------------------------------
 
 _HUMAN = _UAS[5][0]

@@ -118,7 +118,7 @@ def test_items(spark):
     got = [r[0] for r in df.orderBy("i").select(cleaning.clean_items(
         F.try_variant_get(F.try_parse_json("v"), "$.it", "variant"))).collect()]
     assert [tuple(x) for x in got[0]] == [("A", 2, 150), ("B", 1, 0), ("C", 1, 9), ("D", 3, 0)]
-    assert len(got[1]) == 25 and got[2] == [] and got[3] == []
+    assert len(got[1]) == 30 and got[2] == [] and got[3] == []
 
 
 FAKE = "Opera/8.57.(X11; Linux i686; en-US) Presto/2.9.160 Version/12.00"

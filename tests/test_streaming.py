@@ -46,7 +46,6 @@ def test_rate_limit_is_150_to_120_within_and_across_batches(spark, tmp_path):
     batch = ingest(read_beacons(spark, str(src)), dims(spark), "s")
     assert batch.hits.count() == 125
     assert [(r.reason, r.n) for r in batch.drops.collect()] == [("rate", 30)]
-    batch.release()
 
     live = LiveIngest(dims(spark), "s", str(tmp_path / "out"))
     stream = spark.readStream.schema(read_beacons(spark, str(src)).schema).option("maxFilesPerTrigger", 1).json(str(src))
@@ -84,7 +83,6 @@ def test_verdicts_and_order_fields(spark):
     assert (h[11].revenue_cents, h[11].currency) == (None, None)
     assert (h[12].revenue_cents, h[12].currency, h[12].name) == (None, None, "pageview")
     assert {(r.event_id, r.name, r.qty, r.unit_price_cents) for r in out.items.collect()} == {(1, "A", 2, 150), (11, "B", 1, 0)}
-    out.release()
 
 
 def test_sessions_close_as_in_batch(spark, tmp_path):
