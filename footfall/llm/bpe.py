@@ -14,7 +14,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -28,8 +28,8 @@ import public_tokenizers
 from footfall.llm.registry import query, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-KNOWN_WORDS = 300_000
-CHUNK_CHARS = 4 << 20
+KNOWN_WORDS = 200_000
+CHUNK_CHARS = 2 << 20
 
 
 @lru_cache(maxsize=2)
@@ -120,9 +120,6 @@ class Encoder:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, known: int = KNOWN_WORDS):
         self.ranks, self.known = ranks, known
-        self.tokens = [b""] * (max(ranks.values()) + 1)
-        for t, r in ranks.items():
-            self.tokens[r] = t
         self.single = np.array([ranks[bytes([b])] for b in range(256)])
         self.pairs = pair_ranks(ranks)
         self.byte_pairs = np.array([[ranks.get(bytes([a, b]), -1) for b in range(256)] for a in range(256)])
@@ -186,8 +183,15 @@ class Encoder:
                 self.young, self.old = {}, self.young
             at = end
 
-    def decode(self, ids: Iterable[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+
+@lru_cache(maxsize=2)
+def _tokens(path: str) -> list[bytes | None]:
+    """Bytes of each id."""
+    ranks = read_ranks(path)
+    out: list[bytes | None] = [None] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        out[rank] = token
+    return out
 
 
 @lru_cache(maxsize=2)
@@ -195,19 +199,23 @@ def _encoder(path: str, pattern: str) -> Encoder:
     return Encoder(read_ranks(path), pattern)
 
 
-def encode(docs: DataFrame, vocabulary: str | None = None, pattern: str | None = None) -> DataFrame:
-    """`docs` (text and others) with `ids` (array of int): the text's tokens, without special tokens.
+Step = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
-    `vocabulary` is the path of a rank file that every executor has. Null text gives no ids, as
-    does an empty one; very long texts and words are encoded whole; a column named ids is
-    replaced; repeated rows and empty tables are no special case."""
-    path = vocabulary or public_tokenizers.path(VOCABULARY)
-    rx = pattern or public_tokenizers.PATTERN
-    docs = docs.drop("ids")
-    names = docs.columns
 
+def _apply(df: DataFrame, schema: T.StructType, *steps: Step) -> DataFrame:
+    """Steps one after the other in one Python worker."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for step in steps:
+            batches = step(batches)
+        return batches
+
+    return df.mapInArrow(run, schema)
+
+
+def _encoding(path: str, pattern: str) -> Step:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = _encoder(path, rx)
+        enc = _encoder(path, pattern)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):  # ids take more room than texts
                 part = batch.slice(at, 256)
@@ -216,9 +224,9 @@ def encode(docs: DataFrame, vocabulary: str | None = None, pattern: str | None =
                     flat.extend(ids)
                     ends.append(len(flat))
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(flat, np.int32)))
-                yield pa.RecordBatch.from_arrays([part.column(c) for c in names] + [lists], [*names, "ids"])
+                yield part.append_column("ids", lists)
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    return run
 
 
 def _lists(ids: pa.ListArray) -> Iterator[list[int] | None]:
@@ -227,46 +235,69 @@ def _lists(ids: pa.ListArray) -> Iterator[list[int] | None]:
         yield flat[ends[i]:ends[i + 1]].tolist() if valid else None
 
 
+def _decoding(path: str) -> Step:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        token = _tokens(path).__getitem__
+        for batch in batches:
+            out = [None if x is None else b"".join(map(token, x)) for x in _lists(batch.column("ids"))]
+            yield batch.append_column("decoded", pa.array(out, pa.binary()))
+
+    return run
+
+
+def _with(df: DataFrame, *more: tuple[str, T.DataType]) -> T.StructType:
+    return T.StructType([*df.schema, *[T.StructField(n, t) for n, t in more]])
+
+
+IDS, DECODED = ("ids", T.ArrayType(T.IntegerType())), ("decoded", T.BinaryType())
+
+
+def encode(docs: DataFrame, vocabulary: str | None = None, pattern: str | None = None) -> DataFrame:
+    """`docs` (text and others) with `ids` (array of int): the text's tokens, without special tokens.
+
+    `vocabulary` is the path of a rank file that every executor has. Null text gives no ids, as
+    does an empty one; very long texts and words are encoded whole; a column named ids is
+    replaced; repeated rows and empty tables are no special case."""
+    path = vocabulary or public_tokenizers.path(VOCABULARY)
+    docs = docs.drop("ids")
+    return _apply(docs, _with(docs, IDS), _encoding(path, pattern or public_tokenizers.PATTERN))
+
+
 def decode(rows: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """`rows` (ids and others) with `decoded` (binary), the bytes of the tokens in order; null ids
-    give null. An id outside the vocabulary is an error."""
-    path = vocabulary or public_tokenizers.path(VOCABULARY)
+    give null. An id outside the vocabulary is an error; a column named decoded is replaced."""
     rows = rows.drop("decoded")
-    names = rows.columns
+    return _apply(rows, _with(rows, DECODED), _decoding(vocabulary or public_tokenizers.path(VOCABULARY)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = {r: t for t, r in read_ranks(path).items()}.__getitem__
-        for batch in batches:
-            out = [None if x is None else b"".join(map(token, x)) for x in _lists(batch.column("ids"))]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in names] + [pa.array(out, pa.binary())], [*names, "decoded"])
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema, T.StructField("decoded", T.BinaryType())]))
+def encode_and_decode(docs: DataFrame, vocabulary: str | None = None, pattern: str | None = None) -> DataFrame:
+    """decode(encode(docs)) in one pass over one worker."""
+    path = vocabulary or public_tokenizers.path(VOCABULARY)
+    docs = docs.drop("ids", "decoded")
+    return _apply(docs, _with(docs, IDS, DECODED), _encoding(path, pattern or public_tokenizers.PATTERN), _decoding(path))
 
 
-def decoded_digest(rows: DataFrame, key: str = "doc_id", vocabulary: str | None = None) -> DataFrame:
-    """(key, n_tokens, ids_sha256, decoded_sha256) of rows (key, ids; null ids count as none), each
-    row decoded as decode() does; only digests leave the task."""
+def digests(docs: DataFrame, key: str = "doc_id", vocabulary: str | None = None) -> DataFrame:
+    """(key, n_tokens, ids_sha256, decoded_sha256) of encode_and_decode(); only digests leave the task."""
     path = vocabulary or public_tokenizers.path(VOCABULARY)
-    kind = rows.schema[key].dataType.simpleString()
+    names = [key, "n_tokens", "ids_sha256", "decoded_sha256"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = read_ranks(path)
-        token = {r: t for t, r in ranks.items()}.__getitem__
-        name = {r: str(r) for r in ranks.values()}.__getitem__
+        name = {r: str(r) for r in range(len(_tokens(path)))}.__getitem__
         for batch in batches:
-            lists = [x or [] for x in _lists(batch.column(1))]
+            lists = list(_lists(batch.column("ids")))
             shas = [hashlib.sha256(",".join(map(name, x)).encode()).hexdigest() for x in lists]
-            back = [hashlib.sha256(b"".join(map(token, x))).hexdigest() for x in lists]
+            back = [hashlib.sha256(x.as_buffer()).hexdigest() for x in batch.column("decoded")]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(x) for x in lists], pa.int64()), pa.array(shas, pa.string()),
-                 pa.array(back, pa.string())], [key, "n_tokens", "ids_sha256", "decoded_sha256"])
+                [batch.column(key), pa.array([len(x) for x in lists], pa.int64()), pa.array(shas, pa.string()),
+                 pa.array(back, pa.string())], names)
 
-    return rows.select(key, "ids").mapInArrow(
-        run, f"{key} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    schema = T.StructType([docs.schema[key], *[
+        T.StructField(n, t()) for n, t in zip(names[1:], (T.LongType, T.StringType, T.StringType), strict=True)]])
+    return _apply(docs.select(key, "text"), schema, _encoding(path, public_tokenizers.PATTERN), _decoding(path), run)
 
 
 @query("op5_bpe")
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's ids and of the bytes they decode to."""
-    return decoded_digest(encode(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return digests(table(spark, sf_dir, "documents").select("doc_id", "text"))

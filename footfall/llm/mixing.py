@@ -11,8 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from footfall.llm.prefix import running_totals
 from footfall.llm.registry import query, table
+from footfall.operators.frames import running_totals
 from footfall.session import stored
 
 WORD = r"[^\x20\x09-\x0D]+"

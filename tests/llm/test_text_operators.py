@@ -235,7 +235,10 @@ def test_ids_equal_the_library_and_decode_back(spark):
         text = texts[r.doc_id] or ""
         assert r.ids == own.encode_ordinary(text) and bytes(r.decoded) == text.encode()
     assert bpe.encode(frame.limit(0)).count() == 0
-    digest = {r.doc_id: r for r in bpe.decoded_digest(bpe.encode(frame)).collect()}
+    both = bpe.encode_and_decode(frame)
+    assert both.columns == bpe.decode(bpe.encode(frame)).columns
+    assert sorted(map(tuple, both.collect()), key=repr) == sorted(map(tuple, out), key=repr)
+    digest = {r.doc_id: r for r in bpe.digests(frame).collect()}
     ids = own.encode_ordinary(texts[6])
     assert digest[6].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
     assert digest[0].n_tokens == 0 and digest[0].decoded_sha256 == hashlib.sha256(b"").hexdigest()
