@@ -17,7 +17,6 @@ UNVERIFIED_DAYS = 14
 WARN_DAYS = 14
 MIN_NOTICE_DAYS = 7
 HARD_DAYS = 89
-BATCH = 200
 WARNED = ("trial_expired", "cancelled")
 
 # Tables with rows of one site, lines before their events.
@@ -176,10 +175,11 @@ def delete_tenants(tables: dict[str, DataFrame], tenants: DataFrame) -> tuple[di
 
 
 def purge_dormant(
-    tables: dict[str, DataFrame], as_of: datetime, enforce: bool = False, batch: int = BATCH
+    tables: dict[str, DataFrame], as_of: datetime, enforce: bool = False, batch: int | None = None
 ) -> tuple[dict[str, DataFrame], DataFrame]:
-    """(tables after the run, counts (measure, n)). A dry run changes nothing. At most `batch`
-    accounts go per run, unverified ones first; expired links go too."""
+    """(tables after the run, counts (measure, n)). A dry run changes nothing. All due accounts that
+    are not held go, or with `batch` so many, unverified ones first; remaining_accounts tells
+    how many are left. Expired links go too."""
     due = dormant(
         tables["tenants"], tables["users"], tables["sites"], tables["events"], tables["daily_rollups"], as_of)
     held = held_for_notice(tables["tenants"], tables["users"], due, as_of)
@@ -196,7 +196,12 @@ def purge_dormant(
             F.lit(f"expired_links.{n}").alias("measure"), "n"))
     if enforce:
         order = F.when(F.col("category") == "unverified", 0).when(F.col("category") == "trial_expired", 1).otherwise(2)
-        chosen = due.join(held, "tenant_id", "left_anti").orderBy(order, "tenant_id").limit(batch)
+        free = due.join(held, "tenant_id", "left_anti")
+        chosen = free if batch is None else free.orderBy(order, "tenant_id").limit(batch)
+        done = chosen.agg(F.count(F.lit(1)).alias("n"))
+        counts.append(done.select(F.lit("deleted_accounts").alias("measure"), "n"))
+        counts.append(due.agg(F.count(F.lit(1)).alias("n")).select(
+            F.lit("remaining_accounts").alias("measure"), (F.col("n") - done.scalar()).alias("n")))
         out, deleted = delete_tenants(tables, chosen)
         for n in expired:
             out[n] = out[n].where(F.col("expires_at") > ntz(as_of))

@@ -27,14 +27,14 @@ import bisect
 import hashlib
 from collections import Counter
 from dataclasses import dataclass
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from footfall.functions.timewin import micros, pageviews
+from footfall.functions.timewin import micros, pageviews, within
 from footfall.operators.frames import union_all
 from footfall.session import cut_lineage
 
@@ -323,7 +323,11 @@ def burst_backfill(
     touched days recomputed (anchored days stay). Using only `report` is the dry run."""
     from footfall.operators.rollup import daily_rollup, merge_rollups
 
-    flagged = find_bursts(landings(hits), rule, window)
+    near = hits
+    if window is not None:  # visitor keys live one day, and no burst reaches further
+        first, end = (datetime(t.year, t.month, t.day) for t in window)
+        near = within(hits, (first - timedelta(days=1), end + timedelta(days=2)))
+    flagged = find_bursts(landings(near), rule, window)
     out = move_to_bots(hits, items, bots, flagged, rule)
     touched = cut_lineage(out.pop("touched"))
     days = touched.select(F.col("site_id").alias("_site"), F.col("day").alias("_day"))

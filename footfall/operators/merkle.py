@@ -1,9 +1,10 @@
 """Inclusion tree over the seals of pending days.
 
 leaf = sha256(00 || seal), node = sha256(01 || left || right), an odd node moves up as it is.
-Aligned blocks of 1024 leaves form subtrees of their own, so a tree is built in three rounds
-of one shuffle each (up to 2^30 leaves), and no group ever holds more than 1024 hashes. A
-proof is the path inside the block followed by the proof of the block in the next round.
+Aligned blocks of 1024 leaves form subtrees of their own, so a tree is built in rounds of one
+shuffle each, as many as the number of leaves needs, and no group ever holds more than 1024
+hashes. A proof is the path inside the block followed by the proof of the block in the next
+round.
 """
 
 from __future__ import annotations
@@ -11,10 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from footfall.operators.frames import running_offset
+from footfall.operators.frames import running_totals
 
 BITS = 10
-ROUNDS = 3
 PROOF = "array<struct<sibling:string,right:boolean>>"
 
 _NEXT_LEVEL = (
@@ -45,7 +45,7 @@ def pending_leaves(rollups: DataFrame) -> DataFrame:
     task sees the whole list."""
     p = rollups.where("txid IS NULL AND rollup_hash IS NOT NULL").select("site_id", "day", "rollup_hash")
     counts = p.groupBy("site_id").agg(F.count(F.lit(1)).alias("n"))
-    off = running_offset(counts, "site_id", "n")
+    off = running_totals(counts, [F.col("site_id")], {"offset": F.col("n")}).select("site_id", "offset")
     rank = F.row_number().over(Window.partitionBy("site_id").orderBy("day")) - 1
     return p.withColumn("_rank", rank).join(off, "site_id").select(
         (F.col("offset") + F.col("_rank")).alias("idx"), "site_id", "day", "rollup_hash")
@@ -65,8 +65,9 @@ def _next(blocks: DataFrame) -> DataFrame:
 def tree(leaves: DataFrame) -> list[DataFrame]:
     """Block frames of each round, bottom up."""
     nodes = leaves.select("idx", leaf_hash(F.col("rollup_hash")).alias("hash"))
+    last = leaves.agg(F.max("idx")).first()[0] or 0
     rounds = []
-    for _ in range(ROUNDS):
+    for _ in range(max(1, -(-int(last).bit_length() // BITS))):
         blocks = _blocks(nodes)
         rounds.append(blocks)
         nodes = _next(blocks)

@@ -213,7 +213,7 @@ def overview(hits: DataFrame, sites: DataFrame, days: int, as_of: datetime) -> D
     of the last event, and a rank within the tenant. One grouping by (site, day) feeds all:
     visitor keys change daily, so a window's visitors are the sum of its days."""
     now, before = period_window(days, as_of), period_window(days, as_of, 1)
-    d = daily_uniques(hits)
+    d = daily_uniques(hits, (before[0], now[1]))
     in_now = (F.col("day") >= F.lit(now[0].date())) & (F.col("day") < F.lit(now[1].date()))
     in_before = (F.col("day") >= F.lit(before[0].date())) & (F.col("day") < F.lit(before[1].date()))
 
@@ -225,7 +225,6 @@ def overview(hits: DataFrame, sites: DataFrame, days: int, as_of: datetime) -> D
         total(in_now, "visitors").alias("visitors"),
         total(in_before, "pageviews").alias("prev_pageviews"),
         total(in_before, "visitors").alias("prev_visitors"),
-        F.max("last_ts").alias("last_ts"),
         F.map_from_entries(F.collect_list(
             F.when(in_now, F.struct("day", "visitors")))).alias("by_day"),
     )
@@ -236,7 +235,7 @@ def overview(hits: DataFrame, sites: DataFrame, days: int, as_of: datetime) -> D
         per_site, "site_id", "left"
     ).withColumn(
         "spark", F.transform(labels, lambda x: F.coalesce(F.col("by_day")[x], zero))
-    ).drop("by_day")
+    ).drop("by_day").join(last_event(hits), "site_id", "left")
     out = zero_fill(out, ["pageviews", "visitors", "prev_pageviews", "prev_visitors"])
     rank = Window.partitionBy("tenant_id").orderBy(F.desc("visitors"), F.asc("domain"))
     return out.withColumn("rank", F.row_number().over(rank))
@@ -246,11 +245,9 @@ def site_list(hits: DataFrame, sites: DataFrame, tenants: DataFrame, as_of: date
     """Today's events (all kinds) and visitors per site, time of the last event; empty sites stay."""
     start, end = period_window(1, as_of)
     today = (F.col("ts") >= ntz(start)) & (F.col("ts") < ntz(end))
-    per = hits.groupBy("site_id").agg(
-        F.count(F.when(today, 1)).alias("pageviews"),
-        F.count_distinct(F.when(today, F.col("visitor_hash"))).alias("visitors"),
-        F.max("ts").alias("last_ts"),
-    )
+    per = hits.where(today).groupBy("site_id").agg(
+        F.count(F.lit(1)).alias("pageviews"), F.count_distinct("visitor_hash").alias("visitors"))
+    per = last_event(hits).join(per, "site_id", "left")
     s = sites.join(
         tenants.select(F.col("id").alias("tenant_id"), F.col("name").alias("tenant")), "tenant_id"
     ).select("tenant_id", "tenant", F.col("id").alias("site_id"), "public_id", "domain")
@@ -338,7 +335,7 @@ def stalled_sites(
 ) -> DataFrame:
     """Sites with events in [now - active_days, now - quiet_hours) and none since."""
     quiet, active = as_of - timedelta(hours=quiet_hours), as_of - timedelta(days=active_days)
-    per = hits.groupBy("site_id").agg(F.max("ts").alias("last_ts"))
+    per = hits.where(F.col("ts") >= ntz(active)).groupBy("site_id").agg(F.max("ts").alias("last_ts"))
     # The last event decides both: it is old enough to be quiet and recent enough to count.
     gone = per.where((F.col("last_ts") < ntz(quiet)) & (F.col("last_ts") >= ntz(active)))
     return sites.select(F.col("id").alias("site_id"), "domain", "tenant_id").join(gone, "site_id")

@@ -11,7 +11,6 @@ from footfall.functions.agents import BOT_CLASSES
 from footfall.functions.referrers import ai_key, ai_name, is_ai_referral
 from footfall.functions.timewin import pageviews
 from footfall.operators.frames import top_per, union_all
-from footfall.schema import BOT_PATH_CAP
 
 PATH_CLASSES = ("ai", "search", "agent")
 KEY = ["site_id", "day", "bot_class", "agent", "path"]
@@ -71,14 +70,16 @@ def tidy_counts(counts: DataFrame) -> DataFrame:
     return c.groupBy(*KEY).agg(F.sum("n").alias("n"))
 
 
-def merge_bot_counts(old: DataFrame, counts: DataFrame, cap: int = BOT_PATH_CAP) -> DataFrame:
-    """The robot table after adding `counts`. Rows with a path that exist keep counting; new
+def merge_bot_counts(old: DataFrame, counts: DataFrame, cap: int | None = None) -> DataFrame:
+    """The robot table after adding `counts`. With a `cap`, rows with a path that exist keep counting; new
     ones are admitted in key order until a site day has `cap` of them, and the rest count
     under the empty path.
 
     Admission needs only the first `cap` new keys of a site day, so the rank is cut before the
     shuffle; everything else is sums."""
     new = tidy_counts(counts)
+    if cap is None:
+        return old.select(*KEY, "n").unionByName(new.select(*KEY, "n")).groupBy(*KEY).agg(F.sum("n").alias("n"))
     have = old.where("path <> ''").groupBy("site_id", "day").agg(F.count(F.lit(1)).alias("_have"))
     fresh = new.where("path <> ''").join(old.select(*KEY), KEY, "left_anti")
     order = Window.partitionBy("site_id", "day").orderBy("bot_class", "agent", "path")

@@ -14,7 +14,7 @@ from footfall.operators.frames import top_per, union_all, zero_fill
 from footfall.operators.metrics import PAGEVIEW_DIMS, dim_entries
 from footfall.operators.sessions import sessionize, visit_totals
 from footfall.session import cut_lineage
-from footfall.schema import BREAKDOWN_CAP, DEFAULT_CURRENCY, DIRECT, UNKNOWN
+from footfall.schema import DEFAULT_CURRENCY, DIRECT, UNKNOWN
 
 HIT_DIMS = (*PAGEVIEW_DIMS, "campaign", "event", "ai", "ai_total")
 SESSION_DIMS = ("kpi", "entry", "exit")
@@ -185,7 +185,7 @@ def robot_dims(bots: DataFrame, keys: list[str], dims=BOT_DIMS) -> DataFrame:
 
 def breakdown_cube(
     hits: DataFrame, items: DataFrame, bots: DataFrame, sites: DataFrame, window=None,
-    by_day: bool = True, cap: int | None = BREAKDOWN_CAP, dims=None,
+    by_day: bool = True, cap: int | None = None, dims=None,
 ) -> DataFrame:
     """(site_id, [day], dim, key, currency, n, visitors, revenue_cents) of all dimensions, or
     of `dims` only: families without a wanted dimension are left out of the plan."""
@@ -211,8 +211,8 @@ def breakdown_cube(
     return cap_keys(cube, keys, cap)
 
 
-def cap_keys(cube: DataFrame, keys: list[str], cap: int | None = BREAKDOWN_CAP) -> DataFrame:
-    """At most `cap` keys per group and dimension: by revenue for order dimensions, else by
+def cap_keys(cube: DataFrame, keys: list[str], cap: int | None = None) -> DataFrame:
+    """All keys, or at most `cap` keys per group and dimension: by revenue for order dimensions, else by
     count, ties by key. Totals (kpi, ecom, ai_total) hold a few keys and stay whole."""
     if cap is None:
         return cube
@@ -225,6 +225,16 @@ def cap_keys(cube: DataFrame, keys: list[str], cap: int | None = BREAKDOWN_CAP)
     return cube.where(whole).unionByName(listed)
 
 
+def cut_keys(cube: DataFrame, capped: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, dim, keys_cut, n_cut): what cap_keys() left out of each group and dimension, if anything."""
+    by = [*keys, "dim"]
+    left = capped.groupBy(*by).agg(F.count(F.lit(1)).alias("_k"), F.sum("n").alias("_n"))
+    all_of = cube.groupBy(*by).agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n")).join(left, by, "left")
+    return all_of.select(
+        *by, (F.col("k") - F.coalesce("_k", F.lit(0))).alias("keys_cut"), (F.col("n") - F.coalesce("_n", F.lit(0))).alias("n_cut")
+    ).where("keys_cut > 0")
+
+
 # --- storing it -------------------------------------------------------------------------
 
 def family(dim: Column) -> Column:

@@ -68,9 +68,6 @@ BEACONS = (
 # Limits and display defaults of the stored data model.
 SESSION_GAP_SECONDS = 1800
 RAW_DAYS = 90
-BREAKDOWN_CAP = 500
-BOT_PATH_CAP = 200
-SEARCH_TOP_PER_DAY = 100
 SEARCH_LAG_DAYS = 2
 MAX_EVENT_BYTES = 16384
 EVENTS_PER_MINUTE = 120

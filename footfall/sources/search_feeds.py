@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from footfall.functions.cleaning import url_path
 from footfall.functions.timewin import day_lit
 from footfall.operators.frames import top_per
-from footfall.schema import SEARCH_TOP_PER_DAY
 
 KEY = ["site_id", "day", "source", "dim", "key"]
 
@@ -23,17 +22,17 @@ def _rows(raw: DataFrame) -> DataFrame:
     return raw.withColumn("v", F.try_parse_json("body")).where(F.col("v").isNotNull())
 
 
-def normalize_gsc(raw: DataFrame, top: int = SEARCH_TOP_PER_DAY) -> DataFrame:
+def normalize_gsc(raw: DataFrame, top: int | None = None) -> DataFrame:
     """(site_id, dim, body) with one JSON row of the Search Console API each; dim is total,
-    query or page. Pages are stored as paths, keys are cut at 500 characters, and each day of
-    a site keeps its `top` keys by clicks, then impressions."""
+    query or page. Pages are stored as paths; with `top`, each day of a site keeps so many keys
+    by clicks, then impressions."""
     v = F.col("v")
     key = F.when(F.col("dim") == "total", "").otherwise(F.try_variant_get(v, "$.keys[1]", "string"))
     path = url_path(key)
     key = F.when(F.col("dim") == "page", F.when(path != "", path).otherwise("/")).otherwise(key)
     rows = _rows(raw).select(
         "site_id", F.to_date(F.try_variant_get(v, "$.keys[0]", "string")).alias("day"),
-        F.lit("google").alias("source"), "dim", F.substring(key, 1, 500).alias("key"),
+        F.lit("google").alias("source"), "dim", key.alias("key"),
         _num(v, "$.clicks").alias("clicks"), _num(v, "$.impressions").alias("impressions"),
         F.try_variant_get(v, "$.position", "double").alias("position"))
     order = [F.desc("clicks"), F.desc("impressions"), F.asc("key")]

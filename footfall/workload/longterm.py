@@ -100,7 +100,7 @@ cube AS (
   UNION ALL SELECT site_id, day, 'bot_ai_path', path, '', CAST(sum(n) AS BIGINT), NULL, NULL FROM bots WHERE bot_class = 'ai' AND path <> '' GROUP BY ALL)"""
 
 
-def cube(t, window=None, cap=500, dims=None):
+def cube(t, window=None, cap=None, dims=None):
     return ru.breakdown_cube(t.hits, t.items, t.bots, t.sites, window, cap=cap, dims=dims)
 
 
