@@ -222,9 +222,12 @@ def _account_tables(t):
     from footfall.workload.metrics import many_sites
 
     hits, sites = many_sites(t)
+    # Events go to the sites with even numbers, so that accounts without events exist.
+    events = t.spark.sql("SELECT *, (SELECT count(*) FROM {c}) AS many FROM {h}", c=t.raw("customer"), h=t.hits).selectExpr(
+        "id", "2 * (1 + id % (many div 2)) AS site_id")
     users = t.users
     return {
-        "tenants": t.tenants, "users": users, "sites": sites, "events": hits.where("false"), "goals": hits.select("id", "site_id"),
+        "tenants": t.tenants, "users": users, "sites": sites, "events": events, "goals": hits.select("id", "site_id"),
         "daily_rollups": t.spark.createDataFrame([], ROLLUPS),
         "reset_tokens": users.selectExpr("email", "created_at + INTERVAL 100 DAY AS expires_at"),
         "invites": users.selectExpr("tenant_id", "created_at + INTERVAL 200 DAY AS expires_at"),
@@ -232,10 +235,12 @@ def _account_tables(t):
 
 
 _MANYID = "(SELECT count(*) FROM customer)"
+_EVENT_SITE = f"2 * (1 + id % ({_MANYID} // 2))"
+_DUE_MANY = _DUE.replace(
+    "AND id NOT IN (SELECT tenant_id FROM sites WHERE id IN (SELECT site_id FROM hits))", f"AND id NOT IN (SELECT {_EVENT_SITE} FROM hits)")
 
 
-@query("purge_dry_run", ctes("tenants", "users", "sites", "hits", extra=_FIRST + "," + _DUE.replace(
-    "AND id NOT IN (SELECT tenant_id FROM sites WHERE id IN (SELECT site_id FROM hits))", "") + "," + _HELD) + f"""
+@query("purge_dry_run", ctes("tenants", "users", "sites", "hits", extra=_FIRST + "," + _DUE_MANY + "," + _HELD) + f"""
 SELECT concat('accounts.', category) AS measure, count(*) AS n FROM due WHERE category IS NOT NULL GROUP BY category
 UNION ALL SELECT 'held_for_notice', count(*) FROM held
 UNION ALL SELECT 'expired_links.reset_tokens', count(*) FROM users WHERE created_at + INTERVAL 100 DAY <= {_LATE}
@@ -244,24 +249,44 @@ def purge_dry_run(t):
     return ac.purge_dormant(_account_tables(t), LATE)[1]
 
 
-@query("purge_enforced", ctes("tenants", "users", "sites", "hits", extra=_FIRST + "," + _DUE.replace(
-    "AND id NOT IN (SELECT tenant_id FROM sites WHERE id IN (SELECT site_id FROM hits))", "") + "," + _HELD) + f"""
-, chosen AS (SELECT tenant_id FROM due WHERE category IS NOT NULL AND tenant_id NOT IN (SELECT tenant_id FROM held)
-  ORDER BY CASE category WHEN 'unverified' THEN 0 WHEN 'trial_expired' THEN 1 ELSE 2 END, tenant_id LIMIT 50),
+_PURGED = """
+, free AS (SELECT tenant_id, category FROM due WHERE category IS NOT NULL AND tenant_id NOT IN (SELECT tenant_id FROM held)),
+chosen AS (SELECT tenant_id FROM free {limit}),
 cu AS (SELECT * FROM users WHERE tenant_id IN (SELECT tenant_id FROM chosen))
 SELECT 'tenants' AS "table", count(*) AS n FROM tenants WHERE id NOT IN (SELECT tenant_id FROM chosen)
 UNION ALL SELECT 'users', count(*) FROM users WHERE tenant_id NOT IN (SELECT tenant_id FROM chosen)
 UNION ALL SELECT 'sites', count(*) FROM tenants WHERE id NOT IN (SELECT tenant_id FROM chosen)
-UNION ALL SELECT 'goals', count(*) FROM hits WHERE 1 + id % {_MANYID} NOT IN (SELECT tenant_id FROM chosen)
-UNION ALL SELECT 'reset_tokens', count(*) FROM users WHERE created_at + INTERVAL 100 DAY > {_LATE} AND email NOT IN (SELECT email FROM cu)
-UNION ALL SELECT 'invites', count(*) FROM users WHERE created_at + INTERVAL 200 DAY > {_LATE} AND tenant_id NOT IN (SELECT tenant_id FROM chosen)""")
-def purge_enforced(t):
+UNION ALL SELECT 'events', count(*) FROM hits WHERE {event} NOT IN (SELECT tenant_id FROM chosen)
+UNION ALL SELECT 'goals', count(*) FROM hits WHERE 1 + id % {many} NOT IN (SELECT tenant_id FROM chosen)
+UNION ALL SELECT 'reset_tokens', count(*) FROM users WHERE created_at + INTERVAL 100 DAY > {late} AND email NOT IN (SELECT email FROM cu)
+UNION ALL SELECT 'invites', count(*) FROM users WHERE created_at + INTERVAL 200 DAY > {late} AND tenant_id NOT IN (SELECT tenant_id FROM chosen)
+UNION ALL SELECT 'deleted_accounts', count(*) FROM chosen
+UNION ALL SELECT 'remaining_accounts', (SELECT count(*) FROM due WHERE category IS NOT NULL) - (SELECT count(*) FROM chosen)"""
+
+
+def _purged(t, batch=None):
     from footfall.operators.frames import union_all
 
-    out, _ = ac.purge_dormant(_account_tables(t), LATE, enforce=True, batch=50)
+    out, counts = ac.purge_dormant(_account_tables(t), LATE, enforce=True, batch=batch)
     return union_all([
         out[n].agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("table"), "n")
-        for n in ("tenants", "users", "sites", "goals", "reset_tokens", "invites")])
+        for n in ("tenants", "users", "sites", "events", "goals", "reset_tokens", "invites")
+    ] + [counts.where("measure IN ('deleted_accounts', 'remaining_accounts')").select(F.col("measure").alias("table"), "n")])
+
+
+def _purge_sql(limit: str) -> str:
+    return ctes("tenants", "users", "sites", "hits", extra=_FIRST + "," + _DUE_MANY + "," + _HELD) + _PURGED.format(
+        limit=limit, event=_EVENT_SITE, many=_MANYID, late=_LATE)
+
+
+@query("purge_enforced", _purge_sql(""))
+def purge_enforced(t):
+    return _purged(t)
+
+
+@query("purge_batch", _purge_sql("ORDER BY CASE category WHEN 'unverified' THEN 0 WHEN 'trial_expired' THEN 1 ELSE 2 END, tenant_id LIMIT 50"))
+def purge_batch(t):
+    return _purged(t, batch=50)
 
 
 @query("delete_tenants_counts", ctes("hits", "users") + f"""
@@ -271,7 +296,7 @@ UNION ALL SELECT 'sites', count(*) FROM gone
 UNION ALL SELECT 'users', count(*) FROM users WHERE tenant_id IN (SELECT tenant_id FROM gone)
 UNION ALL SELECT 'reset_tokens', count(*) FROM users WHERE email IN (SELECT email FROM users WHERE tenant_id IN (SELECT tenant_id FROM gone))
 UNION ALL SELECT 'invites', count(*) FROM users WHERE tenant_id IN (SELECT tenant_id FROM gone)
-UNION ALL SELECT 'events', 0 UNION ALL SELECT 'daily_rollups', 0
+UNION ALL SELECT 'events', count(*) FROM hits WHERE {_EVENT_SITE} IN (SELECT tenant_id FROM gone) UNION ALL SELECT 'daily_rollups', 0
 UNION ALL SELECT 'goals', count(*) FROM hits WHERE 1 + id % {_MANYID} IN (SELECT tenant_id FROM gone)""")
 def delete_tenants_counts(t):
     gone = t.raw("customer").where("c_nationkey = 3").selectExpr("c_custkey + 1 AS tenant_id")
