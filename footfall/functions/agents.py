@@ -7,17 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Classes of non-human traffic and their labels.
-BOT_CLASSES = {
-    "ai": "KI-crawlere og -assistenter",
-    "agent": "KI-agenter i nettleser",
-    "search": "Søkemotorer",
-    "social": "Lenkeforhåndsvisninger",
-    "monitor": "Overvåking og SEO-verktøy",
-    "script": "Skript og verktøy",
-    "datacenter": "Datasentre",
-    "other": "Andre roboter",
-}
+# Classes of non-human traffic.
+BOT_CLASSES = ("ai", "agent", "search", "social", "monitor", "script", "datacenter", "other")
 
 # Generic robot words.
 BOT_WORDS = (

@@ -2,10 +2,10 @@
 
 A visitor goes through a funnel greedily in time order: each hit advances at most one step.
 What a stretch of hits does to a visitor is a small table "at step i on entry -> at step j on
-exit". Such tables can be composed, so the match runs in two bounded levels: hits of one
-visitor minute make one table, and a visitor's minutes (at most 1440 a day, since keys change
-daily) are composed in order. No visitor's hits are ever gathered in one place, and hits that
-match no step are dropped before the shuffle.
+exit". Such tables can be composed, so the match runs in levels: blocks of BLOCK hits make one
+table each, the blocks of a visitor minute are composed in order, and then a visitor's minutes
+(at most 1440 a day, since keys change daily). Hits that match no step are dropped before the
+shuffle.
 """
 
 from __future__ import annotations
@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from footfall.functions.numbers import percent
 from footfall.functions.timewin import micros, within
 
-MINUTE_US = 60_000_000
+SECOND_US = 1_000_000
+MINUTE_US = 60 * SECOND_US
+BLOCK = 256
 STEPS = "array<struct<type:string,value:string>>"
 
 
@@ -56,30 +58,23 @@ def reached(hits: DataFrame, funnels: DataFrame, window=None) -> DataFrame:
     ))
     rows = within(hits, window).select("site_id", "visitor_hash", "id", us.alias("us"), F.inline(keys))
     found = rows.join(kinds, ["site_id", "kind", "value"]).select(
-        "site_id", "funnel_id", "steps_total", "visitor_hash", "us", "id", "matched",
-        F.floor(F.col("us") / MINUTE_US).alias("minute"),
-    )
+        "site_id", "funnel_id", "steps_total", "visitor_hash", "us", "id", "matched")
     who = ["site_id", "funnel_id", "steps_total", "visitor_hash"]
     # A hit can match by its event name and by its path: both lists belong to one hit.
+    hit = found.groupBy(*who, "us", "id").agg(F.flatten(F.collect_list("matched")).alias("matched"))
+    # Hits are numbered by second and cut into blocks, so no list grows with a visitor's traffic
+    # but the list of blocks, which is BLOCK times shorter.
+    hit = hit.withColumn("second", F.floor(F.col("us") / SECOND_US))
+    order = Window.partitionBy(*who, "second").orderBy("us", "id")
+    hit = hit.withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK))
     ordered = F.sort_array(F.collect_list(F.struct("us", "id", "matched")))
-    per_minute = found.groupBy(*who, "minute").agg(ordered.alias("seq"))
-    one_hit_each = F.aggregate(
-        "seq",
-        F.expr("slice(seq, 1, 0)"),
-        lambda acc, x: F.when(
-            (F.size(acc) > 0) & (F.element_at(acc, -1)["id"] == x["id"]),
-            F.concat(
-                F.slice(acc, 1, F.size(acc) - 1),
-                F.array(F.struct(
-                    x["us"].alias("us"), x["id"].alias("id"),
-                    F.concat(F.element_at(acc, -1)["matched"], x["matched"]).alias("matched"))),
-            ),
-        ).otherwise(F.concat(acc, F.array(x))),
-    )
     start = F.sequence(F.lit(0), F.col("steps_total"))
-    table = F.transform(
-        start, lambda at: F.aggregate("hits_seq", at, lambda a, x: _advance(a, x["matched"])))
-    tables = per_minute.withColumn("hits_seq", one_hit_each).select(*who, "minute", table.alias("table"))
+    table = F.transform(start, lambda at: F.aggregate("seq", at, lambda a, x: _advance(a, x["matched"])))
+    blocks = hit.groupBy(*who, "second", "block").agg(ordered.alias("seq")).select(
+        *who, F.floor(F.col("second") * SECOND_US / MINUTE_US).alias("minute"), "second", "block", table.alias("table"))
+    inside = F.transform(F.sort_array(F.collect_list(F.struct("second", "block", "table"))), lambda b: b["table"])
+    composed = F.transform(start, lambda at: F.aggregate("blocks", at, lambda a, t: F.get(t, a)))
+    tables = blocks.groupBy(*who, "minute").agg(inside.alias("blocks")).select(*who, "minute", composed.alias("table"))
     chain = F.transform(F.sort_array(F.collect_list(F.struct("minute", "table"))), lambda m: m["table"])
     per_visitor = tables.groupBy(*who).agg(chain.alias("chain"))
     final = F.aggregate("chain", F.lit(0), lambda at, t: F.get(t, at))

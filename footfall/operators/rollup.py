@@ -314,7 +314,7 @@ def retention(
     cube = cube.join(todo, pairs, "left_semi")
     sources = source_families(hits, bots, before=cut).join(todo, pairs, "left_semi")
     summary = event_days.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("deleted")).withColumn(
-        "k", F.lit(1)).join(missing.agg(F.count(F.lit(1)).alias("sealed")).withColumn("k", F.lit(1)), "k").drop("k")
+        "sealed", missing.agg(F.count(F.lit(1)).alias("sealed")).scalar())
     return {
         "hits": hits.where(F.col("ts") >= ntz(cut_ts)),
         "items": items.where(F.col("ts") >= ntz(cut_ts)),

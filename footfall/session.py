@@ -12,9 +12,6 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Run-time settings the operators count on, for a session made elsewhere."""
     # All stored timestamps are UTC without zone; casts must not move them.
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    # Generated methods above this size are not compiled by the JVM; wide projections
-    # (classification) run faster as several smaller ones.
-    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     return spark
 
 
@@ -32,6 +29,9 @@ def build_session(
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.sources.partitionOverwriteMode", "dynamic")
         .config("spark.ui.enabled", "false")
+        # Generated methods above this size are not compiled by the JVM; wide projections
+        # (classification) run faster as several smaller ones.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         # Plans here are large; recording a call site per column doubles the time to build one.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
