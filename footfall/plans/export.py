@@ -124,15 +124,24 @@ def raw_files(hits: DataFrame, items: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+def direct_files(t: SiteTables) -> dict[str, DataFrame]:
+    """Files that are a table under other names."""
+    return {
+        "nettsted": _renamed(
+            t.sites.withColumn("site_id", F.col("id")).withColumn("public_dash", F.col("public_dash") == 1), {
+                "domain": "domene", "public_id": "nettsted_id", "created_at": "opprettet",
+                "public_dash": "offentlig_dashboard"}),
+        "roboter": _renamed(t.bots.withColumn("day", day_text("day")), {
+            "day": "dag", "bot_class": "klasse", "agent": "agent", "path": "side", "n": "antall"}),
+    }
+
+
 def site_export(t: SiteTables) -> dict[str, DataFrame]:
     """File name -> table, each with site_id."""
     ends = entry_exit(t.hits, None, limit=None)
     page_of = {"inngangssider": "entry", "utgangssider": "exit"}
     out = {
-        "nettsted": _renamed(
-            t.sites.withColumn("site_id", F.col("id")).withColumn("public_dash", F.col("public_dash") == 1), {
-                "domain": "domene", "public_id": "nettsted_id", "created_at": "opprettet",
-                "public_dash": "offentlig_dashboard"}),
+        **direct_files(t),
         "tidsserie": daily_series(t.hits),
         "daglige_tall": _renamed(t.rollups.withColumn("day", day_text("day")), {
             "day": "dag", "pageviews": "sidevisninger", "visitors": "unike_besoekende", "sessions": "okter",
@@ -154,8 +163,6 @@ def site_export(t: SiteTables) -> dict[str, DataFrame]:
             "funnel": "trakt", "step": "steg", "type": "type", "value": "verdi", "visitors": "besoekende",
             "rate": "andel_av_foerste_steg_prosent"}),
         **order_files(t.hits, t.items),
-        "roboter": _renamed(t.bots.withColumn("day", day_text("day")), {
-            "day": "dag", "bot_class": "klasse", "agent": "agent", "path": "side", "n": "antall"}),
         "sokestatistikk": _renamed(t.search.withColumn("day", day_text("day")), {
             "day": "dag", "source": "kilde", "dim": "dimensjon", "key": "noekkel", "clicks": "klikk",
             "impressions": "visninger", "position": "posisjon"}),

@@ -459,6 +459,18 @@ def export_countries(t):
     return ex.breakdown_files(t.hits, t.sites)["land"]
 
 
+def _breakdown_file(name, dim, header):
+    @query(f"export_{name}", ctes("hits", extra=PV + "," + _DIM_SQL) + f"""
+SELECT site_id, key AS {header}, n AS sidevisninger, visitors AS unike_besoekende FROM counted WHERE dim = '{dim}'""")
+    def run(t):
+        return ex.breakdown_files(t.hits, t.sites)[name]
+
+
+for _name, (_dim, _header) in ex.BREAKDOWN_FILES.items():
+    if _name != "land":
+        _breakdown_file(_name, _dim, _header)
+
+
 _KR = "concat(CAST(revenue_cents // 100 AS VARCHAR), ',', lpad(CAST(revenue_cents % 100 AS VARCHAR), 2, '0'))"
 
 
@@ -484,6 +496,44 @@ def export_raw(t):
     return csv_sink.cells(ex.raw_files(t.hits, t.items)["raadata_hendelser"])
 
 
+@query("export_raw_items", ctes("items") + """
+SELECT site_id, id AS varelinje_id, event_id AS hendelse_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS tidspunkt_utc, name AS produkt, qty AS antall,
+  unit_price_cents AS enhetspris_minste_enhet, currency AS valuta FROM items""")
+def export_raw_items(t):
+    return ex.raw_files(t.hits, t.items)["raadata_varelinjer"].withColumn("tidspunkt_utc", _ts("tidspunkt_utc"))
+
+
+def _site_tables(t):
+    none = t.hits.where("false")
+    return ex.SiteTables(t.hits, t.items, t.sites, t.goals, t.funnels, none, none, t.bots, none)
+
+
+def _direct_file(name, file, sql):
+    @query(f"export_{name}", sql)
+    def run(t):
+        return ex.direct_files(_site_tables(t))[file]
+
+
+_direct_file("robots", "roboter", ctes("hits", "bots") + """
+SELECT site_id, strftime(day, '%Y-%m-%d') AS dag, bot_class AS klasse, agent, path AS side, n AS antall FROM bots""")
+_direct_file("site", "nettsted", ctes("sites") + """
+SELECT id AS site_id, domain AS domene, public_id AS nettsted_id, public_dash = 1 AS offentlig_dashboard FROM sites""")
+
+
+@query("export_account", ctes("tenants") + """
+SELECT id AS tenant_id, name AS firmanavn, plan, strftime(trial_ends_at, '%Y-%m-%d %H:%M:%S') AS proveperiode_slutt,
+  strftime(cancelled_at, '%Y-%m-%d %H:%M:%S') AS avsluttet FROM tenants""")
+def export_account(t):
+    return ex.account_tables(t.tenants, t.users)["konto"].select(
+        "tenant_id", "firmanavn", "plan", _ts("proveperiode_slutt").alias("proveperiode_slutt"), _ts("avsluttet").alias("avsluttet"))
+
+
+@query("export_users", ctes("users") + """
+SELECT tenant_id, email AS epost, email_verified = 1 AS bekreftet, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS opprettet FROM users""")
+def export_users(t):
+    return ex.account_tables(t.tenants, t.users)["brukere"].withColumn("opprettet", _ts("opprettet"))
+
+
 @query("export_cells", """
 SELECT CAST(l_orderkey AS VARCHAR) AS l_orderkey, CAST(l_linenumber AS VARCHAR) AS l_linenumber,
   CASE WHEN l_discount = floor(l_discount) THEN CAST(CAST(l_discount AS BIGINT) AS VARCHAR)
