@@ -9,7 +9,7 @@ way, never executor memory.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from datetime import datetime, timedelta
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,25 +17,35 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from footfall.functions.timewin import ntz
 from footfall.operators.accounts import ATTEMPT_CAPS
-from footfall.operators.bursts import RULE, S, BurstRule, burst_pass, landings
+from footfall.operators.bursts import RULE, S, BurstRule, burst_pass, landings, move_to_bots
 from footfall.plans.ingest import Dimensions, ingest, minute_counts, minute_of
 
 SWEEP_LOOKBACK = timedelta(seconds=90)
 FLAG_TTL = timedelta(hours=1)
 
 
-def write_batch(df: DataFrame, root: str, batch_id: int) -> None:
-    df.write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
+def hour_of(at: datetime) -> int:
+    return int((at - datetime(1970, 1, 1)).total_seconds() // 3600)
 
 
-def read_batches(spark: SparkSession, root: str, schema: str, before: int) -> DataFrame:
-    """Rows of all earlier batches; empty when there are none."""
-    try:
-        return spark.read.schema(f"{schema}, batch long").parquet(root).where(F.col("batch") < before)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return spark.createDataFrame([], f"{schema}, batch long")
+def write_batch(df: DataFrame, root: str, batch_id: int, hour: int | None = None) -> None:
+    under = root if hour is None else f"{root}/hour={hour}"
+    df.write.mode("overwrite").parquet(f"{under}/batch={batch_id}")
+
+
+def read_batches(spark: SparkSession, root: str, schema: str, before: int, hours: range) -> DataFrame:
+    """Rows of earlier batches written under `hours`; empty when there are none. Only the folders
+    of these hours are listed, so a look back costs the same however long the stream runs."""
+    out = spark.createDataFrame([], f"{schema}, batch long")
+    for hour in hours:
+        try:
+            part = spark.read.schema(f"{schema}, batch long").parquet(f"{root}/hour={hour}")
+        except Exception as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            continue
+        out = out.unionByName(part.where(F.col("batch") < before))
+    return out
 
 
 @dataclass
@@ -48,8 +58,13 @@ class LiveIngest:
 
     def process(self, beacons: DataFrame, batch_id: int) -> None:
         spark = beacons.sparkSession
+        first, now = beacons.agg(F.min("received_at"), F.max("received_at")).first()
+        if now is None:
+            return
         minutes = f"{self.root}/minutes"
-        seen = read_batches(spark, minutes, "visitor_hash string, minute long, n long", batch_id)
+        # A batch lies under the hour of its newest row; its oldest may be of an earlier one.
+        hours = range(hour_of(first), hour_of(now) + 2)
+        seen = read_batches(spark, minutes, "visitor_hash string, minute long, n long", batch_id, hours)
         # Only the minutes this batch touches; the earlier counts of a minute are added up.
         touched = beacons.select(minute_of().alias("minute")).distinct()
         used = seen.join(touched, "minute", "left_semi").groupBy("visitor_hash", "minute").agg(F.sum("n").alias("used"))
@@ -59,7 +74,7 @@ class LiveIngest:
         write_batch(out.bot_counts, f"{self.root}/bots", batch_id)
         write_batch(out.drops, f"{self.root}/drops", batch_id)
         passed = out.judged.where("reason IS NULL")
-        write_batch(minute_counts(passed).drop("site_id"), minutes, batch_id)
+        write_batch(minute_counts(passed).drop("site_id"), minutes, batch_id, hour_of(now))
 
     def start(self, beacons: DataFrame, checkpoint: str, **trigger) -> DataStreamWriter:
         return beacons.writeStream.foreachBatch(self.process).option(
@@ -80,10 +95,15 @@ def sweep(
         int((horizon - datetime(1970, 1, 1)).total_seconds() * S), carry)
 
 
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != "batch")
+
+
 @dataclass
 class BurstSweep:
     """Hit stream -> flagged visitors, one folder per micro-batch. Hits of visitors flagged
-    before are diverted (`diverted`) for an hour instead of being stored with the people."""
+    before are diverted (`diverted`) for an hour instead of being stored with the people.
+    settle() moves what was stored before its visitor was flagged, and counts all robots."""
 
     root: str
     rule: BurstRule = RULE
@@ -95,19 +115,40 @@ class BurstSweep:
         now = hits.agg(F.max("ts")).first()[0]
         if now is None:
             return
-        flagged = read_batches(spark, f"{self.root}/flagged", self._FLAGGED, batch_id)
+        hour = hour_of(now)
+        day = range(hour_of(now - SWEEP_LOOKBACK) // 24 * 24, hour + 1)
+        flagged = read_batches(spark, f"{self.root}/flagged", self._FLAGGED, batch_id, day)
         since = int((now - FLAG_TTL - datetime(1970, 1, 1)).total_seconds() * S)
         known = flagged.where(F.col("us") >= since).select("site_id", "visitor_hash").distinct()
         key = ["site_id", "visitor_hash"]
-        write_batch(hits.join(known, key, "left_semi"), f"{self.root}/diverted", batch_id)
-        write_batch(hits.join(known, key, "left_anti"), f"{self.root}/stored", batch_id)
-        stored = spark.read.parquet(f"{self.root}/stored").where(F.col("batch") <= batch_id)
+        write_batch(hits.join(known, key, "left_semi"), f"{self.root}/diverted", batch_id, hour)
+        write_batch(hits.join(known, key, "left_anti"), f"{self.root}/stored", batch_id, hour)
+        stored = read_batches(spark, f"{self.root}/stored", _ddl(hits), batch_id + 1, day)
         people = stored.join(flagged.select(*key).distinct(), key, "left_anti")
-        on = read_batches(spark, f"{self.root}/active", "site_id long, country string, active long", batch_id)
+        on = read_batches(spark, f"{self.root}/active", "site_id long, country string, active long", batch_id, range(hour - 1, hour + 1))
         carry = on.groupBy("site_id", "country").agg(F.max("active").alias("active"))
         found, still = sweep(people, now, carry, self.rule)
-        write_batch(found, f"{self.root}/flagged", batch_id)
-        write_batch(still, f"{self.root}/active", batch_id)
+        write_batch(found, f"{self.root}/flagged", batch_id, hour)
+        write_batch(still, f"{self.root}/active", batch_id, hour)
+
+    def settle(self, hits: DataFrame, items: DataFrame, bots: DataFrame, day: date) -> dict[str, DataFrame]:
+        """Tables after a day: `hits` gives the columns of the stream, `items` and `bots` are the tables
+        of the day so far. Events of flagged visitors leave hits and items, and they and the
+        diverted rows are counted as robots, as the batch form does. Write the results by day
+        (sources.tables.replace_days), so that a second run replaces the first."""
+        spark = hits.sparkSession
+        first = hour_of(datetime(day.year, day.month, day.day))
+        hours, last = range(first, first + 25), 2**62
+        schema = _ddl(hits)
+        stored = read_batches(spark, f"{self.root}/stored", schema, last, hours).drop("batch")
+        diverted = read_batches(spark, f"{self.root}/diverted", schema, last, hours).drop("batch")
+        flagged = read_batches(spark, f"{self.root}/flagged", self._FLAGGED, last, hours).drop("batch")
+        out = move_to_bots(stored.where(F.to_date("ts") == F.lit(day)), items, bots, flagged, self.rule)
+        more = diverted.where(F.to_date("ts") == F.lit(day)).groupBy("site_id", F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+        more = more.select("site_id", "day", F.lit("script").alias("bot_class"), F.lit("burst").alias("agent"), F.lit("").alias("path"), "n")
+        key = ["site_id", "day", "bot_class", "agent", "path"]
+        out["bots"] = out["bots"].unionByName(more).groupBy(*key).agg(F.sum("n").alias("n"))
+        return out
 
     def start(self, hits: DataFrame, checkpoint: str, **trigger) -> DataStreamWriter:
         return hits.writeStream.foreachBatch(self.process).option(

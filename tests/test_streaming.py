@@ -10,6 +10,7 @@ from footfall.operators.sessions import sessionize
 from footfall.plans.ingest import Dimensions, ingest
 from footfall.schema import HITS
 from footfall.sources.beacons import read_beacons
+from footfall.operators.bursts import move_to_bots
 from footfall.streaming.live import BurstSweep, LiveIngest, live_attempts, live_sessions
 from footfall.workload.views import Tables
 
@@ -142,3 +143,15 @@ def test_burst_sweep(spark, tmp_path, cut):
     assert sorted(r.visitor_hash for r in flagged.collect()) == sorted(f"bot{i}" for i in range(20))
     diverted = spark.read.parquet(str(tmp_path / "sweep" / "diverted"))
     assert {r.visitor_hash for r in diverted.where("batch = 2").collect()} == {"bot3"}
+    # What the stream leaves equals the batch form over all rows.
+    every = frame(wave + people + [row(200, 20, "/guide", "human9", "NO"), row(300, 40, "/p/3", "bot3", name="checkout_start"),
+                                   row(301, 40, "/guide", "human1", "NO", "scroll")])
+    items = spark.createDataFrame([(1, 3), (2, 100)], "id long, event_id long")
+    bots = spark.createDataFrame([], "site_id long, day date, bot_class string, agent string, path string, n long")
+    day = T0.date()
+    live = s.settle(every.limit(0), items, bots, day)
+    batch = move_to_bots(every, items, bots, flagged.drop("batch", "hour"))
+    for name in ("hits", "items", "bots"):
+        cols = batch[name].columns
+        assert sorted(map(str, live[name].select(*cols).collect())) == sorted(map(str, batch[name].collect())), name
+    assert [r.n for r in live["bots"].collect()] == [21]
