@@ -129,8 +129,12 @@ def identify(docs: DataFrame, langs: list[str], logs: np.ndarray) -> DataFrame:
     Missing evidence of a kind says nothing. A text without letters (null, empty, digits) is of
     language und with confidence 0, and so is every text if no language is known. Ties go to
     the first language in order. Repeated rows are judged alike; no rows in, no rows out."""
+    return fuse(text_posterior(docs.select("doc_id", "text", "declared", "suffix", "host", "domain"), logs), langs)
+
+
+def fuse(scored: DataFrame, langs: list[str]) -> DataFrame:
+    """identify() for texts that are scored already: (doc_id, logp, declared, suffix, host, domain)."""
     n = len(langs)
-    scored = text_posterior(docs.select("doc_id", "text", "declared", "suffix", "host", "domain"), logs)
     scored = stored(scored.withColumn("p", softmax(F.col("logp"))), "scored")
     if not n:
         return scored.select("doc_id", F.lit("und").alias("language"), F.lit(0.0).alias("confidence"), F.lit("und").alias("text_language"))
@@ -170,10 +174,10 @@ def identify_documents(docs: DataFrame, pages: DataFrame) -> DataFrame:
     """identify() over `docs` (doc_id, text, lang, source): evidence of a document's page where it has
     one, its source as host otherwise. `lang` only labels the sample that fits the models."""
     langs, logs = fit(docs.select("doc_id", "text", "lang"))
-    found = stored(page_evidence(pages), "evidence")
-    # One plan at every size: the evidence grows with the pages.
-    rows = docs.select("doc_id", "text", "source").join(found.hint("merge"), "doc_id", "left")
-    return identify(rows.withColumn("host", F.coalesce("host", "source")), langs, logs)
+    # Texts are scored where they lie; only their scores meet the evidence of pages.
+    scored = text_posterior(docs.select("doc_id", "source", "text"), logs)
+    rows = scored.join(page_evidence(pages), "doc_id", "left")
+    return fuse(rows.withColumn("host", F.coalesce("host", "source")), langs)
 
 
 def keep_identified(docs: DataFrame, pages: DataFrame, least: float = LEAST_CONFIDENCE) -> DataFrame:
