@@ -14,6 +14,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import re
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
@@ -28,8 +29,9 @@ import public_tokenizers
 from footfall.llm.registry import query, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-KNOWN_WORDS = 200_000
-CHUNK_CHARS = 2 << 20
+KNOWN_WORDS = 350_000
+CHUNK_CHARS = 4 << 20
+_WIDE = re.compile(r"\A | \Z| \s|\s ")  # a space that is not single or stands at an end
 
 
 @lru_cache(maxsize=2)
@@ -131,6 +133,8 @@ class Encoder:
         """Parts of a text whose words can be found one part at a time: it is cut before every
         single space between two words, where the pattern always starts a new match."""
         parts = text.split(" ")
+        if not _WIDE.search(text):
+            return parts[:1] + [" " + p for p in parts[1:]]
         out = [parts[0]]
         for p in parts[1:]:
             if p and not p[0].isspace() and out[-1] and not out[-1][-1].isspace():
