@@ -5,6 +5,7 @@ import hashlib
 from datetime import date, datetime
 from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 from footfall.functions.timewin import month_window, period_window, search_days, split_window
@@ -149,3 +150,20 @@ def test_package_stays_declarative():
             continue
         names = {n.attr for n in ast.walk(ast.parse(f.read_text())) if isinstance(n, ast.Attribute)}
         assert not names & banned, f
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    from types import SimpleNamespace
+
+    from footfall.session import shared_dir
+
+    def session(master, folder=None):
+        conf = {"spark.checkpoint.dir": folder} if folder else {}
+        return SimpleNamespace(conf=SimpleNamespace(get=conf.get, set=conf.__setitem__), sparkContext=SimpleNamespace(master=master))
+
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            shared_dir(session(master))
+        assert shared_dir(session(master, "hdfs:///tmp/x/")) == "hdfs:///tmp/x"
+    alone = session("local[2]")
+    assert shared_dir(alone) == shared_dir(alone)
