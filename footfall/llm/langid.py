@@ -6,8 +6,12 @@ prior of its host. How far a declaration or suffix speaks for a language, and ho
 has it, is counted over all documents from their text posteriors by grouped sums; a host's
 counts are smoothed towards those of its domain, and these towards all documents.
 
+Beside the known languages stands a background: a text of another language or of no language is
+likelier under the mean of all models mixed with even chances than under any one of them.
+What it takes is missing in the confidence, and so such texts are rejected.
+
 Only the trigram models are fitted on a sample: about FIT_ROWS labelled documents (of at most
-FIT_CHARS characters), chosen by hash.
+FIT_CHARS characters), as many of each label where it has them, chosen by hash.
 """
 
 from __future__ import annotations
@@ -20,11 +24,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from footfall.llm.registry import query, table
-from footfall.llm.sample import bounded_sample
 from footfall.session import stored
 
 FIT_ROWS = 2000
+FIT_LEAST = 100  # rows of a label, however many labels there are
 FIT_CHARS = 50_000
+UNSEEN = 0.02  # share of even chances in each model
+BACKGROUND = 0.5  # share of even chances in the background
+OTHER = 0.01  # prior of the background
 BUCKETS = 1 << 15
 TEXT_WEIGHT = 40.0  # trigrams are not independent: a text counts as this many at most
 HOST_WEIGHT = 20.0  # documents' worth of the parent's shares in a host's prior
@@ -49,19 +56,30 @@ def trigrams(text: str) -> np.ndarray:
 
 
 def fit(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Languages in order and log probabilities (buckets x languages), from (doc_id, text, lang)."""
+    """Languages in order and log probabilities (buckets x languages and the background, or none), from
+    (doc_id, text, lang)."""
     rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL").where(F.length("text") <= FIT_CHARS)
-    rows = bounded_sample(rows, F.xxhash64("doc_id", "text"), FIT_ROWS, rows.count()).select("lang", "text").collect()
-    langs = sorted({r["lang"] for r in rows})
-    counts = np.full((BUCKETS, len(langs)), 0.1)
-    for r in rows:
+    held = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    langs = sorted(held)
+    if not langs:
+        return [], np.zeros((BUCKETS, 0))
+    each = max(FIT_LEAST, FIT_ROWS // len(langs))
+    cuts = [(x, int(each / held[x] * 2**64) - 2**63 if held[x] > each else 2**63 - 1) for x in langs]
+    cut = F.element_at(F.create_map(*[F.lit(v) for pair in cuts for v in pair]), F.col("lang"))
+    chosen = rows.where(F.xxhash64("doc_id", "text") <= cut).select("lang", "text").limit(2 * each * len(langs)).collect()
+    langs = sorted({r["lang"] for r in chosen})
+    counts = np.zeros((BUCKETS, len(langs)))
+    for r in chosen:
         np.add.at(counts[:, langs.index(r["lang"])], trigrams(r["text"]), 1.0)
-    return langs, np.log(counts / counts.sum(0)) if langs else counts
+    seen = counts / np.maximum(counts.sum(0), 1)
+    models = (1 - UNSEEN) * seen + UNSEEN / BUCKETS  # an unseen trigram is as unlikely in every language
+    other = (1 - BACKGROUND) * seen.mean(1) + BACKGROUND / BUCKETS if langs else np.zeros(BUCKETS)
+    return langs, np.log(np.column_stack([models, other])) if langs else counts
 
 
 def text_posterior(docs: DataFrame, logs: np.ndarray) -> DataFrame:
     """`docs` with `text` replaced by `logp` (array of double): the text's log likelihoods as so many
-    trigrams as it counts for, less their largest. Texts without letters have an empty array."""
+    trigrams as it counts for, less their largest; the background is last. Texts without letters have an empty array."""
     names = [c for c in docs.columns if c != "text"]
     schema = docs.select(*names, F.lit(None).cast("array<double>").alias("logp")).schema
 
@@ -126,6 +144,7 @@ def identify(docs: DataFrame, langs: list[str], logs: np.ndarray) -> DataFrame:
     """(doc_id, language, confidence, text_language) of every row of `docs` (doc_id, text, declared,
     suffix, host, domain; others are not read).
 
+    `language` is the best of the known ones; what the background takes is missing in its confidence.
     Missing evidence of a kind says nothing. A text without letters (null, empty, digits) is of
     language und with confidence 0, and so is every text if no language is known. Ties go to
     the first language in order. Repeated rows are judged alike; no rows in, no rows out."""
@@ -141,6 +160,7 @@ def fuse(scored: DataFrame, langs: list[str]) -> DataFrame:
     even = [1.0 / n] * n
     overall = _shares(scored.withColumn("all", F.lit(1)), "all", n, 1.0, even).first()
     share = list(overall["share"]) if overall else even
+    other = F.array(F.lit(float(np.log(OTHER))))  # no cue and no host speaks for the background
     log_all = F.array(*[F.lit(float(np.log(x))) for x in share])
     domains = stored(_shares(scored, "domain", n, HOST_WEIGHT, share), "domains")
     parents = domains.select(F.col("domain").alias("parent"), F.col("share").alias("base"))
@@ -156,10 +176,10 @@ def fuse(scored: DataFrame, langs: list[str]) -> DataFrame:
         cues = stored(_shares(scored, key, n, CUE_WEIGHT, share), key)
         fused = fused.join(cues.withColumnRenamed("share", f"s_{key}"), key, "left")
         ratio = F.zip_with(F.transform(f"s_{key}", lambda x: F.log(x)), log_all, lambda x, y: x - y)
-        score = add(score, F.coalesce(ratio, F.array(*[F.lit(0.0)] * n)))
+        score = add(score, F.concat(F.coalesce(ratio, F.array(*[F.lit(0.0)] * n)), F.array(F.lit(0.0))))
     fused = fused.join(hosts.withColumnRenamed("share", "s_host"), "host", "left")
-    score = add(score, F.coalesce(F.transform("s_host", lambda x: F.log(x)), log_all))
-    told = fused.withColumn("fused", F.when(F.size("logp") > 0, softmax(score)))
+    score = add(score, F.concat(F.coalesce(F.transform("s_host", lambda x: F.log(x)), log_all), other))
+    told = fused.withColumn("fused", F.when(F.size("logp") > 0, F.slice(softmax(score), 1, n)))
     names = F.array(*[F.lit(x) for x in langs])
 
     def best(p: Column) -> Column:
@@ -167,7 +187,7 @@ def fuse(scored: DataFrame, langs: list[str]) -> DataFrame:
 
     return told.select(
         "doc_id", best(F.col("fused")).alias("language"), F.coalesce(F.array_max("fused"), F.lit(0.0)).alias("confidence"),
-        best(F.col("logp")).alias("text_language"))
+        best(F.slice("logp", 1, n)).alias("text_language"))
 
 
 def identify_documents(docs: DataFrame, pages: DataFrame) -> DataFrame:

@@ -305,6 +305,31 @@ def test_language_filter_keeps_known_and_unnamed_rows(spark):
     assert sorted(-1 if r.doc_id is None else r.doc_id for r in langid.keep_identified(frame, pages).collect()) == [-1, *range(9)]
 
 
+def test_other_languages_and_gibberish_are_rejected(spark):
+    frame = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source")
+    known, held = frame.where("doc_id % 2 = 0"), frame.where("doc_id % 2 = 1")
+    schema = "doc_id long, text string, declared string, suffix string, host string, domain string"
+    others = [
+        "В лесу стояло старое дерево и под ним сидел мальчик", "森の中に古い木が立っていて、その下に男の子が座っていました",
+        "W lesie stało stare drzewo, a pod nim siedział chłopiec i czytał książkę o dawnych czasach", "xqzv kjwrt pplmz qwrtz vbnmk hjklq zzxcv trwqp mnbvc",
+    ]
+    langs, logs = langid.fit(known)
+    got = langid.identify(spark.createDataFrame([(i, t, None, None, None, None) for i, t in enumerate(others)], schema), langs, logs)
+    assert all(r.confidence < 0.1 for r in got.collect())
+    nothing = [F.lit(None).cast("string").alias(c) for c in ("declared", "suffix", "host", "domain")]
+    clean = langid.identify(held.select("doc_id", "text", *nothing), langs, logs)
+    assert clean.where("confidence >= 0.5").count() >= 0.98 * clean.count()
+    # A language that no fitted label has.
+    unseen = langid.identify(held.where("lang = 'de'").select("doc_id", "text", *nothing), *langid.fit(known.where("lang <> 'de'")))
+    assert unseen.where("confidence < 0.5").count() >= 0.95 * unseen.count()
+
+
+def test_rare_labels_are_fitted(spark):
+    rows = [(i, f"the cat and the dog number {i}", "en") for i in range(6000)] + [(9000, "der hund und die katze", "de")]
+    langs, logs = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert langs == ["de", "en"] and logs.shape[1] == 3
+
+
 # Surrogates
 
 MENTIONS = {
