@@ -8,7 +8,8 @@ gender and alphabet.
 
 Collisions are looked for over the distinct entities of the whole corpus: two entities with one
 surrogate, or a surrogate that is itself a real entity. All but the smallest of such a group
-try their next surrogate until none is left. The few entities with later tries are sent to the
+try their next surrogate until none is left. A form may have too few surrogates for its
+entities; after LONGER tries they grow with every fourth try, so an end is always found. The few entities with later tries are sent to the
 tasks that write the texts while their number is under a bound, and joined by document beyond it.
 """
 
@@ -29,7 +30,7 @@ from footfall.session import stored
 
 KEY = b"surrogates of footfall"
 SENT_ENTITIES = 100_000
-ROUNDS = 60
+LONGER = 12  # tries after which surrogates leave their length, as their form may be full
 
 # Forms of address by gender.
 FEMALE = ("Mrs", "Ms", "Miss", "Madam", "Frau", "Mme", "Mlle", "Madame", "Señora", "Señorita", "Sra", "Doña", "Signora", "Госпожа", "Κυρία")
@@ -44,12 +45,13 @@ _TITLE = "|".join(
 _KEYS = "AKIA|ASIA|AIza|ghp_|gho_|ghs_|glpat-|sk-|xoxb-|xoxp-|eyJ"
 # A capital is told by having a lower-case form; classes here are what \w holds less digits.
 _WORD = r"[^\W\d_][^\W\d_'’-]*"
+_OCTET = r"25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d"
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "secret": r"(?i:\b(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)\b[\"']?\s{0,3}[:=]\s{0,3}[\"']?)(?P<secret_body>[A-Za-z0-9+/_.~-]{6,}=*)",
+    "secret": r"(?i:\b(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)\b[\"']?\s{0,3}[:=]\s{0,3}[\"']?)(?P<secret_body>(?=[+/_.~-]*[A-Za-z0-9])[A-Za-z0-9+/_.~-]{6,}=*)",
     "key": rf"\b(?:{_KEYS})[A-Za-z0-9_-]{{16,}}",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?\b",
-    "ip": r"(?<![\d.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?![\d]|\.\d)",
+    "ip": rf"(?<![\d.])(?:{_OCTET})(?:\.(?:{_OCTET})){{3}}(?![\d]|\.\d)",
     "card": r"(?<![\w.])[3-6]\d{3}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\w])",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "phone": r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]?\d{3,4}(?![\w])",
@@ -131,16 +133,24 @@ def script_of(word: str) -> str:
 
 
 def surrogate(key: bytes, kind: str, normal: str, attempt: int = 0) -> str:
-    """Normal form of the surrogate of an entity: of its type, its length (names: word count) and form."""
+    """Normal form of the surrogate of an entity: of its type, its length (names: word count) and form.
+    From try LONGER on it is longer (an address: of a wider net, at last of the other version)."""
     s = Stream(key, kind, normal, attempt)
+    extra = 0 if attempt < LONGER else 1 + (attempt - LONGER) // 4
     if kind == "email":
         local, _, domain = normal.rpartition("@")
         host, _, top = domain.rpartition(".")
         # The domain has a stream of its own: people of one domain stay together.
         d = Stream(key, "domain", domain, 0)
-        return "".join(map(s.like, local)) + "@" + "".join(map(d.like, host)) + "." + top
+        return "".join(map(s.like, local + "a" * extra)) + "@" + "".join(map(d.like, host)) + "." + top
     if kind == "ip":
         ip = ipaddress.IPv4Address(normal)
+        if extra > 4:
+            return str(ipaddress.IPv6Address((0xFD << 120) + s.below(1 << 120)))
+        if extra > 2:
+            return str(ipaddress.IPv4Address(s.below(1 << 32)))
+        if extra and not ip.is_global:
+            return str(ipaddress.IPv4Network("10.0.0.0/8")[1 + s.below((1 << 24) - 2)])
         for net in ("10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "127.0.0.0/8"):
             if ip in (n := ipaddress.IPv4Network(net)):
                 return str(n[1 + s.below(n.num_addresses - 2)])
@@ -149,22 +159,22 @@ def surrogate(key: bytes, kind: str, normal: str, attempt: int = 0) -> str:
             if out.is_global and not out.is_multicast:
                 return str(out)
     if kind == "card":
-        body = normal[0] + "".join(map(s.like, normal[1:-1]))
+        body = normal[0] + "".join(map(s.like, normal[1:-1] + "0" * extra))
         if _luhn(normal[:-1]) == (10 - int(normal[-1])) % 10:
             return body + str((10 - _luhn(body)) % 10)
         return body + s.like("0")
     if kind == "iban":
-        country, body = normal[:2], "".join(map(s.like, normal[4:]))
+        country, body = normal[:2], "".join(map(s.like, normal[4:] + "0" * extra))
         number = "".join(str(int(c, 36)) for c in body + country + "00")
         return f"{country}{98 - int(number) % 97:02d}{body}"
     if kind == "phone":
-        return "".join(str(2 + s.below(8)) if i == 0 else s.like(c) for i, c in enumerate(normal))
+        return "".join(str(2 + s.below(8)) if i == 0 else s.like(c) for i, c in enumerate(normal + "0" * extra))
     if kind == "name":
         gender, _, words = normal.partition("|")
         out = []
         for w in words.split(" "):
             consonants, vowels = ALPHABETS[script_of(w)]
-            n = max(2, min(4, len(w) // 2))
+            n = max(2, min(4, len(w) // 2)) + extra
             made = "".join(consonants[s.below(len(consonants))] + vowels[s.below(len(vowels))] for _ in range(n))
             # The first word of a name shows the gender: women's end in a vowel, men's in a consonant.
             if gender == "f":
@@ -175,11 +185,12 @@ def surrogate(key: bytes, kind: str, normal: str, attempt: int = 0) -> str:
         return gender + "|" + " ".join(out)
     if kind == "key":
         prefix = re.match(_KEYS, normal)[0]
-        return prefix + "".join(map(s.like, normal[len(prefix):]))
+        return prefix + "".join(map(s.like, normal[len(prefix):] + "a" * extra))
     if kind == "secret" and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", normal) and not normal.isdigit():
         digits = "0123456789abcdef" if normal.islower() else "0123456789ABCDEF"
-        return "".join(digits[s.below(16)] for _ in normal)
-    return "".join(map(s.like, normal))
+        return "".join(digits[s.below(16)] for _ in range(len(normal) + extra))
+    more = "0" * extra if kind == "ssn" or normal.isdigit() else "a" * extra
+    return "".join(map(s.like, normal + more))
 
 
 def written(kind: str, mention: str, normal: str, new: str) -> str:
@@ -189,9 +200,9 @@ def written(kind: str, mention: str, normal: str, new: str) -> str:
         return " ".join(w.upper() if m.isupper() and len(m) > 1 else w.capitalize() for w, m in zip(words, mention.split(" "), strict=True))
     if kind == "email":
         cased = len(mention) == len(new)
-        return "".join(n.upper() if cased and m.isupper() else n for n, m in zip(new, mention, strict=True))
+        return "".join(n.upper() if m.isupper() else n for n, m in zip(new, mention, strict=True)) if cased else new
     if kind in ("card", "ssn", "iban", "phone"):
-        skip = sum(c.isalnum() for c in mention) - len(new)  # a leading 1 that the entity leaves out
+        skip = sum(c.isalnum() for c in mention) - len(normal)  # a leading 1 that the entity leaves out
         fresh, out = iter(new), []
         for c in mention:
             if c.isalnum():
@@ -199,7 +210,7 @@ def written(kind: str, mention: str, normal: str, new: str) -> str:
                 out.append(c if skip >= 0 else next(fresh))
             else:
                 out.append(c)
-        return "".join(out)
+        return "".join([*out, *fresh])
     return new
 
 
@@ -234,7 +245,7 @@ def distinct_entities(docs: DataFrame) -> DataFrame:
 def settle(found: DataFrame, key: bytes = KEY) -> DataFrame:
     """(kind, normal, attempt, surrogate) of distinct entities `found` (kind, normal): surrogates are
     distinct and none is an entity of `found`. Each round looks at entities and surrogates
-    only; it ends when no entity has to try again. Raises if some form has no room for that."""
+    only; it ends when no entity has to try again, which longer surrogates make sure of."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -243,7 +254,7 @@ def settle(found: DataFrame, key: bytes = KEY) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(new, pa.string())], ["kind", "normal", "attempt", "surrogate"])
 
     state = found.select("kind", "normal", F.lit(0).alias("attempt"))
-    for _ in range(ROUNDS):
+    while True:
         tried = stored(state.mapInArrow(run, "kind string, normal string, attempt int, surrogate string"), "tried")
         shared = tried.groupBy("kind", "surrogate").agg(F.count("*").alias("n"), F.min("normal").alias("first")).where("n > 1")
         taken = tried.join(shared, ["kind", "surrogate"]).where("normal <> first").select("kind", "normal")
@@ -253,7 +264,6 @@ def settle(found: DataFrame, key: bytes = KEY) -> DataFrame:
             return tried
         state = tried.join(again, ["kind", "normal"], "left").select(
             "kind", "normal", (F.col("attempt") + F.coalesce("again", F.lit(0))).alias("attempt"))
-    raise ValueError("too many entities of one form for distinct surrogates")
 
 
 def replace_entities(docs: DataFrame, key: bytes = KEY, sent: int = SENT_ENTITIES) -> DataFrame:

@@ -393,3 +393,32 @@ def test_replacement_of_documents(spark):
     mail = by[1][1].split()[1]
     assert mail in by[2][1] and "bob@x" not in by[2][1] and mail.endswith(".com")
     assert surrogates.replace_entities(frame.limit(0)).count() == 0
+
+
+def test_full_forms_find_an_end(spark):
+    # 720 forms for 1000 women of short names, 26 for 40 secrets, 10 for 12 more; a net of 65534 is not filled here.
+    rows = [("name", "f|" + "".join(c)) for c in itertools.islice(itertools.product("xyzqw", "hkjcv", "xyzqw", "hkjcv", "ab"), 1000)]
+    rows += [("secret", "....." + c) for c in "abcdefghijklmnopqrstuvwxyz"] + [("secret", f".....{i}") for i in range(10)]
+    rows += [("email", "___@1.org"), ("email", "___@2.org")] + [("email", f"___@{i}.org") for i in (0, *range(3, 10))]
+    got = surrogates.settle(spark.createDataFrame(rows, "kind string, normal string"), b"k").collect()
+    assert len(got) == len(rows) == len({(r.kind, r.surrogate) for r in got})
+    assert not {(r.kind, r.surrogate) for r in got} & set(rows)
+    later = {(r.kind, r.normal): r.attempt for r in got}
+    for kind, normal, mention in [("secret", ".....a", "token = .....a"), ("email", "___@1.org", "___@1.org")]:
+        assert surrogates.rewrite(mention, b"k", later)[1] == 1 and later[kind, normal] >= surrogates.LONGER
+
+
+@pytest.mark.parametrize("kind", MENTIONS)
+def test_longer_surrogates_are_written_whole(kind):
+    for mention in MENTIONS[kind]:
+        (_, normal, start, end), = surrogates.entities(mention)
+        short, long = (surrogates.surrogate(b"k", kind, normal, a) for a in (0, surrogates.LONGER + 4))
+        assert kind == "ip" or len(long) > len(short)
+        out = surrogates.written(kind, mention[start:end], normal, long)
+        assert re.sub(r"\W", "", out).lower().endswith(re.sub(r"^[fm]\||\W", "", long).lower())
+
+
+def test_punctuation_and_padded_octets_are_no_entities(spark):
+    texts = ["Password: ________", "token = ......", "1.02.03.04 and 05.06.07.08"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [(r.text, r.n_entities) for r in surrogates.replace_entities(frame).orderBy("doc_id").collect()] == [(t, 0) for t in texts]
