@@ -1,7 +1,9 @@
 """Surrogates for personal data: keyed replacements of the same type, script and format.
 
 A mention is reduced to its entity (type and normal form), so the same person or number gets
-the same surrogate in every document and spelling. Surrogates come from HMAC-SHA256 under a
+the same surrogate in every document and spelling. A name is told by a form of address; each of its
+words is an entity with the gender, and where a word comes back in the document without a form
+of address, capitalised, it is replaced as well. Surrogates come from HMAC-SHA256 under a
 key and are written back in the mention's own format: digits, letter case, separators, an
 address's top domain, a card's first digit and checksum, a private network, a name's
 gender and alphabet.
@@ -41,10 +43,11 @@ DOTTED = ("Mr", "Mrs", "Ms", "Mme", "Mlle", "Sr", "Sra")  # short forms, often w
 
 _TITLE = "|".join(
     t + r"\.?" * (t in DOTTED) for t in sorted(FEMALE + MALE + tuple(t.upper() for t in FEMALE + MALE), key=len, reverse=True))
+_TITLES = {x for t in FEMALE + MALE for x in (t, t.upper())}
 # Beginnings of access keys; they stay, as they are the key's type.
 _KEYS = "AKIA|ASIA|AIza|ghp_|gho_|ghs_|glpat-|sk-|xoxb-|xoxp-|eyJ"
 # A capital is told by having a lower-case form; classes here are what \w holds less digits.
-_WORD = r"[^\W\d_][^\W\d_'’-]*"
+_WORD = r"[^\W\d_]+(?:['’-](?![sS]\b)[^\W\d_]+)*"
 _OCTET = r"25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d"
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
@@ -61,6 +64,10 @@ FIND = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS.items()))
 _WORTH = re.compile(rf"[0-9@=:]|\b(?:{_TITLE}) |\b(?:{_KEYS})")
 
 
+def folded(name: str) -> str:
+    return name.casefold().replace("’", "'")
+
+
 def entity(m: re.Match) -> tuple[str, str, int, int] | None:
     """(type, normal form, start, end) of a match: what is replaced, and what makes two mentions one."""
     kind = m.lastgroup.removesuffix("_body")
@@ -69,7 +76,7 @@ def entity(m: re.Match) -> tuple[str, str, int, int] | None:
     if kind == "name":
         words = []
         for w in text.split(" "):
-            if not w[0].isupper():
+            if not w[0].isupper() or words and w in _TITLES:
                 break
             words.append(w)
         if not words:
@@ -78,7 +85,7 @@ def entity(m: re.Match) -> tuple[str, str, int, int] | None:
         title = m["name"][:start - m.start("name")].rstrip(" .")
         title = title.capitalize() if title.isupper() else title
         # Gender is part of the entity: one family name may be a man's and a woman's.
-        return kind, ("f" if title in FEMALE else "m") + "|" + text.casefold(), start, start + len(text)
+        return kind, ("f" if title in FEMALE else "m") + "|" + folded(text), start, start + len(text)
     if kind == "email":
         return kind, text.lower(), start, end
     if kind in ("card", "ssn", "iban"):
@@ -90,12 +97,45 @@ def entity(m: re.Match) -> tuple[str, str, int, int] | None:
 
 
 def entities(text: str) -> Iterator[tuple[str, str, int, int]]:
-    """Entities of a whole text from left to right, not overlapping."""
-    if _WORTH.search(text):
-        for m in FIND.finditer(text):
-            e = entity(m)
-            if e:
-                yield e
+    """Entities of a whole text from left to right, not overlapping. Words of a name that come back
+    without a form of address are entities of their own, with the gender of their first mention."""
+    if not _WORTH.search(text):
+        return
+    found, at = [], 0
+    while m := FIND.search(text, at):
+        e = entity(m)
+        found += [e] if e else []
+        # What follows a name may begin another one.
+        at = m.end() if m.lastgroup != "name" else e[3] if e else m.start("name_body")
+    gender: dict[str, str] = {}
+    for kind, normal, _, _ in found:
+        if kind == "name":
+            g, _, words = normal.partition("|")
+            for w in words.split(" "):
+                if len(w) > 1:
+                    gender.setdefault(w, g)
+    if not gender:
+        yield from found
+        return
+    again = re.compile(r"(?<!\w)(?:" + "|".join(
+        re.escape(w).replace("'", "['’]") for w in sorted(gender, key=len, reverse=True)) + r")(?!\w)", re.IGNORECASE)
+    at = 0
+    for e in [*found, None]:
+        for m in again.finditer(text, at, e[2] if e else len(text)):
+            g = gender.get(folded(m[0]))
+            if g and m[0][0].isupper() and (not e or m.end() <= e[2]):
+                yield "name", f"{g}|{folded(m[0])}", m.start(), m.end()
+        if e:
+            yield e
+            at = e[3]
+
+
+def parts(kind: str, normal: str) -> list[str]:
+    """What is settled of an entity: the words of a name with their gender, else the entity."""
+    if kind != "name":
+        return [normal]
+    gender, _, words = normal.partition("|")
+    return [f"{gender}|{w}" for w in words.split(" ")]
 
 
 class Stream:
@@ -170,19 +210,20 @@ def surrogate(key: bytes, kind: str, normal: str, attempt: int = 0) -> str:
     if kind == "phone":
         return "".join(str(2 + s.below(8)) if i == 0 else s.like(c) for i, c in enumerate(normal + "0" * extra))
     if kind == "name":
-        gender, _, words = normal.partition("|")
-        out = []
-        for w in words.split(" "):
+        if " " in normal:  # words have surrogates of their own
+            return normal[:2] + " ".join(surrogate(key, kind, p, attempt)[2:] for p in parts(kind, normal))
+        gender, _, word = normal.partition("|")
+        made = []
+        for w in re.split("(['-])", word):
+            if w in "'-":
+                made.append(w)
+                continue
             consonants, vowels = ALPHABETS[script_of(w)]
             n = max(2, min(4, len(w) // 2)) + extra
-            made = "".join(consonants[s.below(len(consonants))] + vowels[s.below(len(vowels))] for _ in range(n))
-            # The first word of a name shows the gender: women's end in a vowel, men's in a consonant.
-            if gender == "f":
-                made = made[:-1] + vowels[0]
-            elif not out:
-                made += consonants[s.below(len(consonants))]
-            out.append(made)
-        return gender + "|" + " ".join(out)
+            made.append("".join(consonants[s.below(len(consonants))] + vowels[s.below(len(vowels))] for _ in range(n)))
+        # A name's words show the gender: women's end in a vowel, men's in a consonant.
+        made[-1] = made[-1][:-1] + vowels[0] if gender == "f" else made[-1] + consonants[s.below(len(consonants))]
+        return gender + "|" + "".join(made)
     if kind == "key":
         prefix = re.match(_KEYS, normal)[0]
         return prefix + "".join(map(s.like, normal[len(prefix):] + "a" * extra))
@@ -197,7 +238,11 @@ def written(kind: str, mention: str, normal: str, new: str) -> str:
     """The surrogate's normal form in the format of a mention of `normal`."""
     if kind == "name":
         words = new.partition("|")[2].split(" ")
-        return " ".join(w.upper() if m.isupper() and len(m) > 1 else w.capitalize() for w, m in zip(words, mention.split(" "), strict=True))
+        out = []
+        for w, m in zip(words, mention.split(" "), strict=True):
+            w = w.upper() if m.isupper() and len(m) > 1 else re.sub(r"[^'-]+", lambda x: x[0].capitalize(), w)
+            out.append(w.replace("'", "’") if "’" in m else w)
+        return " ".join(out)
     if kind == "email":
         cased = len(mention) == len(new)
         return "".join(n.upper() if m.isupper() else n for n, m in zip(new, mention, strict=True)) if cased else new
@@ -218,21 +263,22 @@ def rewrite(text: str, key: bytes, later: dict[tuple[str, str], int]) -> tuple[s
     """The text with surrogates, and how many; `later` has the try of entities past their first."""
     out, at, n = [], 0, 0
     for kind, normal, start, end in entities(text):
-        new = surrogate(key, kind, normal, later.get((kind, normal), 0))
+        new = [surrogate(key, kind, p, later.get((kind, p), 0)) for p in parts(kind, normal)]
+        new = new[0] + "".join(" " + x[2:] for x in new[1:])
         out += [text[at:start], written(kind, text[start:end], normal, new)]
         at, n = end, n + 1
     return "".join([*out, text[at:]]) if n else text, n
 
 
 def distinct_entities(docs: DataFrame) -> DataFrame:
-    """Distinct (doc_id, kind, normal) of `docs` (doc_id, text)."""
+    """Distinct (doc_id, kind, normal) of `docs` (doc_id, text); of a name, its words."""
     ids = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [
                 (d, k, n) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if t
-                for k, n in {(k, n) for k, n, _, _ in entities(t)}
+                for k, n in {(k, p) for k, n, _, _ in entities(t) for p in parts(k, n)}
             ]
             cols = list(zip(*rows, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays(

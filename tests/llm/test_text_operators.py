@@ -422,3 +422,29 @@ def test_punctuation_and_padded_octets_are_no_entities(spark):
     texts = ["Password: ________", "token = ......", "1.02.03.04 and 05.06.07.08"]
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert [(r.text, r.n_entities) for r in surrogates.replace_entities(frame).orderBy("doc_id").collect()] == [(t, 0) for t in texts]
+
+
+def test_names_are_replaced_whole_and_again():
+    for text, gone in [
+        ("Mr O'Brien met Mrs Smith-Jones.", ["Brien", "Smith", "Jones"]), ("Mr O’Brien and O’Brien's dog", ["Brien"]),
+        ("Mr John Smith came. Smith left; JOHN SMITH called, John's too.", ["John", "Smith", "JOHN", "SMITH"]),
+        ("Smith was late, said Mr Smith's wife.", ["Smith"]), ("Госпожа Анна Петрова и Петрова", ["Анна", "Петрова"]),
+    ]:
+        new, n = surrogates.rewrite(text, b"k", {})
+        assert n == len(list(surrogates.entities(text))) > 0 and not any(w in new for w in gone), new
+    new = surrogates.rewrite("Mr John Smith, Mr Smith, Smith, Mr John Miller, John", b"k", {})[0]
+    whole, family, alone, other, given = (w.removeprefix("Mr ") for w in new.split(", "))
+    assert whole.split(" ")[1] == family == alone and whole.split(" ")[0] == other.split(" ")[0] == given
+    assert other.split(" ")[1] != family
+    new = surrogates.rewrite("Mrs Smith-Jones and Mr O'Brien's dog", b"k", {})[0]
+    assert re.fullmatch(r"Mrs [A-Z][a-z]+-[A-Z][a-z]+ and Mr [A-Z][a-z]+'[A-Z][a-z]+'s dog", new)
+
+
+def test_later_tries_of_a_word_reach_all_its_mentions(spark):
+    text = "Mr John Smith and Mrs Smith, then Smith"
+    frame = spark.createDataFrame([(1, text), (2, "Mr Smith")], "doc_id long, text string")
+    found = {(r.kind, r.normal) for r in surrogates.distinct_entities(frame).collect()}
+    assert found == {("name", "m|john"), ("name", "m|smith"), ("name", "f|smith")}
+    first, later = (surrogates.rewrite(text, b"k", x)[0] for x in ({}, {("name", "m|smith"): 3}))
+    word = surrogates.surrogate(b"k", "name", "m|smith", 3)[2:].capitalize()
+    assert later.count(word) == 2 and first.count(word) == 0
