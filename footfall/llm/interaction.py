@@ -122,10 +122,11 @@ def flags(docs: DataFrame) -> DataFrame:
     ]
     mask = sum((F.when(f, 1 << i).otherwise(0) for i, f in enumerate(fails)), F.lit(0))
     narrow = stored(rows.select("doc_id", "part", mask.cast("int").alias("mask"), F.unhex(F.sha2("text", 256)).alias("digest")), "flags")
-    first = narrow.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("doc_id").alias("c")).where("c > 1").drop("c")
-    late = F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False))
+    # The first holder of a text is met by digest and doc_id together, so copies of one text are spread.
+    first = narrow.groupBy("digest").agg(F.min("doc_id").alias("doc_id")).withColumn("first", F.lit(True))
+    late = F.col("doc_id").isNotNull() & F.col("first").isNull()
     # Narrow rows on both sides and as many of them as documents: one plan at every size.
-    return narrow.join(first.hint("merge"), "digest", "left").select(
+    return narrow.join(first.hint("merge"), ["digest", "doc_id"], "left").select(
         "doc_id", "part", F.when(late, F.col("mask").bitwiseOR(F.lit(16))).otherwise(F.col("mask")).alias("mask"))
 
 
