@@ -4,9 +4,9 @@ Tasks read documents in batches. The distinct words of a batch that the task has
 are encoded together: their bytes are laid out as one row of tokens, an index from pair to
 the positions where it stands is built once, and merges are applied in the order of their
 ranks, each at all its positions, looking again only at the two neighbours that a merge
-touches. Words are then looked up per document. Nothing is shuffled, the table of known words
-is bounded, and words are independent, so the batch that a document falls into does not
-change its ids.
+touches. Words are numbered once per batch, looked up once per number, and the ids of all
+documents gathered as arrays. Nothing is shuffled, the table of known words is bounded, and
+words are independent, so the batch that a document falls into does not change its ids.
 """
 
 from __future__ import annotations
@@ -14,13 +14,13 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-import re
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -31,7 +31,9 @@ from footfall.llm.registry import query, table
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 KNOWN_WORDS = 350_000
 CHUNK_CHARS = 4 << 20
-_WIDE = re.compile(r"\A | \Z| \s|\s ")  # a space that is not single or stands at an end
+SLICE = 1024
+_ANY = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
+_WIDE = f"^ | $| {_ANY}|{_ANY} "  # a space that is not single or stands at an end
 
 
 @lru_cache(maxsize=2)
@@ -56,65 +58,115 @@ def pair_ranks(ranks: dict[bytes, int]) -> dict[int, int]:
     return out
 
 
-def replay(words: list[bytes], single: np.ndarray, pairs: dict[int, int], byte_pairs: np.ndarray) -> list[list[int]]:
+class Pairs:
+    """Rank of a pair of tokens by its number: a dictionary for single pairs, a sorted table for many at once."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.single = np.array([ranks[bytes([b])] for b in range(256)])  # id of each byte
+        self.bytes = np.array([[ranks.get(bytes([a, b]), -1) for b in range(256)] for a in range(256)])  # -1: no merge
+        self.known = pair_ranks(ranks)
+        self.keys = np.array(sorted(self.known), np.int64)
+        self.values = np.array([self.known[k] for k in self.keys.tolist()], np.int64)
+
+    def ranks(self, keys: np.ndarray) -> np.ndarray:
+        """Rank of each pair, -1 where it does not merge."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.values[at], -1)
+
+
+def replay(words: list[bytes], pairs: Pairs, few: int = 24) -> list[list[int]]:
     """Ids of each word (none is empty): its merges, lowest rank first, leftmost among equals.
 
-    `single`: id of each byte; `pairs`: pair_ranks(); `byte_pairs`: the same for two bytes, -1
-    where they do not merge."""
+    All words are one row of tokens. The index (rank -> places where a pair of that rank begins) is
+    built once; each rank is applied at all its places, `few` or more at a time as arrays, and only
+    the two neighbours of a merged place are looked at again."""
     raw = np.frombuffer(b"".join(words), np.uint8)
     if not len(raw):
         return []
     ends = np.cumsum([len(w) for w in words])
-    starts = ends - [len(w) for w in words]
+    starts = np.concatenate([[0], ends[:-1]])
     n = len(raw)
-    first = np.full(n, -1, np.int64)
-    first[:-1] = byte_pairs[raw[:-1], raw[1:]]
-    first[ends - 1] = -1
-    order = np.argsort(first, kind="stable")
-    order = order[np.searchsorted(first[order], 0):]
-    found, cuts = np.unique(first[order], return_index=True)
-    at = dict(zip(found.tolist(), [x.tolist() for x in np.split(order, cuts[1:])] if len(found) else [], strict=True))
-    ids, now = single[raw].tolist(), first.tolist()  # now: rank of the pair that begins here
-    link = np.arange(1, n + 1)
-    link[ends - 1] = -1
-    after = link.tolist()
-    link = np.arange(-1, n - 1)
-    link[starts] = -1
-    before = link.tolist()
-    heap = list(at)
-    heapq.heapify(heap)
-    get, push = pairs.get, heapq.heappush
+    now = np.full(n, -1, np.int64)  # rank of the pair that begins here
+    now[:-1] = pairs.bytes[raw[:-1], raw[1:]]
+    now[ends - 1] = -1
+    ids, after, before = pairs.single[raw].astype(np.int64), np.arange(1, n + 1), np.arange(-1, n - 1)
+    after[ends - 1] = -1
+    before[starts] = -1
+    one: dict[int, list[int]] = {}
+    many: dict[int, list[np.ndarray]] = {}
+    heap: list[int] = []
+
+    def enter(places: np.ndarray, found: np.ndarray) -> None:
+        order = np.argsort(found, kind="stable")
+        order = order[np.searchsorted(found[order], 0):]
+        sorted_found, sorted_places = found[order], places[order]
+        cuts = np.flatnonzero(np.diff(sorted_found, prepend=-1))
+        bounds = [*cuts.tolist(), len(order)]
+        for i, r in enumerate(sorted_found[cuts].tolist()):
+            if r not in many:
+                if r not in one:
+                    heapq.heappush(heap, r)
+                many[r] = []
+            many[r].append(sorted_places[bounds[i]:bounds[i + 1]])
+
+    def put(place: int, rank: int) -> None:
+        if rank in one:
+            one[rank].append(place)
+        else:
+            if rank not in many:
+                heapq.heappush(heap, rank)
+            one[rank] = [place]
+
+    enter(np.arange(n), now)
+    v_ids, v_now, v_after, v_before = memoryview(ids), memoryview(now), memoryview(after), memoryview(before)
+    get = pairs.known.get
     while heap:
         rank = heapq.heappop(heap)
-        spots = at.pop(rank)
+        spots, blocks = one.pop(rank, []), many.pop(rank, [])
+        if len(spots) + sum(map(len, blocks)) >= few:
+            s = np.sort(np.concatenate([*blocks, np.array(spots, np.int64)]))
+            s = s[(np.diff(s, prepend=-1) > 0) & (now[s] == rank)]
+            a = after[s]
+            held = np.zeros(len(s), bool)
+            held[1:] = a[:-1] == s[1:]  # begins where the one before ends: of a run of these every second stays
+            if held.any():
+                at = np.arange(len(s))
+                stay = (at - np.maximum.accumulate(np.where(held, 0, at))) % 2 == 0
+                s, a = s[stay], a[stay]
+            k, h = after[a], before[s]
+            ids[s], ids[a], now[a], now[s], after[s] = rank, -1, -1, -1, k
+            right, left = k >= 0, h >= 0
+            before[k[right]] = s[right]
+            x, y = s[right], h[left]
+            r, q = pairs.ranks(rank * PAIR + ids[k[right]]), pairs.ranks(ids[y] * PAIR + rank)
+            now[x], now[y] = r, q
+            enter(np.concatenate([x, y]), np.concatenate([r, q]))
+            continue
+        spots.extend(x for b in blocks for x in b.tolist())
         spots.sort()
         for i in spots:
-            if now[i] != rank:
+            if v_now[i] != rank:
                 continue
-            j = after[i]
-            ids[i], ids[j], now[j] = rank, -1, -1
-            k = after[i] = after[j]
+            j = v_after[i]
+            v_ids[i], v_ids[j], v_now[j] = rank, -1, -1
+            k = v_after[i] = v_after[j]
             if k >= 0:
-                before[k] = i
-                r = now[i] = get(rank * PAIR + ids[k], -1)
+                v_before[k] = i
+                r = v_now[i] = get(rank * PAIR + v_ids[k], -1)
                 if r >= 0:
-                    if r in at:
-                        at[r].append(i)
-                    else:
-                        at[r] = [i]
-                        push(heap, r)
+                    put(i, r)
             else:
-                now[i] = -1
-            h = before[i]
+                v_now[i] = -1
+            h = v_before[i]
             if h >= 0:
-                r = now[h] = get(ids[h] * PAIR + rank, -1)
+                r = v_now[h] = get(v_ids[h] * PAIR + rank, -1)
                 if r >= 0:
-                    if r in at:
-                        at[r].append(h)
-                    else:
-                        at[r] = [h]
-                        push(heap, r)
-    return [[t for t in ids[s:e] if t >= 0] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
+                    put(h, r)
+    keep = ids >= 0
+    flat, cuts = ids[keep].tolist(), np.cumsum(np.add.reduceat(keep, starts, dtype=np.int64)).tolist()
+    return [flat[s:e] for s, e in zip([0, *cuts], cuts, strict=False)]
 
 
 class Encoder:
@@ -122,19 +174,15 @@ class Encoder:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, known: int = KNOWN_WORDS):
         self.ranks, self.known = ranks, known
-        self.single = np.array([ranks[bytes([b])] for b in range(256)])
-        self.pairs = pair_ranks(ranks)
-        self.byte_pairs = np.array([[ranks.get(bytes([a, b]), -1) for b in range(256)] for a in range(256)])
+        self.pairs = Pairs(ranks)
         self.words = regex.compile(pattern).findall
         self.young: dict[str, list[int]] = {}
         self.old: dict[str, list[int]] = {}
 
-    def pieces(self, text: str) -> list[str]:
+    def wide_pieces(self, text: str) -> list[str]:
         """Parts of a text whose words can be found one part at a time: it is cut before every
         single space between two words, where the pattern always starts a new match."""
         parts = text.split(" ")
-        if not _WIDE.search(text):
-            return parts[:1] + [" " + p for p in parts[1:]]
         out = [parts[0]]
         for p in parts[1:]:
             if p and not p[0].isspace() and out[-1] and not out[-1][-1].isspace():
@@ -143,59 +191,93 @@ class Encoder:
                 out[-1] += " " + p
         return out
 
-    def learn(self, pieces: Iterable[str]) -> None:
-        """Enters pieces, and the words they are made of, into the table."""
+    def look_up(self, pieces: list[str]) -> list[list[int]]:
+        """Ids of distinct pieces; what is new is entered into the table, with the words it is made of."""
+        if len(self.young) > self.known:
+            self.young, self.old = {}, self.young
         young, old, ranks = self.young, self.old, self.ranks
-        new = []
+        made: list[tuple[str, list[str]]] = []
+        todo: set[str] = set()
         for p in pieces:
+            if p in young:
+                continue
             ids = old.get(p)
-            if ids is None:
-                new.append(p)
-            else:
+            if ids is not None:
                 young[p] = ids
-        split = [[p] if p[1:].isalpha() and (p[0] == " " or p[0].isalpha()) else self.words(p) for p in new]
-        rest = []
-        for w in set(chain.from_iterable(split)).difference(young):
+            elif p[1:].isalpha() and (p[0] == " " or p[0].isalpha()):
+                todo.add(p)
+            else:
+                words = self.words(p)
+                made.append((p, words))
+                todo.update(words)
+        rest, raws = [], []
+        for w in todo:
+            if w in young:
+                continue
             ids = old.get(w)
             if ids is None:
                 raw = w.encode("utf-8", "replace")
                 rank = ranks.get(raw)
                 if rank is None:
-                    rest.append((w, raw))
+                    rest.append(w)
+                    raws.append(raw)
                     continue
                 ids = [rank]
             young[w] = ids
-        found = replay([raw for _, raw in rest], self.single, self.pairs, self.byte_pairs)
-        young.update(zip([w for w, _ in rest], found, strict=True))
-        for p, ws in zip(new, split, strict=True):
-            if len(ws) != 1:
-                young[p] = list(chain.from_iterable(map(young.__getitem__, ws)))
-
-    def encode(self, texts: list[str]) -> Iterator[list[int]]:
-        """Ids of each text, in order."""
-        at = 0
-        while at < len(texts):
-            end, chars = at, 0
-            while end < len(texts) and (end == at or chars < CHUNK_CHARS):
-                chars += len(texts[end])
-                end += 1
-            cut = [self.pieces(t) for t in texts[at:end]]
-            self.learn(set(chain.from_iterable(cut)).difference(self.young))
-            for ps in cut:
-                yield list(chain.from_iterable(map(self.young.__getitem__, ps)))
-            if len(self.young) > self.known:
-                self.young, self.old = {}, self.young
-            at = end
+        young.update(zip(rest, replay(raws, self.pairs), strict=True))
+        get = young.__getitem__
+        for p, words in made:
+            if len(words) != 1:
+                young[p] = list(chain.from_iterable(map(get, words)))
+        return list(map(get, pieces))
+
+    def _lists(self, coded: np.ndarray, ends: np.ndarray, pieces: list[str]) -> pa.ListArray:
+        """Ids of texts that end after `ends` of the pieces numbered in `coded`."""
+        found = self.look_up(pieces)
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        flat = np.fromiter(chain.from_iterable(found), np.int32, int(size.sum()))
+        long = size[coded]
+        last = np.cumsum(long)
+        # Token t of the piece at place i is flat[start of that piece + t].
+        at = np.repeat((np.cumsum(size) - size)[coded] - (last - long), long) + np.arange(int(last[-1]) if len(last) else 0)
+        bounds = np.concatenate([[0], last])[np.concatenate([[0], ends])]
+        return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat[at], pa.int32()))
+
+    def _plain(self, texts: pa.Array) -> pa.ListArray:
+        """Texts whose spaces are single and stand between two others: a piece begins at every space."""
+        cut = pc.split_pattern(texts, " ")
+        ends = cut.offsets.to_numpy()[1:].astype(np.int64)
+        words = cut.values.dictionary_encode()
+        number, size = words.indices.to_numpy().astype(np.int64), len(words.dictionary)
+        number[ends - np.diff(ends, prepend=0)] += size  # the first piece of a text has no space before it
+        used, number = np.unique(number, return_inverse=True)
+        names = words.dictionary.to_pylist()
+        return self._lists(number, ends, [" " + names[i] if i < size else names[i - size] for i in used.tolist()])
+
+    def _spaced(self, texts: list[str]) -> pa.ListArray:
+        cut = [self.wide_pieces(t) for t in texts]
+        words = pa.array(list(chain.from_iterable(cut)), pa.string()).dictionary_encode()
+        ends = np.cumsum([len(c) for c in cut], dtype=np.int64)
+        return self._lists(words.indices.to_numpy().astype(np.int64), ends, words.dictionary.to_pylist())
+
+    def encode(self, texts: pa.Array) -> pa.ListArray:
+        """Ids of each text (none is null), in order."""
+        spaced = pc.or_(pc.match_substring_regex(texts, _WIDE), pc.equal(texts, ""))
+        wide, plain = np.flatnonzero(spaced.to_numpy(zero_copy_only=False)), np.flatnonzero(pc.invert(spaced).to_numpy(zero_copy_only=False))
+        both = pa.concat_arrays([self._plain(texts.take(pa.array(plain))), self._spaced(texts.take(pa.array(wide)).to_pylist())])
+        place = np.empty(len(texts), np.int64)
+        place[np.concatenate([plain, wide])] = np.arange(len(texts))
+        return both.take(pa.array(place))
 
 
 @lru_cache(maxsize=2)
-def _tokens(path: str) -> list[bytes | None]:
-    """Bytes of each id."""
+def _tokens(path: str) -> pa.Array:
+    """Bytes of each id; null for a number that is none."""
     ranks = read_ranks(path)
     out: list[bytes | None] = [None] * (max(ranks.values()) + 1)
     for token, rank in ranks.items():
         out[rank] = token
-    return out
+    return pa.array(out, pa.large_binary())
 
 
 @lru_cache(maxsize=2)
@@ -217,33 +299,47 @@ def _apply(df: DataFrame, schema: T.StructType, *steps: Step) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def _chunks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of at most SLICE rows and CHUNK_CHARS bytes of text, or one row: ids take more room than texts."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        before = size[at - 1] if at else 0
+        end = int(np.searchsorted(size, before + CHUNK_CHARS, "right"))
+        end = max(at + 1, min(end, at + SLICE))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def _encoding(path: str, pattern: str) -> Step:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(path, pattern)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):  # ids take more room than texts
-                part = batch.slice(at, 256)
-                flat, ends = [], [0]
-                for ids in enc.encode([t or "" for t in part.column("text").to_pylist()]):
-                    flat.extend(ids)
-                    ends.append(len(flat))
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(flat, np.int32)))
-                yield part.append_column("ids", lists)
+            for part in _chunks(batch):
+                yield part.append_column("ids", enc.encode(pc.fill_null(part.column("text"), "")))
 
     return run
 
 
-def _lists(ids: pa.ListArray) -> Iterator[list[int] | None]:
-    flat, ends = ids.values.to_numpy(), ids.offsets.to_numpy()
-    for i, valid in enumerate(ids.is_valid().to_pylist()):
-        yield flat[ends[i]:ends[i + 1]].tolist() if valid else None
+def _joined(ids: pa.ListArray, names: pa.Array) -> tuple[memoryview, np.ndarray]:
+    """The names of all ids one after the other, and where each list ends."""
+    told = names.take(ids.flatten())
+    if told.null_count:
+        raise ValueError("an id outside the vocabulary")
+    bounds = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False), dtype=np.int64)])
+    if not len(told):
+        return memoryview(b""), np.zeros(len(bounds), np.int64)
+    at = np.frombuffer(told.buffers()[1], np.int64)[told.offset:][:len(told) + 1]
+    return memoryview(told.buffers()[2]), at[bounds]
 
 
 def _decoding(path: str) -> Step:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = _tokens(path).__getitem__
         for batch in batches:
-            out = [None if x is None else b"".join(map(token, x)) for x in _lists(batch.column("ids"))]
+            ids = batch.column("ids")
+            told, at = _joined(ids, _tokens(path))
+            at = at.tolist()
+            out = [told[s:e] if ok else None for s, e, ok in zip(at, at[1:], ids.is_valid().to_pylist(), strict=False)]
             yield batch.append_column("decoded", pa.array(out, pa.binary()))
 
     return run
@@ -287,13 +383,15 @@ def digests(docs: DataFrame, key: str = "doc_id", vocabulary: str | None = None)
     names = [key, "n_tokens", "ids_sha256", "decoded_sha256"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name = {r: str(r) for r in range(len(_tokens(path)))}.__getitem__
+        decimal = pa.array([f"{r}," for r in range(len(_tokens(path)))], pa.large_string())
         for batch in batches:
-            lists = list(_lists(batch.column("ids")))
-            shas = [hashlib.sha256(",".join(map(name, x)).encode()).hexdigest() for x in lists]
+            ids = batch.column("ids")
+            told, at = _joined(ids, decimal)
+            at = at.tolist()
+            shas = [hashlib.sha256(told[s:max(s, e - 1)]).hexdigest() for s, e in zip(at, at[1:], strict=False)]
             back = [hashlib.sha256(x.as_buffer()).hexdigest() for x in batch.column("decoded")]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(key), pa.array([len(x) for x in lists], pa.int64()), pa.array(shas, pa.string()),
+                [batch.column(key), pc.cast(pc.list_value_length(ids), pa.int64()), pa.array(shas, pa.string()),
                  pa.array(back, pa.string())], names)
 
     schema = T.StructType([docs.schema[key], *[

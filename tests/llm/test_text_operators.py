@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -249,7 +250,25 @@ def test_forgetting_words_changes_nothing():
     texts = ["some words and more words", "and other words again", "some words and more words"] * 4
     big = bpe.Encoder(ranks, public_tokenizers.PATTERN)
     tiny = bpe.Encoder(ranks, public_tokenizers.PATTERN, known=2)
-    assert list(big.encode(texts)) == [next(iter(tiny.encode([t]))) for t in texts]
+    assert big.encode(pa.array(texts)).to_pylist() == [tiny.encode(pa.array([t])).to_pylist()[0] for t in texts]
+
+
+@pytest.mark.parametrize("few", [1, 2, 10**9])
+def test_replay_in_arrays_and_one_by_one(few):
+    ranks = bpe.read_ranks(public_tokenizers.path(bpe.VOCABULARY))
+    rng = random.Random(few)
+    words = ["a" * n for n in range(1, 40)] + ["ab" * 9 + "a", "   \n\n ", "é" * 7]
+    words += ["".join(rng.choice("aabehnost ") for _ in range(rng.randrange(1, 14))) for _ in range(600)]
+    own = tiktoken.Encoding("own", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={})
+    assert bpe.replay([w.encode() for w in words], bpe.Pairs(ranks), few) == [own.encode_ordinary(w) for w in words]
+
+
+def test_spaces_of_all_kinds():
+    ranks = bpe.read_ranks(public_tokenizers.path(bpe.VOCABULARY))
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    spaces = [" ", "  ", "\t", "\n", " \n", "\x0b", "\x0c ", "\x1c", " \x1d", "\x85", " \x85", "\xa0", "\xa0 ", "\u2003", " \u2028", "\u3000 ", "\u200b", " \ufeff"]
+    texts = [f"{a}one{b}two's 3{c}" for a in ["", *spaces] for b in spaces for c in ["", " ", "\n", "\xa0"]] + ["", " ", "\n"]
+    assert bpe.Encoder(ranks, public_tokenizers.PATTERN).encode(pa.array(texts)).to_pylist() == [own.encode_ordinary(t) for t in texts]
 
 
 # Language
