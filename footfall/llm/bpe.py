@@ -29,8 +29,8 @@ import public_tokenizers
 from footfall.llm.registry import query, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-KNOWN_WORDS = 350_000
-CHUNK_CHARS = 4 << 20
+KNOWN_WORDS = 200_000
+CHUNK_CHARS = 2 << 20
 SLICE = 1024
 _ANY = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
 _WIDE = f"^ | $| {_ANY}|{_ANY} "  # a space that is not single or stands at an end
@@ -317,6 +317,7 @@ def _encoding(path: str, pattern: str) -> Step:
         for batch in batches:
             for part in _chunks(batch):
                 yield part.append_column("ids", enc.encode(pc.fill_null(part.column("text"), "")))
+        enc.young, enc.old = {}, {}  # the worker goes on to other work
 
     return run
 
