@@ -83,11 +83,23 @@ SELECT site_id, day, 'google' AS source, 'page' AS dim, key, clicks, CAST(floor(
 FROM (SELECT r.*, o.o_totalprice, row_number() OVER (PARTITION BY site_id, day ORDER BY clicks DESC, floor(o.o_totalprice) DESC, key) AS rk
   FROM r JOIN orders o ON r.key = concat('/order-info/', CAST(o.o_orderkey AS VARCHAR))) p WHERE rk <= 2""")
 def search_feed_pages(t):
-    raw = t.raw("orders").selectExpr(
+    return sf.normalize_gsc(_search_pages(t), top=2).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+
+
+def _search_pages(t):
+    return t.raw("orders").selectExpr(
         "CAST(1 + o_custkey % 2 AS BIGINT) AS site_id", "'page' AS dim",
         """concat('{"keys":["', date_format(o_orderdate, 'yyyy-MM-dd'), '","https://site.example/order-info/', o_orderkey,
            '?a=b"],"clicks":', o_custkey % 50, '.0,"impressions":', floor(o_totalprice), ',"position":1.5}') AS body""")
-    return sf.normalize_gsc(raw, top=2).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+
+
+@query("search_feed_pages_all", """
+SELECT CAST(1 + o_custkey % 2 AS BIGINT) AS site_id, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day, 'google' AS source, 'page' AS dim,
+  concat('/order-info/', CAST(o_orderkey AS VARCHAR)) AS key, CAST(o_custkey % 50 AS BIGINT) AS clicks,
+  CAST(floor(o_totalprice) AS BIGINT) AS impressions, CAST(1.5 AS DOUBLE) AS position FROM orders""")
+def search_feed_pages_all(t):
+    """All keys of all days, without a limit."""
+    return sf.normalize_gsc(_search_pages(t)).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
 @query("search_feed_bing", """

@@ -179,10 +179,24 @@ folded AS (SELECT n.site_id, n.day, n.bot_class, n.agent,
 SELECT site_id, strftime(day, '%Y-%m-%d') AS day, bot_class, agent, path, CAST(sum(n) AS BIGINT) AS n
 FROM (SELECT * FROM old UNION ALL SELECT * FROM folded) GROUP BY ALL""")
 def bot_counts_merge(t):
+    return r.merge_bot_counts(*_bot_counts(t), cap=50).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+
+
+def _bot_counts(t):
     old = t.bots.where("day < DATE '2024-01-20'")
     new = t.hits.selectExpr(
         "site_id", "to_date(ts) AS day",
         "CASE WHEN id % 3 = 0 THEN 'ai' WHEN id % 3 = 1 THEN 'search' ELSE 'unheard-of' END AS bot_class",
         "concat('agent', CAST(id % 5 AS STRING)) AS agent",
         "concat('/deep/', CAST(id % 40 AS STRING)) AS path", "1L AS n")
-    return r.merge_bot_counts(old, new, cap=50).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+    return old, new
+
+
+@query("bot_counts_merge_all", ctes("bots", "hits") + """
+SELECT site_id, strftime(day, '%Y-%m-%d') AS day, bot_class, agent, path, CAST(sum(n) AS BIGINT) AS n FROM (
+  SELECT site_id, day, bot_class, agent, path, n FROM bots WHERE day < DATE '2024-01-20' UNION ALL
+  SELECT site_id, CAST(ts AS DATE), CASE WHEN id % 3 = 0 THEN 'ai' WHEN id % 3 = 1 THEN 'search' ELSE 'other' END, concat('agent', CAST(id % 5 AS VARCHAR)),
+    CASE WHEN id % 3 = 2 THEN '' ELSE concat('/deep/', CAST(id % 40 AS VARCHAR)) END, 1 FROM hits) GROUP BY ALL""")
+def bot_counts_merge_all(t):
+    """All paths, without a limit."""
+    return r.merge_bot_counts(*_bot_counts(t)).withColumn("day", F.date_format("day", "yyyy-MM-dd"))

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from datetime import date, datetime
 
 from pyspark.sql import functions as F
 
 from footfall.functions import agents, cleaning, masking, network, referrers
 from footfall.operators import bursts as bu
+from footfall.operators import upkeep as up
 from footfall.plans import ingest as ig
+from footfall.session import cut_lineage, shared_dir
 from footfall.sources.beacons import respect_opt_out
+from footfall.sources.versions import StoredTable
+from footfall.streaming.keyed import live_bursts, use_state_store
 from footfall.workload.registry import query
 from footfall.workload.views import ctes
 
@@ -407,3 +413,78 @@ def burst_backfill(t):
     window = (datetime(2024, 1, 1), datetime(2024, 1, 3))
     out = bu.burst_backfill(with_waves(t), t.items, t.bots, t.spark.createDataFrame([], ROLLUPS), window)
     return out["report"].select("site_id", "events")
+
+
+# --- changes of stored tables --------------------------------------------------------------------
+
+def _stored_hits(t, hits, name):
+    """Hits as a stored table, one file per site and month."""
+    rows = hits.withColumn("month", F.date_format("ts", "yyyy-MM"))
+    return StoredTable.create(rows, f"{shared_dir(t.spark)}/{name}-{uuid.uuid4().hex}", ["site_id", "month"])
+
+
+def _per_file(table, changed):
+    """(site_id, month, rewritten, n): files are told by their partition."""
+    keys = [re.search(r"site_id=(\d+)/month=([\d-]+)/", f).groups() for f in changed]
+    hit = table.spark.createDataFrame([(int(a), b) for a, b in keys], "site_id long, month string").withColumn("hit", F.lit(1))
+    rows = table.read().groupBy("site_id", "month").agg(F.count(F.lit(1)).alias("n"))
+    return rows.join(hit, ["site_id", "month"], "left").select(
+        F.col("site_id").cast("long").alias("site_id"), "month", F.coalesce("hit", F.lit(0)).alias("rewritten"), "n")
+
+
+@query("stored_burst_move", ctes("hits", extra=_FLAG) + """
+, every AS (SELECT site_id, id, ts, false AS gone FROM hits UNION ALL
+  SELECT 1 + w % 2, 10000000000 + c_custkey * 2 + u.d, TIMESTAMP '2024-01-01 00:10:00' + to_microseconds(CAST(w * 7200000000 + j * 450000 + u.d * 1000000 AS BIGINT)),
+    c_custkey IN (SELECT c_custkey FROM fl) FROM planted, (SELECT unnest([0, 1]) AS d) u WHERE j < size)
+SELECT site_id, strftime(ts, '%Y-%m') AS month, CASE WHEN bool_or(gone) THEN 1 ELSE 0 END AS rewritten, count(*) FILTER (NOT gone) AS n
+FROM every GROUP BY 1, 2 HAVING count(*) FILTER (NOT gone) > 0""")
+def stored_burst_move(t):
+    """Flagged visitors leave a stored table; months without a burst keep their files."""
+    hits = with_waves(t)
+    flagged = cut_lineage(bu.find_bursts(bu.landings(hits)))
+    table, files = _stored_hits(t, hits, "moved").change(
+        flagged, lambda rows: bu.members(rows, flagged)[1], ["site_id", "visitor_hash"])
+    return _per_file(table, files)
+
+
+@query("stored_delete_visitors", ctes("hits") + """
+, gone AS (SELECT DISTINCT site_id, visitor_hash FROM hits WHERE id % 7000 = 3)
+SELECT h.site_id, strftime(ts, '%Y-%m') AS month, CASE WHEN bool_or(g.site_id IS NOT NULL) THEN 1 ELSE 0 END AS rewritten,
+  count(*) FILTER (g.site_id IS NULL) AS n FROM hits h LEFT JOIN gone g ON h.site_id = g.site_id AND h.visitor_hash = g.visitor_hash
+GROUP BY 1, 2 HAVING count(*) FILTER (g.site_id IS NULL) > 0""")
+def stored_delete_visitors(t):
+    """Visitors leave a stored table by key."""
+    gone = t.hits.where("id % 7000 = 3").select("site_id", "visitor_hash")
+    return _per_file(*_stored_hits(t, t.hits, "deleted").delete(gone, ["site_id", "visitor_hash"]))
+
+
+@query("stored_blind", ctes("hits") + """
+SELECT site_id, strftime(ts, '%Y-%m') AS month, CASE WHEN min(ts) < TIMESTAMP '2024-01-30' THEN 1 ELSE 0 END AS rewritten, count(*) AS n,
+  count(*) FILTER (ts < TIMESTAMP '2024-01-30') AS blinded FROM hits GROUP BY 1, 2""")
+def stored_blind(t):
+    """Visitors of the days before a day get new keys; files of later days stay."""
+    today = datetime(2024, 1, 30)
+    table, files = _stored_hits(t, t.hits, "blinded").change(F.col("ts") < F.lit(today).cast("timestamp_ntz"), lambda rows: up.blind_hashes(rows, "key", today))
+    old = t.hits.select(F.col("id").alias("_id"), F.col("visitor_hash").alias("_old"))
+    new = table.read().join(old, F.col("id") == F.col("_id")).groupBy("site_id", "month").agg(
+        F.count(F.when(F.col("visitor_hash") != F.col("_old"), 1)).alias("blinded"))
+    return _per_file(table, files).join(new, ["site_id", "month"])
+
+
+# --- live sweep --------------------------------------------------------------------------------
+
+@query("burst_live", "WITH " + _WAVE_SQL + """
+SELECT 1 + w % 2 AS site_id, 'Iceland' AS country, concat('/deep/', CAST(c_custkey AS VARCHAR)) AS path, 10000000000 + c_custkey * 2 AS id
+FROM planted WHERE j < size AND (SELECT count(*) FROM planted p WHERE p.w = planted.w AND p.j < p.size) >= 8""")
+def burst_live(t):
+    """The burst rule as a stream with keyed state over the stored hits, to its end."""
+    use_state_store(t.spark)
+    root = f"{shared_dir(t.spark)}/live-{uuid.uuid4().hex}"
+    hits = with_waves(t)
+    # A last row, days later, lets the watermark pass all others.
+    end = hits.agg((F.max("ts") + F.expr("INTERVAL 3 DAYS")).alias("ts")).select("ts", F.lit(0).alias("site_id"), F.lit("pageview").alias("name"), F.lit("end").alias("visitor_hash"))
+    hits.unionByName(end.withColumn("site_id", F.col("site_id").cast("long")), allowMissingColumns=True).write.parquet(f"{root}/hits")
+    stream = t.spark.readStream.schema(hits.schema).parquet(f"{root}/hits")
+    live_bursts(stream).writeStream.format("parquet").option("path", f"{root}/flagged").option(
+        "checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.schema("site_id long, country string, path string, id long").parquet(f"{root}/flagged")
