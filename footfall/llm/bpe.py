@@ -29,8 +29,8 @@ import public_tokenizers
 from footfall.llm.registry import query, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-KNOWN_WORDS = 200_000
-CHUNK_CHARS = 2 << 20
+KNOWN_WORDS = 120_000
+CHUNK_CHARS = 1 << 20
 SLICE = 1024
 _ANY = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
 _WIDE = f"^ | $| {_ANY}|{_ANY} "  # a space that is not single or stands at an end
@@ -76,8 +76,8 @@ class Pairs:
         return np.where(self.keys[at] == keys, self.values[at], -1)
 
 
-def replay(words: list[bytes], pairs: Pairs, few: int = 24) -> list[list[int]]:
-    """Ids of each word (none is empty): its merges, lowest rank first, leftmost among equals.
+def replay(words: list[bytes], pairs: Pairs, few: int = 24) -> list[bytes]:
+    """Ids of each word (none is empty), four bytes each: its merges, lowest rank first, leftmost among equals.
 
     All words are one row of tokens. The index (rank -> places where a pair of that rank begins) is
     built once; each rank is applied at all its places, `few` or more at a time as arrays, and only
@@ -165,7 +165,7 @@ def replay(words: list[bytes], pairs: Pairs, few: int = 24) -> list[list[int]]:
                 if r >= 0:
                     put(h, r)
     keep = ids >= 0
-    flat, cuts = ids[keep].tolist(), np.cumsum(np.add.reduceat(keep, starts, dtype=np.int64)).tolist()
+    flat, cuts = ids[keep].astype(np.int32).tobytes(), (4 * np.cumsum(np.add.reduceat(keep, starts, dtype=np.int64))).tolist()
     return [flat[s:e] for s, e in zip([0, *cuts], cuts, strict=False)]
 
 
@@ -176,8 +176,9 @@ class Encoder:
         self.ranks, self.known = ranks, known
         self.pairs = Pairs(ranks)
         self.words = regex.compile(pattern).findall
-        self.young: dict[str, list[int]] = {}
-        self.old: dict[str, list[int]] = {}
+        self.young: dict[str, bytes] = {}  # ids as replay() gives them
+        self.old: dict[str, bytes] = {}
+        self.one = np.arange(max(ranks.values(), default=0) + 1, dtype=np.int32).tobytes()
 
     def wide_pieces(self, text: str) -> list[str]:
         """Parts of a text whose words can be found one part at a time: it is cut before every
@@ -191,7 +192,7 @@ class Encoder:
                 out[-1] += " " + p
         return out
 
-    def look_up(self, pieces: list[str]) -> list[list[int]]:
+    def look_up(self, pieces: list[str]) -> list[bytes]:
         """Ids of distinct pieces; what is new is entered into the table, with the words it is made of."""
         if len(self.young) > self.known:
             self.young, self.old = {}, self.young
@@ -222,20 +223,20 @@ class Encoder:
                     rest.append(w)
                     raws.append(raw)
                     continue
-                ids = [rank]
+                ids = self.one[4 * rank:4 * rank + 4]
             young[w] = ids
         young.update(zip(rest, replay(raws, self.pairs), strict=True))
         get = young.__getitem__
         for p, words in made:
             if len(words) != 1:
-                young[p] = list(chain.from_iterable(map(get, words)))
+                young[p] = b"".join(map(get, words))
         return list(map(get, pieces))
 
     def _lists(self, coded: np.ndarray, ends: np.ndarray, pieces: list[str]) -> pa.ListArray:
         """Ids of texts that end after `ends` of the pieces numbered in `coded`."""
         found = self.look_up(pieces)
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter(chain.from_iterable(found), np.int32, int(size.sum()))
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat = np.frombuffer(b"".join(found), np.int32)
         long = size[coded]
         last = np.cumsum(long)
         # Token t of the piece at place i is flat[start of that piece + t].
