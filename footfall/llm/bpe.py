@@ -379,6 +379,26 @@ def encode_and_decode(docs: DataFrame, vocabulary: str | None = None, pattern: s
     return _apply(docs, _with(docs, IDS, DECODED), _encoding(path, pattern or public_tokenizers.PATTERN), _decoding(path))
 
 
+def round_trip(docs: DataFrame, vocabulary: str | None = None, pattern: str | None = None) -> DataFrame:
+    """`docs` (text and others) without text, with `n_tokens`, `ids` and `decodes`: whether the ids lead back to
+    the text. As encode_and_decode(), but neither texts nor decoded bytes leave the worker; columns of
+    these names are replaced."""
+    path = vocabulary or public_tokenizers.path(VOCABULARY)
+    docs = docs.drop("n_tokens", "ids", "decodes", "decoded")
+    names = [c for c in docs.columns if c != "text"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            same = pc.equal(pc.cast(pc.fill_null(batch.column("text"), ""), pa.binary()), batch.column("decoded"))
+            ids = batch.column("ids")
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(c) for c in names], pc.cast(pc.list_value_length(ids), pa.int64()), ids, same], [*names, "n_tokens", "ids", "decodes"])
+
+    schema = T.StructType([*[docs.schema[c] for c in names], T.StructField("n_tokens", T.LongType()), T.StructField(*IDS),
+                           T.StructField("decodes", T.BooleanType())])
+    return _apply(docs, schema, _encoding(path, pattern or public_tokenizers.PATTERN), _decoding(path), run)
+
+
 def digests(docs: DataFrame, key: str = "doc_id", vocabulary: str | None = None) -> DataFrame:
     """(key, n_tokens, ids_sha256, decoded_sha256) of encode_and_decode(); only digests leave the task."""
     path = vocabulary or public_tokenizers.path(VOCABULARY)

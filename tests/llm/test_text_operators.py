@@ -239,6 +239,9 @@ def test_ids_equal_the_library_and_decode_back(spark):
     both = bpe.encode_and_decode(frame)
     assert both.columns == bpe.decode(bpe.encode(frame)).columns
     assert sorted(map(tuple, both.collect()), key=repr) == sorted(map(tuple, out), key=repr)
+    for r in bpe.round_trip(frame).collect():
+        assert r.ids == own.encode_ordinary(texts[r.doc_id] or "") and r.n_tokens == len(r.ids) and r.decodes is True
+    assert "text" not in bpe.round_trip(frame).columns and bpe.round_trip(frame.limit(0)).count() == 0
     digest = {r.doc_id: r for r in bpe.digests(frame).collect()}
     ids = own.encode_ordinary(texts[6])
     assert digest[6].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
