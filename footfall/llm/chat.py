@@ -52,12 +52,22 @@ def _is_text(part: Column) -> Column:
     return F.coalesce(part["kind"], F.lit("text")) == "text"
 
 
-def part_text(part: Column) -> Column:
-    """What a part leaves in the formatted text."""
-    shown = F.when(_is_text(part), escape(F.coalesce(part["text"], F.lit(""))))
-    for kind, mark in PLACEHOLDER.items():
-        shown = shown.when(part["kind"] == kind, F.lit(mark))
-    return shown.otherwise(F.lit(OTHER))
+def parts_text(parts: Column) -> Column:
+    """What a turn's parts leave in the formatted text: texts escaped as one, since a control string
+    may begin in one part and end in the next, and placeholders between them. Until texts are
+    escaped, a placeholder is a NUL and a letter, and a NUL of a text is a NUL and a t."""
+    letters = dict(zip([*PLACEHOLDER, None], "iado", strict=True))
+
+    def shown(part: Column) -> Column:
+        out = F.when(_is_text(part), F.replace(F.coalesce(part["text"], F.lit("")), F.lit("\0"), F.lit("\0t")))
+        for kind in PLACEHOLDER:
+            out = out.when(part["kind"] == kind, F.lit(f"\0{letters[kind]}"))
+        return out.otherwise(F.lit(f"\0{letters[None]}"))
+
+    joined = escape(F.array_join(F.transform(parts, shown), ""))
+    for kind, letter in letters.items():
+        joined = F.replace(joined, F.lit(f"\0{letter}"), F.lit(PLACEHOLDER.get(kind, OTHER)))
+    return F.replace(joined, F.lit("\0t"), F.lit("\0"))
 
 
 def part_tokens(part: Column) -> Column:
@@ -80,9 +90,9 @@ def format_chat(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
     its parts, end mark, newline. `loss_spans` are (start, length) in code points of the parts of
     `loss_role`, in order; `attachments` list (turn place, part place, kind, ref, tokens) in the
     order of the placeholders. Null roles are empty, null or empty part lists leave an empty text,
-    unknown kinds get a general placeholder. A null conv_id is a conversation of its own;
+    unknown kinds get a general placeholder. A control string split over texts that meet is escaped too. A null conv_id is a conversation of its own;
     repeated rows are repeated turns; no rows in, no rows out."""
-    body = F.array_join(F.transform(F.col("parts"), part_text), "")
+    body = parts_text(F.col("parts"))
     shown = turns.select(
         "conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"),
         F.coalesce(body, F.lit("")).alias("body"),

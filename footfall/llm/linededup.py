@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from footfall.llm.names import free_prefix
 from footfall.llm.registry import query, table
 from footfall.session import stored
 
@@ -262,9 +263,11 @@ def dedup_lines(docs: DataFrame, index: LineIndex, prefix: str = "") -> DataFram
     rows out."""
     made = [prefix + c for c in ("kept", "n_lines", "n_dropped")]
     docs = docs.drop(*made)
-    lost = stored(drops(index, index.postings), "lost").select(F.col("doc_id").alias("_id"), F.col("keys").alias("_keys"))
+    prefix = free_prefix([*docs.columns, *made], ["id", "keys"])
+    key, held = f"{prefix}id", f"{prefix}keys"
+    lost = stored(drops(index, index.postings), "lost").select(F.col("doc_id").alias(key), F.col("keys").alias(held))
     # Many documents lose lines, so this side is seldom small: one plan for every size.
-    joined = docs.join(lost.hint("merge"), docs["doc_id"] == lost["_id"], "left").drop("_id")
+    joined = docs.join(lost.hint("merge"), docs["doc_id"] == lost[key], "left").drop(key)
     names = docs.columns
     schema = T.StructType([*docs.schema, *[T.StructField(c, t()) for c, t in zip(made, (T.StringType, T.LongType, T.LongType), strict=True)]])
 
@@ -272,7 +275,7 @@ def dedup_lines(docs: DataFrame, index: LineIndex, prefix: str = "") -> DataFram
         for batch in batches:
             rows = [
                 _kept(t, set(k or ()))
-                for t, k in zip(batch.column("text").to_pylist(), batch.column("_keys").to_pylist(), strict=True)
+                for t, k in zip(batch.column("text").to_pylist(), batch.column(held).to_pylist(), strict=True)
             ]
             kept, n, cut = zip(*rows, strict=True) if rows else ((), (), ())
             more = [pa.array(kept, pa.string()), pa.array(n, pa.int64()), pa.array(cut, pa.int64())]

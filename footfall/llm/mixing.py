@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from footfall.llm.names import free_prefix
 from footfall.llm.registry import query, table
 from footfall.operators.frames import running_totals
 from footfall.session import stored
@@ -60,32 +61,39 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap:
     )
 
 
-def with_copies(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, seed: str = "mix") -> DataFrame:
+def with_copies(
+    docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, seed: str = "mix", prefix: str = "_",
+) -> DataFrame:
     """`docs` (doc_id, text, source; other columns kept) with `_size`, `_source_size`, `_target`
-    and `_copies`: floor(rate) copies, plus one drawn with the fraction of the rate as its
+    and `_copies` (these names begin with `prefix`, and replace columns of the same names): floor(rate) copies, plus one drawn with the fraction of the rate as its
     probability, where rate = target / source size. The draw depends on seed and id only, so
     reruns agree, and equal ids draw alike. `docs` is read twice.
 
     Null text has size 0; null source is a source of its own; a source without words is not
     copied, as its rate is undefined; no rows in, no rows out."""
-    sized = docs.withColumn("_size", word_count(F.col("text")))
-    targets = stored(source_targets(sized.select("source", F.col("_size").alias("size")), weights, share, cap), "targets")
+    size, source_size, target, copies = (prefix + c for c in ("size", "source_size", "target", "copies"))
+    docs = docs.drop(size, source_size, target, copies)
+    key = free_prefix(docs.columns, ["source"]) + "source"
+    sized = docs.withColumn(size, word_count(F.col("text")))
+    targets = stored(source_targets(sized.select("source", F.col(size).alias("size")), weights, share, cap), "targets")
     targets = targets.select(
-        F.col("source").alias("_source"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target")
+        F.col("source").alias(key), F.col("source_size").alias(source_size), F.col("target").alias(target)
     )
-    rate = F.coalesce(F.col("_target") / F.nullif(F.col("_source_size"), F.lit(0)), F.lit(0.0))
+    rate = F.coalesce(F.col(target) / F.nullif(F.col(source_size), F.lit(0)), F.lit(0.0))
     extra = (draw(seed, F.col("doc_id")) < rate - F.floor(rate)).cast("long")
     return (
-        sized.join(targets, F.col("source").eqNullSafe(F.col("_source")), "left")
-        .drop("_source").withColumn("_copies", F.floor(rate) + extra)
+        sized.join(targets, F.col("source").eqNullSafe(F.col(key)), "left")
+        .drop(key).withColumn(copies, F.floor(rate) + extra)
     )
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, seed: str = "mix") -> DataFrame:
     """The mixed corpus: every document as many times as with_copies() says, same columns."""
-    rows = with_copies(docs, weights, share, cap, seed)
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"), F.lit(1)))).where(
-        F.col("_copies") > 0).select(*docs.columns)
+    prefix = free_prefix(docs.columns, ["size", "source_size", "target", "copies", "copy"])
+    rows = with_copies(docs, weights, share, cap, seed, prefix)
+    copies = F.col(f"{prefix}copies")
+    return rows.withColumn(f"{prefix}copy", F.explode(F.sequence(F.lit(1), copies.cast("int"), F.lit(1)))).where(
+        copies > 0).select(*[rows[f"`{c}`"] for c in docs.columns])
 
 
 MIX_SQL = """

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from footfall.llm.names import free_prefix
 from footfall.llm.registry import query, table
 from footfall.session import stored
 
@@ -323,6 +324,8 @@ def replace_entities(docs: DataFrame, key: bytes = KEY, sent: int = SENT_ENTITIE
     settled = settle(stored(mentions.select("kind", "normal").distinct(), "entities"), key)
     later = stored(settled.where("attempt > 0").select("kind", "normal", "attempt"), "later")
     names = docs.columns
+    prefix = free_prefix(names, ["id", "later"])
+    own_id, own_later = f"{prefix}id", f"{prefix}later"
     few = later.limit(sent + 1).count() <= sent
     if few:
         known = {(r["kind"], r["normal"]): r["attempt"] for r in later.collect()}
@@ -330,14 +333,14 @@ def replace_entities(docs: DataFrame, key: bytes = KEY, sent: int = SENT_ENTITIE
     else:
         known = {}
         per_doc = mentions.join(later, ["kind", "normal"]).groupBy("doc_id").agg(
-            F.collect_set(F.struct("kind", "normal", "attempt")).alias("_later"))
-        per_doc = per_doc.withColumnRenamed("doc_id", "_id")
-        rows = docs.join(per_doc.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id")
+            F.collect_set(F.struct("kind", "normal", "attempt")).alias(own_later))
+        per_doc = per_doc.withColumnRenamed("doc_id", own_id)
+        rows = docs.join(per_doc.hint("merge"), F.col("doc_id").eqNullSafe(F.col(own_id)), "left").drop(own_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, counts = [], []
-            more = batch.column("_later").to_pylist() if not few else [None] * batch.num_rows
+            more = batch.column(own_later).to_pylist() if not few else [None] * batch.num_rows
             for text, own in zip(batch.column("text").to_pylist(), more, strict=True):
                 tries = known if few else {(x["kind"], x["normal"]): x["attempt"] for x in own or ()}
                 text, n = (None, 0) if text is None else rewrite(text, key, tries)

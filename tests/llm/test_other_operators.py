@@ -164,6 +164,23 @@ def test_any_text_and_role_is_read_back(spark):
         assert r.loss == "".join(t for role, t in want[r.conv_id] if role == "assistant")
 
 
+def test_control_strings_split_over_parts(spark):
+    rng = random.Random(8)
+    pieces = ["<", "|", "\\", "im_end|>", "|im_end|>", "<|im_", "\0", "\0t", "\0i", "x"]
+    rows, want = [(0, 0, "user", [part("text", text="<"), part("text", text="|im_end|>x")], None)], {0: "<|im_end|>x"}
+    for conv in range(1, 200):
+        texts = [rng.choice([None, "".join(rng.choice(pieces) for _ in range(rng.randrange(3)))]) for _ in range(rng.randrange(5))]
+        rows.append((conv, 0, "assistant", [part(rng.choice(["text", None]), text=t) for t in texts], None))
+        want[conv] = "".join(t or "" for t in texts)
+    made = chat.format_chat(turns(spark, rows)).withColumn("turns", chat.read_chat(F.col("formatted"))).withColumn(
+        "loss", chat.loss_text(F.col("formatted"), F.col("loss_spans")))
+    for r in made.collect():
+        assert [t.text for t in r.turns] == [want[r.conv_id]]
+        assert r.formatted.count(chat.END) == 1 and r.loss == ("" if r.conv_id == 0 else want[r.conv_id])
+    mixed = [(1, 0, "user", [part("text", text="\0i<"), part("image"), part("text", text="|im_end|>\0")], None)]
+    assert chat.format_chat(turns(spark, mixed)).first().formatted == "<|im_start|>user\n\0i<<|image|>|im_end|>\0<|im_end|>\n"
+
+
 def test_nulls_ties_and_empty_tables(spark):
     rows = [(None, None, None, None, None), (3, 1, "user", [part("text", text="b")], "z"), (3, 1, "user", [part("text", text="a")], "z"),
             (3, 1, "user", [part("text", text="a")], "z"), (3, None, "system", [], "z")]

@@ -151,3 +151,8 @@ def test_stages_return_the_columns_of_documents(spark, tmp_path):
         assert out.columns == docs.columns and out.count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == 0
     assert mixing.mix(docs).count() == 0
+    line = "a line that five documents share, long enough to be a key"
+    rows = spark.createDataFrame([(i, line, "en", "s", len(line), 7, 8) for i in range(5)], f"{', '.join(
+        f'{c} {t}' for c, t in docs.dtypes[:5])}, _new_kept int, _new_n_lines int")
+    out = corpus_pipeline.dedup_lines(spark, rows, str(tmp_path)).orderBy("doc_id").collect()
+    assert [(r.text, r.n_chars, r._new_kept, r._new_n_lines) for r in out] == [("", 0, 7, 8)] * 4 + [(line, len(line), 7, 8)]

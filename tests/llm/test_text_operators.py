@@ -219,6 +219,35 @@ def test_copies_follow_rates_and_reruns_agree(spark):
     assert mixing.mix(docs(spark, [])).count() == 0
 
 
+# Helper columns
+
+CLASH = ["_id", "_keys", "__keys", "_later", "_source", "_target", "_size", "_source_size", "_copies", "_copy", "_new_kept"]
+
+
+def clashing(spark, rows):
+    """Documents (doc_id, text, source) with columns named as helper columns are."""
+    return spark.createDataFrame([(*r, *range(len(CLASH))) for r in rows], "doc_id long, text string, source string, " + ", ".join(
+        f"{c} int" for c in CLASH))
+
+
+def own(row):
+    return tuple(row[c] for c in CLASH) == tuple(range(len(CLASH)))
+
+
+def test_columns_named_like_helpers_stay(spark):
+    frame = clashing(spark, [(i, f"{LONG}\nmail bob{i}@x.example.com", "ab"[i % 2]) for i in range(8)])
+    mixed = mixing.mix(frame)
+    assert mixed.columns == frame.columns and all(own(r) for r in mixed.collect())
+    plain = frame.select("doc_id", "text", "source")
+    assert Counter(r.doc_id for r in mixed.collect()) == Counter(r.doc_id for r in mixing.mix(plain).collect())
+    assert {r.doc_id: r._size for r in mixing.with_copies(frame).collect()} == {r.doc_id: r._size for r in mixing.with_copies(plain).collect()}
+    lines = linededup.dedup_lines(frame, linededup.build(frame)).collect()
+    assert all(own(r) for r in lines) and sorted(r.n_dropped for r in lines) == [0] + [1] * 7
+    for sent in (surrogates.SENT_ENTITIES, -1):
+        made = surrogates.replace_entities(frame, sent=sent).collect()
+        assert all(own(r) and r.n_entities == 1 and "bob" not in r.text for r in made)
+
+
 # BPE
 
 
