@@ -226,6 +226,59 @@ def lookup_ranges(rows: DataFrame, key: str, ranges: DataFrame, values: list[str
     return out.drop("_key", *[f"_hit{i}" for i in range(len(parts))])
 
 
+_DIGITS = "array('0', '1', '2', '3', '4', '5', '6', '7', '8', '9', 'a', 'b', 'c', 'd', 'e', 'f')"
+
+
+def _prefixes() -> Column:
+    """The key prefixes whose addresses together are those from `first` to `last`, none twice. With
+    `shared` leading digits in common, and `lo` and `hi` digits left of the trailing zeros of
+    first and f of last: whole digits between the two, and down each side the digits above
+    (below) the bound's own. That is at most 15 per side and digit, one for an aligned range."""
+
+    def side(bound: str, end: str, compare: str) -> str:
+        return f"""IF({end} > shared + 1, concat(flatten(transform(sequence(shared + 2, {end}), i ->
+          transform(filter({_DIGITS}, d -> d {compare} substring({bound}, i, 1)), d -> concat(substring({bound}, 1, i - 1), d)))),
+          array(left({bound}, {end}))), array())"""
+
+    between = f"""transform(filter({_DIGITS}, d ->
+      (d > substring(first, shared + 1, 1) OR (d = substring(first, shared + 1, 1) AND lo <= shared + 1)) AND
+      (d < substring(last, shared + 1, 1) OR (d = substring(last, shared + 1, 1) AND hi <= shared + 1))),
+      d -> concat(left(first, shared), d))"""
+    return F.expr(f"""IF(lo <= shared AND hi <= shared, array(left(first, shared)),
+      concat({between}, {side('first', 'lo', '>')}, {side('last', 'hi', '<')}))""")
+
+
+def block_table(ranges: DataFrame, values: list[str]) -> DataFrame:
+    """(prefix, best) of ranges (start_ip, end_ip, values...): per key prefix the most specific of the
+    ranges that hold all of its addresses: the one that begins last, of those the one that ends
+    first, of those the largest value. Ranges that are no addresses or end before they begin are
+    left out."""
+    r = ranges.select(ip_key(F.col("start_ip")).alias("first"), ip_key(F.col("end_ip")).alias("last"), *values)
+    r = r.where("first <= last").selectExpr(
+        "*", "size(filter(sequence(1, 32), i -> left(first, i) = left(last, i))) AS shared",
+        "length(trim(TRAILING '0' FROM first)) AS lo", "length(trim(TRAILING 'f' FROM last)) AS hi")
+    inverse = F.translate("last", "0123456789abcdef", "fedcba9876543210").alias("inverse")
+    return r.select(F.explode(_prefixes()).alias("prefix"), F.struct("first", inverse, *values).alias("best")).groupBy(
+        "prefix").agg(F.max("best").alias("best"))
+
+
+def lookup_blocks(rows: DataFrame, key: str, ranges: DataFrame, values: list[str]) -> DataFrame:
+    """lookup_ranges() for range tables of any size and density: no two ranges meet each other, and
+    an address meets one row per prefix length in use (33 at most), all by equality.
+
+    Addresses are made distinct first, so a hot one is looked up once; then rows meet the answers
+    by address. `rows` is read twice. Columns of `rows` named as `values` are replaced."""
+    table = stored(block_table(ranges, values), "blocks")
+    lengths = [r[0] for r in table.select(F.length("prefix")).distinct().collect()]
+    tried = rows.select(F.col(key).alias("at")).where("at IS NOT NULL").distinct().select(
+        "at", F.explode(F.array(*[F.lit(n) for n in lengths]).cast("array<int>")).alias("n")).selectExpr(
+        "at", "left(at, n) AS prefix")
+    best = tried.join(table, "prefix").groupBy("at").agg(F.max("best").alias("best"))
+    found = best.select("at", *[F.col(f"best.{v}").alias(v) for v in values])
+    rows = rows.drop(*values)
+    return rows.join(found, rows[key] == found["at"], "left").drop(found["at"])
+
+
 def with_datacenter(rows: DataFrame, key: str, asn_ranges: DataFrame) -> DataFrame:
     """Adds dc_asn for addresses of listed hosting networks. Only listed networks are kept
     from the range table, before it is split into slots."""

@@ -221,6 +221,28 @@ def geo_nested(t):
     return network.with_geo(rows, "key", ranges).select("event_id", "country", "region")
 
 
+def _address(number: str) -> str:
+    return f"concat('84.', {number} div 65536, '.', {number} div 256 % 256, '.', {number} % 256)"
+
+
+@query("geo_dense", """
+WITH r AS (
+  SELECT o_orderkey * 37 % 1000000 AS a, o_orderkey * 37 % 1000000 + o_custkey % 997 AS z, o_orderpriority AS country, o_orderstatus AS region FROM orders),
+met AS (
+  SELECT event_id, country, region, row_number() OVER (PARTITION BY event_id ORDER BY a DESC NULLS LAST, z, country DESC, region DESC) AS place
+  FROM events LEFT JOIN r ON event_id * 101 % 1100000 BETWEEN a AND z)
+SELECT event_id, country, region FROM met WHERE place = 1""")
+def geo_dense(t):
+    """A range per order, overlapping at will within a few prefixes: each address once, with its most specific range."""
+    r = t.raw("orders").selectExpr(
+        "o_orderkey * 37 % 1000000 AS a", "o_orderkey * 37 % 1000000 + o_custkey % 997 AS z",
+        "o_orderpriority AS country", "o_orderstatus AS region")
+    ranges = r.selectExpr(f"{_address('a')} AS start_ip", f"{_address('z')} AS end_ip", "country", "region")
+    rows = t.raw("events").selectExpr("event_id", "event_id * 101 % 1100000 AS n").selectExpr("event_id", f"{_address('n')} AS ip")
+    rows = rows.withColumn("key", network.ip_key(F.col("ip")))
+    return network.lookup_blocks(rows, "key", ranges, ["country", "region"]).select("event_id", "country", "region")
+
+
 # --- the whole plan -----------------------------------------------------------------------------
 
 _HUMAN = _UAS[5][0]

@@ -1,6 +1,7 @@
 """Cleaning, masking and classification on the case tables of the rules."""
 
 import ipaddress
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -233,6 +234,46 @@ def test_range_lookup(spark):
     assert got == ["A", "A", "B", None, "C", "D", None, None]
 
 
+@pytest.mark.parametrize("lookup", [network.lookup_ranges, network.lookup_blocks])
+def test_most_specific_of_overlapping_ranges(spark, lookup):
+    rng = random.Random(4)
+    made, asked = [], []
+    for base, room in ((int(ipaddress.ip_address("84.5.0.0")), 1 << 17), (int(ipaddress.ip_address("2a00:1::")), 1 << 70)):
+        def text(n, base=base):
+            return str(ipaddress.ip_address(base + n))
+        for i in range(120):
+            a = rng.choice([rng.randrange(room), rng.randrange(40), rng.randrange(room >> 8) << 8])
+            z = min(room - 1, a + rng.choice([0, 1, 15, 255, rng.randrange(room), (1 << rng.randrange(12)) - 1]))
+            made.append((text(a), text(z), f"n{i % 50:02d}"))
+        asked += [text(rng.choice([rng.randrange(room), rng.randrange(300)])) for _ in range(150)]
+        asked += [x for r in made[-20:] for x in r[:2]]
+    made += [("84.5.0.9", "84.5.0.1", "turned"), ("x", "84.5.0.1", "bad"), (None, None, "null"), ("0.0.0.0", "255.255.255.255", "all")]
+    asked += ["0.0.0.0", "255.255.255.255", "::", "", None, "84.5.0.1", "84.5.0.1"]
+
+    def number(ip):
+        try:
+            a = ipaddress.ip_address(ip)
+        except ValueError:
+            return None
+        return int(a) + (0xFFFF << 32 if a.version == 4 else 0)
+
+    held = [(number(a), number(z), n) for a, z, n in made if number(a) is not None and number(z) is not None]
+    want = []
+    for ip in asked:
+        k = number(ip)
+        met = [(a, -z, n) for a, z, n in held if k is not None and a <= k <= z]
+        want.append(max(met)[2] if met else None)
+    rows = spark.createDataFrame(list(enumerate(asked)), "i int, ip string").withColumn("key", network.ip_key(F.col("ip")))
+    ranges = spark.createDataFrame(made, "start_ip string, end_ip string, name string")
+    got = lookup(rows, "key", ranges, ["name"]).orderBy("i").collect()
+    assert [r.i for r in got] == list(range(len(asked))) and [r.name for r in got] == want
+    if lookup is network.lookup_blocks:
+        none = lookup(rows, "key", ranges.limit(0), ["name"])
+        assert none.count() == len(asked) and none.where("name IS NOT NULL").isEmpty()
+        aligned = ranges.limit(0).unionByName(spark.sql("SELECT '84.0.0.0' AS start_ip, '84.255.255.255' AS end_ip, 'a' AS name"))
+        assert [len(r.prefix) for r in network.block_table(aligned, ["name"]).collect()] == [26]
+
+
 def test_visitor_hash(spark):
     import hashlib
 
