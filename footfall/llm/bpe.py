@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 import public_tokenizers
+from footfall.llm.memory import give_back
 from footfall.llm.registry import query, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -314,11 +315,13 @@ def _chunks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 def _encoding(path: str, pattern: str) -> Step:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()  # what an earlier stage left in this worker
         enc = _encoder(path, pattern)
         for batch in batches:
             for part in _chunks(batch):
                 yield part.append_column("ids", enc.encode(pc.fill_null(part.column("text"), "")))
         enc.young, enc.old = {}, {}  # the worker goes on to other work
+        give_back()
 
     return run
 
