@@ -9,16 +9,22 @@ within t_i of its own and misses no code within r. Tables are bitmaps over a blo
 and the union of the probes is an OR. Codes that come up are compared whole, and those within
 the radius are ranked by their float vectors.
 
-Radii are set per query: the Hamming distance at which the sample promises CANDIDATES codes.
+Radii aim at a recall, whatever the number of vectors. For about CALIBRATION of the queries the
+true neighbours are found among all rows; their Hamming distances, told from the distance at
+which a hundredth of the sample lies around the query, give the margin that holds RECALL of
+them. A query's radius is that distance of its own plus the margin.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from footfall.llm.blocks import finite, merge, search
+from footfall.llm import blocks
+from footfall.llm.blocks import finite, merge, packed, search
 from footfall.llm.registry import query, table
 from footfall.llm.sample import bounded_sample
 from footfall.session import stored
@@ -27,8 +33,10 @@ K = 20
 BITS = 256
 SAMPLE = 8192
 ROUNDS = 12
-CANDIDATES = 1000
-LEAST_RANK = 8  # a radius is never read off fewer sample codes than this
+CALIBRATION = 128  # queries whose true neighbours set the margin
+RECALL = 0.95
+AROUND = 100  # one of so many sample codes lies within a query's own distance
+LEAST_RANK = 8  # which is never read off fewer sample codes than this
 _POP = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 _APART = _POP[np.arange(256)[:, None] ^ np.arange(256)[None, :]]  # bits between two byte values
 
@@ -79,31 +87,41 @@ def words(codes: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.pad(codes, ((0, 0), (0, pad)))).view(np.uint64)
 
 
-def radii(codes: np.ndarray, sample: np.ndarray, n: int, candidates: int = CANDIDATES) -> np.ndarray:
-    """Radius of each query: the distance to the sample code whose rank stands for `candidates` of
-    `n` vectors; all bits where `n` is no more than that or the sample too small to tell."""
-    rank = max(LEAST_RANK, -(-len(sample) * candidates // max(n, 1)))
-    if n <= candidates or rank > len(sample):
+def own_distance(codes: np.ndarray, sample: np.ndarray) -> np.ndarray:
+    """Distance around each query that holds one of AROUND sample codes; all bits if the sample is too small to tell."""
+    rank = max(LEAST_RANK, len(sample) // AROUND)
+    if rank > len(sample):
         return np.full(len(codes), codes.shape[1] * 8)
     return np.partition(hamming(words(codes), words(sample)), rank - 1, axis=1)[:, rank - 1].astype(np.int64)
 
 
+def margin(apart: np.ndarray, own: np.ndarray, recall: float = RECALL) -> int:
+    """The margin over `own` distances that holds that share of neighbours `apart` bits away."""
+    return int(np.quantile(apart - own, recall, method="higher"))
+
+
 def thresholds(radius: int, n_bytes: int) -> np.ndarray:
     """Bits by which each byte may differ (-1: not probed); t_i + 1 sum to radius + 1."""
     each, more = divmod(radius + 1, n_bytes)
     return np.minimum(np.where(np.arange(n_bytes) < more, each, each - 1), 8)
 
 
-def probe(codes: np.ndarray, radius: np.ndarray, others: np.ndarray) -> np.ndarray:
-    """Bit matrix (queries x others, packed) of the codes that share a probed bucket."""
-    n_bytes, n = others.shape[1], len(others)
-    held = np.zeros((n_bytes, 256, -(-n // 8)), np.uint8)  # bitmap of each bucket
+def buckets(codes: np.ndarray) -> np.ndarray:
+    """The index of a block: for each byte of a code and each value of it, a bitmap of the codes that have it."""
+    n_bytes, n = codes.shape[1], len(codes)
+    held = np.zeros((n_bytes, 256, -(-n // 8)), np.uint8)
     for i in range(n_bytes):
         rows = np.zeros((256, n), bool)
-        rows[others[:, i], np.arange(n)] = True
+        rows[codes[:, i], np.arange(n)] = True
         held[i] = np.packbits(rows, axis=1)
+    return held
+
+
+def probe(codes: np.ndarray, radius: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Bit matrix (queries x codes of the index, packed) of the codes that share a probed bucket."""
+    n_bytes = len(held)
     out = np.zeros((len(codes), held.shape[2]), np.uint8)
-    limit = np.stack([thresholds(int(r), n_bytes) for r in radius])
+    limit = np.stack([thresholds(int(r), n_bytes) for r in radius]) if len(radius) else np.zeros((0, n_bytes), np.int64)
     for i in range(n_bytes):
         for t in np.unique(limit[:, i]):
             if t < 0:
@@ -116,33 +134,42 @@ def probe(codes: np.ndarray, radius: np.ndarray, others: np.ndarray) -> np.ndarr
 
 
 def look(q: dict, x: dict, best: list, k: int) -> None:
-    """Enters what one block of candidates holds within the queries' radii."""
+    """Enters what one block of candidates holds within the queries' radii. Only codes that a probe
+    brings up are compared, only those within the radius are scored."""
     n = len(x["ids"])
-    hits = np.unpackbits(probe(q["codes"], q["radius"], x["codes"]), axis=1, count=n).astype(bool)
-    far = hamming(words(q["codes"]), words(x["codes"])) > q["radius"][:, None]
-    hits &= ~far & (q["ids"][:, None] != x["ids"][None, :])
-    rows, columns = np.nonzero(hits)
-    counts = hits.sum(1)
-    if not len(rows):
-        return
-    exact = np.empty(len(rows))
-    for at in range(0, len(rows), 1 << 16):
-        part = slice(at, at + (1 << 16))
-        exact[part] = np.einsum("ij,ij->i", q["x"][rows[part]], x["x"][columns[part]])
-    ends = np.concatenate([[0], np.cumsum(counts)])
-    for i in np.flatnonzero(counts):
-        part = slice(ends[i], ends[i + 1])
-        merge(best, k, x["ids"][columns[part]], exact[None, part], np.array([i]))
-
-
-def nearest(vectors: DataFrame, asked: DataFrame, k: int = K, sample: int = SAMPLE) -> DataFrame:
+    if "held" not in x:  # once per block, for all queries that meet it
+        x["held"], x["words"] = buckets(x["codes"]), np.ascontiguousarray(words(x["codes"]).T)
+    up = np.unpackbits(probe(q["codes"], q["radius"], x["held"]), axis=1, count=n).view(bool)
+    asked = words(q["codes"])
+    for i, (at, radius) in enumerate(zip(q["ids"], q["radius"], strict=True)):
+        columns = np.flatnonzero(up[i])
+        apart = np.zeros(len(columns), np.uint16)
+        for w, word in enumerate(asked[i]):
+            apart += np.bitwise_count(x["words"][w].take(columns) ^ word)
+        columns = columns[(apart <= radius) & (x["ids"][columns] != at)]
+        if len(columns):
+            merge(best, k, x["ids"][columns], np.einsum("ij,j->i", x["x"][columns], q["x"][i])[None, :], np.array([i]))
+
+
+def look_at_all(q: dict, x: dict, best: list, k: int) -> None:
+    """Enters the true neighbours' bits apart in the place of their ids: what the margin is read off."""
+    apart = hamming(words(q["codes"]), words(x["codes"])).astype(np.int64)
+    scores = q["x"] @ x["x"].T
+    scores[q["ids"][:, None] == x["ids"][None, :]] = -np.inf
+    merge(best, k, apart, scores, np.arange(len(q["ids"])))
+
+
+def nearest(
+    vectors: DataFrame, asked: DataFrame, k: int = K, sample: int = SAMPLE, calibration: int = CALIBRATION, recall: float = RECALL,
+) -> DataFrame:
     """(query_id, rank, vec_id, score): for every row of `asked` (vec_id, v) the `k` rows of `vectors`
     of another vec_id with the largest inner product among those within its radius.
 
     Vectors that are null, zero, or hold a null or non-finite component, and rows with a null
     vec_id, take no part. All vectors have one length. Equal vec_ids are candidates of their
     own; equal scores go to the smaller vec_id; empty sides give no rows. Codes are fitted on
-    about `sample` vectors, chosen by hash."""
+    about `sample` vectors and radii on the true neighbours of about `calibration` queries, so that
+    these find the share `recall`; both are chosen by hash, and every row is indexed."""
     live = F.col("vec_id").isNotNull() & finite(F.col("v")) & F.exists("v", lambda c: c != 0)
     vectors, asked = (d.select("vec_id", "v").where(live) for d in (vectors, asked))
     square = F.aggregate("v", F.lit(0.0), lambda s, c: s + c.cast("double") * c.cast("double"))
@@ -160,12 +187,13 @@ def nearest(vectors: DataFrame, asked: DataFrame, k: int = K, sample: int = SAMP
     def of(x: np.ndarray) -> bytes:
         return coder.codes(x).tobytes()
 
-    def of_asked(x: np.ndarray) -> bytes:
-        codes = coder.codes(x, True)
-        return codes.tobytes() + radii(codes, known, n).tobytes()
+    def of_asked(more: int | None) -> Callable[[np.ndarray], bytes]:
+        def run(x: np.ndarray) -> bytes:
+            codes = coder.codes(x, True)
+            own = own_distance(codes, known) + more if more is not None else np.full(len(x), n_bytes * 8)
+            return codes.tobytes() + np.clip(own, 0, n_bytes * 8).astype(np.int64).tobytes()
 
-    def of_lone(x: np.ndarray) -> bytes:
-        return coder.codes(x, True).tobytes() + np.full(len(x), n_bytes * 8).tobytes()
+        return run
 
     def complete(block: dict) -> dict:
         m = len(block["ids"])
@@ -174,13 +202,23 @@ def nearest(vectors: DataFrame, asked: DataFrame, k: int = K, sample: int = SAMP
         block["radius"] = codes[m * n_bytes:].view(np.int64)
         return block
 
-    found = stored(search(vectors, asked, of, look, complete, k, kind, of_asked), "found")
+    index = packed(vectors, blocks.BLOCK, of, "index")
+    tried = stored(bounded_sample(asked, F.xxhash64("vec_id"), calibration, asked.count()), "tried")
+    first = search(index, packed(tried, blocks.QUERY_BLOCK, of_asked(0), "calibration"), look_at_all, complete, k, kind)
+    near = first.select(F.col("query_id").alias("vec_id"), F.col("vec_id").alias("apart")).toPandas()
+    more = None
+    if len(near):
+        rows = tried.dropDuplicates(["vec_id"]).toPandas()
+        own = own_distance(coder.codes(np.stack(rows["v"].to_numpy()).astype(np.float64), True), known)
+        near = near.merge(rows[["vec_id"]].assign(own=own), on="vec_id")
+        more = margin(near["apart"].to_numpy(), near["own"].to_numpy(), recall)
+    found = stored(search(index, packed(asked, blocks.QUERY_BLOCK, of_asked(more), "queries"), look, complete, k, kind), "found")
     # A query in an empty region may have found too few: its radius becomes the whole code.
     full = found.groupBy("query_id").count().where(F.col("count") >= min(k, n - 1)).select(F.col("query_id").alias("vec_id"))
     lone = stored(asked.join(full, "vec_id", "left_anti"), "lone")
     if lone.isEmpty():
         return found
-    again = search(vectors, lone, of, look, complete, k, kind, of_lone)
+    again = search(index, packed(lone, blocks.QUERY_BLOCK, of_asked(None), "queries"), look, complete, k, kind)
     return found.join(lone.select(F.col("vec_id").alias("query_id")).distinct(), "query_id", "left_anti").unionByName(again)
 
 

@@ -1,9 +1,11 @@
 """Blocks of vectors that meet blocks of queries.
 
-Both sides are packed into rows of bounded size. The block of queries gets a number, every
-candidate block is repeated once per number, and an equality join brings them together: the
-work of a stated query set against all rows, dealt out evenly. A task holds one block of each
-side and hands the best scores on from one candidate block to the next.
+Both sides are packed into rows of bounded size. Candidate blocks are numbered and taken in
+groups, query blocks in chunks, and a cell is one group with one chunk, met through a
+cogroup: the work of a stated query set against all rows, dealt out evenly. A candidate crosses
+the shuffle once per chunk and a query once per group, so neither side is sent once per block
+of the other. A task holds one cell; whatever an operator derives from a candidate block
+is made once in it and serves all queries of the chunk.
 """
 
 from __future__ import annotations
@@ -19,7 +21,9 @@ from footfall.session import stored
 
 BLOCK = 4096
 QUERY_BLOCK = 512
-GROUP = 16  # candidate blocks that follow each other in a task and hand on their scores
+GROUP = 16  # candidate blocks of a cell, at most
+CHUNK = 32  # query blocks of a cell, at most
+CELLS = 4  # cells for each core, where sizes leave the choice
 
 
 def finite(v: Column) -> Column:
@@ -89,44 +93,51 @@ def merge(best: list, k: int, ids: np.ndarray, scores: np.ndarray, rows: np.ndar
             best[at] = (mine[order], got[order])
 
 
+def packed(vectors: DataFrame, size: int, derive: Callable[[np.ndarray], bytes], name: str) -> DataFrame:
+    """pack(), stored, with `at`: the number of a block, from 0. Numbers come from block names alone."""
+    rows = stored(pack(vectors, size, derive), name)
+    number = rows.select("block", (F.row_number().over(Window.orderBy("block")) - 1).cast("long").alias("at"))
+    return rows.join(stored(number, "numbers"), "block")
+
+
 def search(
-    vectors: DataFrame, asked: DataFrame, derive: Callable, look: Callable, prepare: Callable, k: int, kind: str,
-    derive_asked: Callable | None = None,
+    candidates: DataFrame, queries: DataFrame, look: Callable, prepare: Callable, k: int, kind: str,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score double): the `k` best of what `look(query block, candidate block,
-    best, k)` enters, over all blocks. `prepare` completes an unpacked block; `kind` is the
-    type of the components."""
-    queries = stored(pack(asked, QUERY_BLOCK, derive_asked or derive), "queries")
-    n = queries.count()
-    number = queries.select("block", (F.row_number().over(Window.orderBy("block")) - 1).alias("q"))
-    right = queries.join(number, "block").select("q", *[F.col(c).alias(f"q_{c}") for c in ("ids", "data", "more")])
-    left = pack(vectors, BLOCK, derive).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0)))))
-    pairs = left.join(right, "q").select("q", "ids", "data", "more", "q_ids", "q_data", "q_more")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q, best, now, seen = None, [], None, 0
-
-        def out() -> pa.RecordBatch:
-            n = [len(ids) for ids, _ in best]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(q["ids"], n)), pa.array(np.concatenate([i for i, _ in best])),
-                 pa.array(np.concatenate([s for _, s in best]))], ["query_id", "vec_id", "score"])
-
-        for batch in batches:
-            for i in range(batch.num_rows):
-                number, *cells = (c[i].as_py() for c in batch.columns)
-                if number != now or seen == GROUP:
-                    if q is not None:
-                        yield out()
-                    now, seen = number, 0
-                    q = prepare(unpack(*cells[3:], kind))
-                    best = [(np.zeros(0, np.int64), np.zeros(0)) for _ in q["ids"]]
-                look(q, prepare(unpack(*cells[:3], kind)), best, k)
-                seen += 1
-        if q is not None:
-            yield out()
-
-    found = pairs.mapInArrow(run, "query_id long, vec_id long, score double")
+    best, k)` enters, over all blocks of packed() `candidates` and `queries`. `prepare` completes an
+    unpacked block; `kind` is the type of the components."""
+    n, m = candidates.count(), queries.count()
+    wanted = max(1, int(CELLS * candidates.sparkSession.sparkContext.defaultParallelism))
+    group = min(GROUP, max(1, n // wanted))
+    groups = -(-n // group)
+    chunk = min(CHUNK, max(1, m * groups // wanted))
+    chunks = -(-m // chunk)
+    cells = max(1, groups * chunks)
+
+    def dealt(blocks: DataFrame, mine: str, size: int, other: str, others: int) -> DataFrame:
+        every = F.sequence(F.lit(0), F.lit(others - 1)) if others else F.array().cast("array<int>")
+        rows = blocks.select((F.floor(F.col("at") / size)).cast("int").alias(mine), F.explode(every).alias(other), "ids", "data", "more")
+        return rows.repartition(cells, "g", "c")
+
+    def cell(left: pa.Table, right: pa.Table) -> pa.Table:
+        def rows(side: pa.Table) -> Iterator[dict]:
+            for i in range(side.num_rows):
+                yield prepare(unpack(*(side.column(c)[i].as_py() for c in ("ids", "data", "more")), kind))
+
+        asked = list(rows(right))
+        best = [[(np.zeros(0, np.int64), np.zeros(0)) for _ in q["ids"]] for q in asked]
+        for x in rows(left):
+            for q, b in zip(asked, best, strict=True):
+                look(q, x, b, k)
+        found = [r for b in best for r in b]
+        ids = np.concatenate([np.zeros(0, np.int64), *[q["ids"] for q in asked]])
+        return pa.table({
+            "query_id": pa.array(np.repeat(ids, [len(i) for i, _ in found]), pa.int64()),
+            "vec_id": pa.array(np.concatenate([np.zeros(0, np.int64), *[i for i, _ in found]]), pa.int64()),
+            "score": pa.array(np.concatenate([np.zeros(0), *[s for _, s in found]]), pa.float64())})
+
+    left, right = dealt(candidates, "g", group, "c", chunks), dealt(queries, "c", chunk, "g", groups)
+    found = left.groupBy("g", "c").cogroup(right.groupBy("g", "c")).applyInArrow(cell, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(
         "query_id", "rank", "vec_id", "score")

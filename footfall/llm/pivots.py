@@ -16,7 +16,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from footfall.llm.blocks import finite, merge, search
+from footfall.llm import blocks
+from footfall.llm.blocks import finite, merge, packed, search
 from footfall.llm.registry import query, table
 
 K = 20
@@ -86,7 +87,8 @@ def exact_top_k(vectors: DataFrame, asked: DataFrame, k: int = K, n_pivots: int
         block["square"] = _squares(block["x"])
         return block
 
-    return search(vectors, asked, derive, look, complete, k, "i8").withColumn("score", F.col("score").cast("long"))
+    held, queries = packed(vectors, blocks.BLOCK, derive, "blocks"), packed(asked, blocks.QUERY_BLOCK, derive, "queries")
+    return search(held, queries, look, complete, k, "i8").withColumn("score", F.col("score").cast("long"))
 
 
 EXACT_SQL = """

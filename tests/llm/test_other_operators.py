@@ -47,18 +47,30 @@ def test_exact_top_k_with_many_ties_and_copies(spark, spread):
     assert got == brute(rows, asked, 20)
 
 
-def test_blocks_smaller_than_the_input_change_nothing(spark, monkeypatch):
+@pytest.mark.parametrize("cells", [False, True])
+def test_blocks_smaller_than_the_input_change_nothing(spark, monkeypatch, cells):
     from footfall.llm import blocks
 
     monkeypatch.setattr(blocks, "BLOCK", 7)
     monkeypatch.setattr(blocks, "QUERY_BLOCK", 3)
     monkeypatch.setattr(blocks, "GROUP", 2)
+    monkeypatch.setattr(blocks, "CHUNK", 2)
+    monkeypatch.setattr(blocks, "CELLS", 4 if cells else 1 / 1000)
     rng = random.Random(4)
     rows = [(i, [rng.randint(-9, 9) for _ in range(4)]) for i in range(90)]
     asked = [r for r in rows if r[0] % 5 == 0]
     assert answers(pivots.exact_top_k(vectors(spark, rows), vectors(spark, asked), 6)) == brute(rows, asked, 6)
 
 
+@pytest.mark.parametrize("recall", [0.5, 0.95])
+def test_the_margin_holds_the_share_of_neighbours_it_is_asked_for(recall):
+    rng = np.random.default_rng(3)
+    own = np.repeat(rng.integers(60, 110, 50), 20)
+    apart = own - rng.integers(0, 40, 1000)
+    more = ann.margin(apart, own, recall)
+    assert (apart <= own + more).mean() >= recall and (apart <= own + more - 1).mean() < recall
+
+
 def test_few_or_no_vectors(spark):
     rows = [(i, [i, 1]) for i in range(5)]
     got = answers(pivots.exact_top_k(vectors(spark, rows), vectors(spark, rows[:1])))
@@ -86,7 +98,7 @@ def test_pigeonhole_misses_no_code_within_the_radius():
     asked = codes[:40] ^ np.packbits(rng.random((40, 64)) < 0.15, axis=1)
     for radius in (0, 1, 5, 7, 8, 20, 31, 64):
         assert (ann.thresholds(radius, 8) + 1).sum() == min(radius + 1, 72)
-        hits = np.unpackbits(ann.probe(asked, np.full(40, radius), codes), axis=1, count=700).astype(bool)
+        hits = np.unpackbits(ann.probe(asked, np.full(40, radius), ann.buckets(codes)), axis=1, count=700).astype(bool)
         near = ann.hamming(ann.words(asked), ann.words(codes)) <= radius
         assert not (near & ~hits).any()
     near = ann.hamming(ann.words(asked), ann.words(codes))
