@@ -12,7 +12,8 @@ GRAM = 4
 
 
 def upsert_pages(old: DataFrame, new: DataFrame, least: int = 0, most: int | None = None) -> DataFrame:
-    """(path, title, content, fetched_at, cut): the last fetch of a path wins. With `least`, thinner
+    """(path, title, content, fetched_at, cut): the last fetch of a path wins, of equal times the new one, then the
+    larger text. With `least`, thinner
     new pages are no knowledge; with `most`, new texts are stored up to that length and `cut`
     says how many characters went (0 else)."""
     fresh = new.where(F.length("content") >= least) if least else new
@@ -22,9 +23,9 @@ def upsert_pages(old: DataFrame, new: DataFrame, least: int = 0, most: int | Non
         fresh = fresh.withColumn("content", F.substring("content", 1, most))
     if "cut" not in old.columns:
         old = old.withColumn("cut", F.lit(0).cast("long"))
-    last = old.unionByName(fresh).groupBy("path").agg(
-        F.max_by(F.struct("title", "content", "fetched_at", "cut"), "fetched_at").alias("p"))
-    return last.select("path", "p.*")
+    both = old.withColumn("_new", F.lit(0)).unionByName(fresh.withColumn("_new", F.lit(1)))
+    last = both.groupBy("path").agg(F.max(F.struct("fetched_at", "_new", "content", "title", "cut")).alias("p"))
+    return last.select("path", "p.title", "p.content", "p.fetched_at", "p.cut")
 
 
 def _asked(questions: DataFrame) -> DataFrame:

@@ -261,10 +261,11 @@ def purge_dry_run(t):
     return ac.purge_dormant(_account_tables(t), LATE)[1]
 
 
-_PURGED = """
+_FREE = """
 , free AS (SELECT tenant_id, category FROM due WHERE category IS NOT NULL AND tenant_id NOT IN (SELECT tenant_id FROM held)),
 chosen AS (SELECT tenant_id FROM free {limit}),
-cu AS (SELECT * FROM users WHERE tenant_id IN (SELECT tenant_id FROM chosen))
+cu AS (SELECT * FROM users WHERE tenant_id IN (SELECT tenant_id FROM chosen))"""
+_PURGED = _FREE + """
 SELECT 'tenants' AS "table", count(*) AS n FROM tenants WHERE id NOT IN (SELECT tenant_id FROM chosen)
 UNION ALL SELECT 'users', count(*) FROM users WHERE tenant_id NOT IN (SELECT tenant_id FROM chosen)
 UNION ALL SELECT 'sites', count(*) FROM tenants WHERE id NOT IN (SELECT tenant_id FROM chosen)
@@ -301,6 +302,32 @@ def purge_batch(t):
     return _purged(t, batch=50)
 
 
+_MEASURES = f"""
+SELECT concat('accounts.', category) AS measure, count(*) AS n FROM due WHERE category IS NOT NULL GROUP BY category
+UNION ALL SELECT 'held_for_notice', count(*) FROM held
+UNION ALL SELECT 'expired_links.reset_tokens', count(*) FROM users WHERE created_at + INTERVAL 100 DAY <= {_LATE}
+UNION ALL SELECT 'expired_links.invites', count(*) FROM users WHERE created_at + INTERVAL 200 DAY <= {_LATE}
+UNION ALL SELECT 'deleted_accounts', count(*) FROM chosen
+UNION ALL SELECT 'remaining_accounts', (SELECT count(*) FROM due WHERE category IS NOT NULL) - (SELECT count(*) FROM chosen)
+UNION ALL SELECT 'deleted_rows.tenants', count(*) FROM chosen UNION ALL SELECT 'deleted_rows.sites', count(*) FROM chosen
+UNION ALL SELECT 'deleted_rows.users', count(*) FROM cu UNION ALL SELECT 'deleted_rows.invites', count(*) FROM cu
+UNION ALL SELECT 'deleted_rows.reset_tokens', count(*) FROM users WHERE email IN (SELECT email FROM cu)
+UNION ALL SELECT 'deleted_rows.daily_rollups', 0
+UNION ALL SELECT 'deleted_rows.events', count(*) FROM hits WHERE {_EVENT_SITE} IN (SELECT tenant_id FROM chosen)
+UNION ALL SELECT 'deleted_rows.goals', count(*) FROM hits WHERE 1 + id % {_MANYID} IN (SELECT tenant_id FROM chosen)"""
+
+
+@query("purge_audit", ctes("tenants", "users", "sites", "hits", extra=_FIRST + "," + _DUE_MANY + "," + _HELD) + _FREE.format(limit="") + f"""
+, measures AS ({_MEASURES}),
+cuts AS (SELECT unnest([{{k: 'cancelled', d: 84}}, {{k: 'expired_links', d: 0}}, {{k: 'trial_expired', d: 84}}, {{k: 'unverified', d: 14}}], recursive := true))
+SELECT strftime({_LATE}, '%Y-%m-%d %H:%M:%S') AS ran_at, 1 AS enforce,
+  (SELECT concat('{{', string_agg(concat('"', k, '":"', strftime({_LATE} - to_days(d), '%Y-%m-%d %H:%M:%S'), '"'), ',' ORDER BY k), '}}') FROM cuts) AS cutoffs,
+  (SELECT concat('{{', string_agg(concat('"', measure, '":', CAST(n AS VARCHAR)), ',' ORDER BY measure), '}}') FROM measures) AS counts""")
+def purge_audit(t):
+    """What an enforced run writes into the retention log."""
+    return ac.audit_row(ac.purge_dormant(_account_tables(t), LATE, enforce=True)[1], LATE, True)
+
+
 @query("delete_tenants_counts", ctes("hits", "users") + f"""
 , gone AS (SELECT c_custkey + 1 AS tenant_id FROM customer WHERE c_nationkey = 3)
 SELECT 'tenants' AS "table", count(*) AS deleted FROM gone

@@ -10,6 +10,7 @@ from footfall.operators import history as h
 from footfall.operators import merkle as mk
 from footfall.operators import rollup as ru
 from footfall.schema import BREAKDOWNS, ROLLUPS
+from footfall.session import cut_lineage
 from footfall.workload.behaviour import AI, SOURCED, _CUR, _PAY, _SRC
 from footfall.workload.metrics import PV, SESS, WHOLE, _DIM_SQL, _SERIES, kpi_sql, many_sites
 from footfall.workload.registry import query
@@ -119,6 +120,17 @@ def breakdown_cap(t):
     return cube(t, cap=3).withColumn("day", _day())
 
 
+@query("breakdown_cut", ctes("hits", "items", "bots", extra=CUBE) + """
+SELECT site_id, CAST(day AS VARCHAR) AS day, dim, count(*) AS keys_cut, CAST(sum(n) AS BIGINT) AS n_cut FROM (
+  SELECT *, row_number() OVER (PARTITION BY site_id, day, dim ORDER BY
+    CASE WHEN dim IN ('ecom_source', 'ecom_payment', 'product') THEN revenue_cents ELSE n END DESC, key, currency) AS r FROM cube)
+WHERE r > 3 AND dim NOT IN ('kpi', 'ecom', 'ai_total') GROUP BY ALL""")
+def breakdown_cut(t):
+    # What the limit of breakdown_cap leaves out.
+    whole = cut_lineage(cube(t))
+    return ru.cut_keys(whole, ru.cap_keys(whole, ["site_id", "day"], 3), ["site_id", "day"]).withColumn("day", _day())
+
+
 @query("source_days", ctes("hits", "bots") + """
 SELECT DISTINCT site_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day FROM hits WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-25'
 UNION SELECT site_id, CAST(day AS VARCHAR) FROM bots WHERE day >= DATE '2024-01-05' AND day < DATE '2024-01-25'""")
@@ -178,6 +190,15 @@ def long_stats(t):
     return h.long_stats(long_frame(t, *h.STATS_DIMS))
 
 
+@query("long_campaigns", ctes("hits", extra=PV) + """
+SELECT site_id, source, medium, campaign, n, visitors FROM (
+  SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY n DESC, concat('["', source, '", "', medium, '", "', campaign, '"]')) AS r FROM (
+    SELECT site_id, coalesce(utm_source, '') AS source, coalesce(utm_medium, '') AS medium, coalesce(utm_campaign, '') AS campaign,
+      count(*) AS n, count(DISTINCT visitor_hash) AS visitors FROM pv WHERE utm_source IS NOT NULL OR utm_campaign IS NOT NULL GROUP BY ALL)) WHERE r <= 10""")
+def long_campaigns(t):
+    return h.long_campaigns(long_frame(t, "campaign"))
+
+
 @query("long_flow", ctes("hits", extra=SESS) + """
 SELECT site_id, kind, path, n FROM (
   SELECT *, row_number() OVER (PARTITION BY site_id, kind ORDER BY n DESC, path) AS r FROM (
