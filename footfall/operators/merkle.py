@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from footfall.operators.frames import running_totals
+from footfall.operators.frames import running_totals, union_all
+from footfall.session import stored
 
 BITS = 10
 PROOF = "array<struct<sibling:string,right:boolean>>"
@@ -27,12 +28,13 @@ _LEVELS = (
 )
 # All inclusion paths of a block, made inside the row: exploding first would copy the block's
 # levels to each of its leaves.
-_PATHS = (
-    "transform(sequence(0, size(levels[0]) - 1), pos -> named_struct('pos', pos, 'path', "
+_PATH = (
     f"filter(transform(sequence(0, {BITS} - 1), l -> CASE WHEN (shiftright(pos, l) ^ 1) < size(levels[l]) "
     "THEN named_struct('sibling', lower(hex(levels[l][shiftright(pos, l) ^ 1])), "
-    "'right', shiftright(pos, l) % 2 = 0) END), x -> x IS NOT NULL)))"
+    "'right', shiftright(pos, l) % 2 = 0) END), x -> x IS NOT NULL)"
 )
+_PATHS = f"transform(sequence(0, size(levels[0]) - 1), pos -> named_struct('pos', pos, 'path', {_PATH}))"
+TREE = "round int, block long, levels array<array<binary>>"
 
 
 def leaf_hash(hex_col: Column) -> Column:
@@ -67,7 +69,7 @@ def tree(leaves: DataFrame) -> list[DataFrame]:
     nodes = leaves.select("idx", leaf_hash(F.col("rollup_hash")).alias("hash"))
     last = leaves.agg(F.max("idx")).first()[0] or 0
     rounds = []
-    for _ in range(max(1, -(-int(last).bit_length() // BITS))):
+    for _ in range(_rounds(int(last))):
         blocks = _blocks(nodes)
         rounds.append(blocks)
         nodes = _next(blocks)
@@ -96,6 +98,63 @@ def merkle_proofs(leaves: DataFrame) -> DataFrame:
     return leaves.join(above, "idx")
 
 
+# --- a stored tree that grows ---------------------------------------------------------------
+
+def _rounds(last: int) -> int:
+    return max(1, -(-last.bit_length() // BITS))
+
+
+def grown(old: DataFrame, leaves: DataFrame) -> DataFrame:
+    """The blocks (round, block, levels) of a stored tree that `leaves` (idx, rollup_hash) add or
+    change; with_blocks() puts them in. `old` (TREE columns) is empty for a new tree; leaves are numbered on
+    from the stored ones, and a leaf whose number is stored already takes that place. In each round
+    only the blocks above touched ones are read and made again, so rows written grow with the new
+    leaves: one more block a round at most. No leaves change nothing."""
+    last = leaves.agg(F.max("idx")).first()[0]
+    if last is None:
+        return old.limit(0)
+    top = old.agg(F.max("round")).first()[0]
+    rounds = max(_rounds(int(last)), -1 if top is None else top + 1)
+    nodes, out = leaves.select("idx", leaf_hash(F.col("rollup_hash")).alias("hash")), []
+    for r in range(rounds):
+        named = nodes.withColumn("block", F.expr(f"shiftright(idx, {BITS})"))
+        before = old.where(F.col("round") == r)
+        held = before.join(named.select("block").distinct(), "block", "left_semi").select(
+            "block", F.posexplode(F.col("levels")[0]).alias("pos", "hash")).select(
+            (F.expr(f"shiftleft(block, {BITS})") + F.col("pos")).alias("idx"), "hash", F.lit(0).alias("_new"))
+        both = named.select("idx", "hash", F.lit(1).alias("_new")).unionByName(held)
+        blocks = stored(_blocks(both.groupBy("idx").agg(F.max_by("hash", "_new").alias("hash"))), "blocks")
+        out.append(blocks.select(F.lit(r).alias("round"), "block", "levels"))
+        nodes = _next(blocks)
+        if r == top:  # a tree that becomes higher: its root so far is the first node of the new round
+            nodes = nodes.unionByName(_next(before.join(blocks.select("block"), "block", "left_anti").select("block", "levels")))
+    return union_all(out)
+
+
+def with_blocks(old: DataFrame, blocks: DataFrame) -> DataFrame:
+    """The stored tree after a growth. A table partitioned by round rewrites the touched blocks only."""
+    return old.join(blocks.select("round", "block"), ["round", "block"], "left_anti").unionByName(blocks)
+
+
+def tree_root(tree: DataFrame) -> DataFrame:
+    """merkle_root() of a stored tree, from its first blocks."""
+    top = tree.where("block = 0").agg(F.max_by(F.element_at("levels", -1)[0], "round").alias("hash"))
+    return top.select(F.coalesce(F.lower(F.hex("hash")), F.sha2(F.lit(""), 256)).alias("root"))
+
+
+def tree_proofs(tree: DataFrame, wanted: DataFrame) -> DataFrame:
+    """`wanted` (idx and others) with `proof`, looked up in a stored tree, which is not made again; leaves that it
+    does not hold are left out. merkle_proofs() is the plan for all leaves at once."""
+    top = tree.agg(F.max("round")).first()[0]
+    out = wanted.withColumn("proof", F.array().cast(PROOF))
+    for r in range(0 if top is None else top + 1):
+        at = out.withColumn("block", F.expr(f"shiftright(idx, {BITS * (r + 1)})")).withColumn(
+            "pos", F.expr(f"cast(shiftright(idx, {BITS * r}) & {(1 << BITS) - 1} as int)"))
+        rows = at.join(tree.where(F.col("round") == r).select("block", "levels"), "block").where("pos < size(levels[0])")
+        out = rows.select(*wanted.columns, F.concat("proof", F.expr(_PATH)).alias("proof"))
+    return out if top is not None else out.limit(0)
+
+
 def proof_json(proof: Column) -> Column:
     parts = F.transform(proof, lambda p: F.concat(
         F.lit('{"sibling": "'), p["sibling"], F.lit('", "right": '), p["right"].cast("string"), F.lit("}")))

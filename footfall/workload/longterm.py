@@ -10,7 +10,7 @@ from footfall.operators import history as h
 from footfall.operators import merkle as mk
 from footfall.operators import rollup as ru
 from footfall.schema import BREAKDOWNS, ROLLUPS
-from footfall.session import cut_lineage
+from footfall.session import cut_lineage, stored
 from footfall.workload.behaviour import AI, SOURCED, _CUR, _PAY, _SRC
 from footfall.workload.metrics import PV, SESS, WHOLE, _DIM_SQL, _SERIES, kpi_sql, many_sites
 from footfall.workload.registry import query
@@ -171,9 +171,9 @@ def backfill(t):
 
 def long_frame(t, *dims):
     """Stored days before the horizon, raw rows after it, as a long report sees them."""
-    stored = cube(t, (datetime(2024, 1, 1), HORIZON), dims=dims)
+    kept = cube(t, (datetime(2024, 1, 1), HORIZON), dims=dims)
     none = t.spark.createDataFrame([], ROLLUPS)
-    return h.merged(stored, none, t.hits, t.items, t.bots, t.sites, WHOLE, HORIZON, dims)
+    return h.merged(kept, none, t.hits, t.items, t.bots, t.sites, WHOLE, HORIZON, dims)
 
 
 @query("long_kpis", ctes("hits", extra=SESS) + kpi_sql())
@@ -240,9 +240,9 @@ SELECT site_id, coalesce(currency, 'NOK') AS currency, name AS product, CAST(sum
   CAST(sum(qty * unit_price_cents) AS BIGINT) AS revenue_cents FROM items GROUP BY ALL""")
 def long_products(t):
     window, cut = (datetime(1992, 1, 1), datetime(2010, 1, 1)), datetime(1999, 1, 1)
-    stored = cube(t, (window[0], cut), None, ["product"])
+    kept = cube(t, (window[0], cut), None, ["product"])
     none = t.spark.createDataFrame([], ROLLUPS)
-    m = h.merged(stored, none, t.hits, t.items, t.bots, t.sites, window, cut, ["product"])
+    m = h.merged(kept, none, t.hits, t.items, t.bots, t.sites, window, cut, ["product"])
     return h.long_products(m, None, None)
 
 
@@ -286,8 +286,8 @@ def long_goals(t):
 @query("long_series", ctes("hits", "sites") + _SERIES.replace("FROM hits", "FROM hits WHERE name = 'pageview'").format(
     fmt="%Y-%m-%d", out="day", grain="day", first="2023-12-02", last="2024-01-30"))
 def long_series(t):
-    stored = cube(t, (datetime(2024, 1, 1), HORIZON), dims=["kpi"])
-    return h.long_series(stored, t.spark.createDataFrame([], ROLLUPS), t.hits, t.sites, 60, AS_OF, HORIZON)
+    kept = cube(t, (datetime(2024, 1, 1), HORIZON), dims=["kpi"])
+    return h.long_series(kept, t.spark.createDataFrame([], ROLLUPS), t.hits, t.sites, 60, AS_OF, HORIZON)
 
 
 @query("stored_kpis", ctes("hits", "sites", extra=DAYSESS.format(hits="hits") + "," + ROLL.format(targets=CAL)) + """
@@ -296,8 +296,8 @@ SELECT r.site_id, CAST(r.day AS VARCHAR) AS day, r.pageviews, r.visitors, r.sess
     ELSE CAST(round_even(CAST(r.bounce_rate AS DOUBLE) * r.sessions / 100, 0) AS BIGINT) END AS bounces
 FROM roll r LEFT JOIN dtot d ON d.site_id = r.site_id AND d.day = r.day WHERE r.day < DATE '2024-01-20'""")
 def stored_kpis(t):
-    stored = cube(t, (datetime(2024, 1, 11), HORIZON), dims=["kpi"])
-    k = h.stored_kpis(stored, rollups(t), (datetime(2024, 1, 1), HORIZON))
+    kept = cube(t, (datetime(2024, 1, 11), HORIZON), dims=["kpi"])
+    k = h.stored_kpis(kept, rollups(t), (datetime(2024, 1, 1), HORIZON))
     return k.withColumn("day", _day())
 
 
@@ -310,8 +310,8 @@ def retention_summary(t):
 
 def _swept(t):
     known = rollups(t, targets=ru.site_days(t.sites, date(2024, 1, 1), date(2024, 1, 5)))
-    stored = cube(t, (datetime(2024, 1, 1), datetime(2024, 1, 6)))
-    return ru.retention(t.hits, t.items, t.bots, t.sites, known, stored, AS_OF, days=10)
+    kept = cube(t, (datetime(2024, 1, 1), datetime(2024, 1, 6)))
+    return ru.retention(t.hits, t.items, t.bots, t.sites, known, kept, AS_OF, days=10)
 
 
 @query("retention_tables", ctes("hits", "items", "bots", "sites", extra=CUBE) + """
@@ -387,6 +387,41 @@ def merkle_proofs(t):
     return p.select("idx", "site_id", F.array_join(text, ",").alias("proof"))
 
 
+# Three quarters of the leaves are a stored tree, the last quarter comes later.
+_SPLIT = """
+, s AS (SELECT count(*) AS n, 3 * count(*) // 4 AS cut FROM leaves)"""
+
+
+def _grown(t):
+    leaves = stored(mk.pending_leaves(many_rollups(t)), "leaves")
+    cut = 3 * leaves.count() // 4
+    old = stored(mk.grown(t.spark.createDataFrame([], mk.TREE), leaves.where(F.col("idx") < cut)), "tree")
+    more = mk.grown(old, leaves.where(F.col("idx") >= cut))
+    return leaves, more, stored(mk.with_blocks(old, more), "tree")
+
+
+@query("merkle_grown", ctes("hits", extra=_LEAVES + _LEVELS_SQL) + _SPLIT + """
+SELECT (SELECT lower(hex(h)) FROM l18) AS root, CAST(((n - 1) >> 10) - (cut >> 10) + 1 + CASE WHEN n > 1024 THEN ((n - 1) >> 20) - (cut >> 20) + 1 ELSE 0 END AS BIGINT) AS written FROM s""")
+def merkle_grown(t):
+    """Root after growth, and how many blocks the growth wrote."""
+    _, more, tree = _grown(t)
+    return mk.tree_root(tree).withColumn("written", more.agg(F.count(F.lit(1)).alias("n")).scalar())
+
+
+@query("merkle_lookups", ctes("hits", extra=_LEAVES + _LEVELS_SQL) + """
+, steps AS (""" + " UNION ALL ".join(
+    f"SELECT a.idx AS leaf, {i} AS lvl, lower(hex(s.h)) AS sib, (a.idx >> {i}) % 2 = 0 AS right FROM leaves a JOIN l{i} s ON s.idx = xor(a.idx >> {i}, 1)"
+    for i in range(18)) + """)
+SELECT l.idx, l.site_id, string_agg(concat(CASE WHEN s.right THEN 'R' ELSE 'L' END, s.sib), ',' ORDER BY s.lvl) AS proof
+FROM (SELECT site_id, max(idx) AS idx FROM leaves GROUP BY 1) l LEFT JOIN steps s ON s.leaf = l.idx GROUP BY ALL""")
+def merkle_lookups(t):
+    """Proof of every site's newest day, looked up in the grown tree."""
+    leaves, _, tree = _grown(t)
+    p = mk.tree_proofs(tree, leaves.groupBy("site_id").agg(F.max("idx").alias("idx")))
+    text = F.transform("proof", lambda s: F.concat(F.when(s["right"], "R").otherwise("L"), s["sibling"]))
+    return p.select("idx", "site_id", F.array_join(text, ",").alias("proof"))
+
+
 @query("anchor_verified", ctes("hits", extra=_LEAVES) + """
 SELECT site_id, CAST(day AS VARCHAR) AS day, 1 AS valid FROM leaves""")
 def anchor_verified(t):
