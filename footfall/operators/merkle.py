@@ -34,6 +34,10 @@ _PATH = (
     "'right', shiftright(pos, l) % 2 = 0) END), x -> x IS NOT NULL)"
 )
 _PATHS = f"transform(sequence(0, size(levels[0]) - 1), pos -> named_struct('pos', pos, 'path', {_PATH}))"
+_ROW_PATHS = (
+    "transform(filter(rows, x -> x.pos < size(levels[0])), x -> named_struct('row', x.row, 'proof', "
+    f"concat({_PATH.replace('pos', 'x.pos')}, rest), 'root', root))"
+)
 TREE = "round int, block long, levels array<array<binary>>"
 
 
@@ -83,19 +87,32 @@ def merkle_root(leaves: DataFrame) -> DataFrame:
         F.sha2(F.lit(""), 256)).alias("root"))
 
 
-def merkle_proofs(leaves: DataFrame) -> DataFrame:
-    """Leaves with `proof` (array of sibling, right) and `root`."""
+def merkle_proofs(leaves: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """`rows` (idx of a leaf and others; the leaves themselves if None) with `proof` (array of sibling,
+    right) and `root`; an idx may come often.
+
+    Rows go to their block, where their paths are made, and are not shuffled after that: at a hundred
+    bytes a level, a proof is many times its row."""
     above = None
-    for blocks in reversed(tree(leaves)):
-        own = blocks.select(
-            "block", F.lower(F.hex(F.element_at("levels", -1)[0])).alias("top"), F.inline(F.expr(_PATHS))
-        ).select((F.expr(f"shiftleft(block, {BITS})") + F.col("pos")).alias("idx"), "block", "path", "top")
-        if above is None:
-            above = own.select("idx", F.col("path").alias("proof"), F.col("top").alias("root"))
-        else:
-            up = above.select(F.col("idx").alias("block"), F.col("proof").alias("rest"), "root")
-            above = own.join(up, "block").select("idx", F.concat("path", "rest").alias("proof"), "root")
-    return leaves.join(above, "idx")
+    rounds = tree(leaves)
+    for blocks in reversed(rounds[1:]):
+        own = _with_rest(blocks, above)
+        above = own.select(
+            "rest", "root", "block", F.inline(F.expr(_PATHS))
+        ).select((F.expr(f"shiftleft(block, {BITS})") + F.col("pos")).alias("block"), F.concat("path", "rest").alias("rest"), "root")
+    rows = leaves if rows is None else rows
+    held = rows.groupBy(F.expr(f"shiftright(idx, {BITS})").alias("block")).agg(
+        F.collect_list(F.struct(F.expr(f"cast(idx & {(1 << BITS) - 1} as int)").alias("pos"), F.struct(*rows.columns).alias("row"))).alias("rows"))
+    made = _with_rest(rounds[0].join(held, "block"), above).select(F.inline(F.expr(_ROW_PATHS)))
+    return made.select("row.*", "proof", "root")
+
+
+def _with_rest(blocks: DataFrame, above: DataFrame | None) -> DataFrame:
+    """Blocks with the proof of their top hash (`rest`) and `root`, from those of the round above."""
+    if above is None:
+        return blocks.withColumns({
+            "rest": F.array().cast(PROOF), "root": F.lower(F.hex(F.element_at("levels", -1)[0]))})
+    return blocks.join(above, "block")
 
 
 # --- a stored tree that grows ---------------------------------------------------------------
@@ -180,9 +197,14 @@ def verify_proofs(rollups: DataFrame) -> DataFrame:
 
 def attach_anchor(rollups: DataFrame, txid: str, anchored_at: str) -> DataFrame:
     """The rollup table after anchoring all pending days under one transaction id."""
-    p = merkle_proofs(pending_leaves(rollups)).select(
-        "site_id", "day", F.col("root").alias("_root"), proof_json(F.col("proof")).alias("_proof"))
-    j = rollups.join(p, ["site_id", "day"], "left")
+    rollups = stored(rollups, "rollups")
+    leaves = stored(pending_leaves(rollups), "leaves")
+    # Days find their place in the tree first: proofs are made last and stay where they are made.
+    days = leaves.select("site_id", "day", "idx")
+    p = merkle_proofs(leaves, rollups.join(days, ["site_id", "day"])).select(
+        *rollups.columns, F.col("root").alias("_root"), proof_json(F.col("proof")).alias("_proof"))
+    rest = rollups.join(days, ["site_id", "day"], "left_anti")
+    j = p.unionByName(rest, allowMissingColumns=True)
     hit = F.col("_root").isNotNull()
     return j.select(
         "site_id", "day", "pageviews", "visitors", "sessions", "bounce_rate", "rollup_hash",
