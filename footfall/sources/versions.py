@@ -12,6 +12,7 @@ fails and is to be done again. The driver holds file names, as Spark's own file
 from __future__ import annotations
 
 import json
+import re
 import uuid
 from collections.abc import Callable
 from urllib.parse import unquote, urlsplit
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 COMMIT = "commit"
+ROWS = 200_000  # of one task, when a large table is made
 
 
 def _local(uri: str) -> str:
@@ -39,20 +41,28 @@ class StoredTable:
         if not numbers:
             raise FileNotFoundError(f"no table at {root}")
         self.version = max(numbers)
-        rows = spark.read.schema("kind string, value string").parquet(f"{self.root}/_versions/{self.version}").collect()
+        listed = spark.read.schema("kind string, value string").parquet(f"{self.root}/_versions/{self.version}")
+        rows = listed.agg(F.collect_list(F.struct("kind", "value"))).first()[0]
         self.files = [r.value for r in rows if r.kind == "file"]
         self.by = [r.value for r in rows if r.kind == "by"]
         self.schema = T.StructType.fromJson(json.loads(next(r.value for r in rows if r.kind == "schema")))
 
     @classmethod
-    def create(cls, df: DataFrame, root: str, by: list[str], spread: int = 1) -> StoredTable:
-        """Writes `df` as version 0, rows of one partition in `spread` files (by hash of the row)."""
-        salt = [F.pmod(F.xxhash64(*df.columns), F.lit(spread))] if spread > 1 else []
+    def create(cls, df: DataFrame, root: str, by: list[str], spread: int = 1, most: int = ROWS) -> StoredTable:
+        """Writes `df` as version 0, rows of one partition in `spread` files (by hash of the row). A table of over
+        `most` rows is cut into ranges of partition and hash, `spread` for so many rows: no task gets a
+        whole partition, however large."""
         table = cls.__new__(cls)
         table.spark, table.root, table.by, table.schema = df.sparkSession, root.rstrip("/"), by, df.schema
         if table._numbers():
             raise FileExistsError(root)
-        table._commit(0, table._write(df.repartition(*by, *salt)))
+        parts = -(-df.count() * spread // most)
+        if parts > spread:
+            hashed = [f.name for f in df.schema if not re.search("map<|variant", f.dataType.simpleString())]
+            dealt = df.repartitionByRange(parts, *by, F.xxhash64(*hashed))
+        else:
+            dealt = df.repartition(*by, *([F.pmod(F.xxhash64(*df.columns), F.lit(spread))] if spread > 1 else []))
+        table._commit(0, table._write(dealt))
         return cls(df.sparkSession, root)
 
     def _numbers(self) -> list[int]:
@@ -90,7 +100,7 @@ class StoredTable:
         """Files with a row that meets the condition `rows`, or has the keys `on` of a row of `rows`."""
         table = self._scan(self.files)
         hit = table.where(rows) if on is None else table.join(rows.select(*on).distinct(), on, "left_semi")
-        return sorted(_local(r[0]) for r in hit.select("_file").distinct().collect())
+        return sorted(map(_local, hit.agg(F.collect_set("_file")).first()[0]))
 
     def change(self, rows: Column | DataFrame, change: Callable[[DataFrame], DataFrame], on: list[str] | None = None) -> tuple[StoredTable, list[str]]:
         """(the next version, the files that it replaced): `change` maps the rows of touched files to those that

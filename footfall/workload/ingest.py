@@ -440,14 +440,14 @@ def burst_backfill(t):
 # --- changes of stored tables --------------------------------------------------------------------
 
 def _stored_hits(t, hits, name):
-    """Hits as a stored table, one file per site and month."""
+    """Hits as a stored table, files by site and month."""
     rows = hits.withColumn("month", F.date_format("ts", "yyyy-MM"))
     return StoredTable.create(rows, f"{shared_dir(t.spark)}/{name}-{uuid.uuid4().hex}", ["site_id", "month"])
 
 
 def _per_file(table, changed):
     """(site_id, month, rewritten, n): files are told by their partition."""
-    keys = [re.search(r"site_id=(\d+)/month=([\d-]+)/", f).groups() for f in changed]
+    keys = sorted({re.search(r"site_id=(\d+)/month=([\d-]+)/", f).groups() for f in changed})
     hit = table.spark.createDataFrame([(int(a), b) for a, b in keys], "site_id long, month string").withColumn("hit", F.lit(1))
     rows = table.read().groupBy("site_id", "month").agg(F.count(F.lit(1)).alias("n"))
     return rows.join(hit, ["site_id", "month"], "left").select(

@@ -65,3 +65,13 @@ def test_of_two_changes_one_fails(spark, tmp_path):
         StoredTable(spark, str(tmp_path / "none"))
     (tmp_path / "t" / "_versions" / "7").mkdir()  # a version whose job was cut off does not count
     assert StoredTable(spark, root).version == 1
+
+
+def test_a_large_partition_is_many_tasks(spark, tmp_path):
+    df = frame(spark, 3000).withColumn("site", F.lit(1)).unionByName(frame(spark, 40).withColumn("site", F.lit(None).cast("int")))
+    table = StoredTable.create(df, str(tmp_path / "t"), ["site"], most=100)
+    assert sorted(map(repr, table.read().collect())) == sorted(map(repr, df.collect()))
+    per = [r.n for r in table.read().groupBy(F.input_file_name()).agg(F.count("*").alias("n")).collect()]
+    assert len(per) >= 25 and max(per) <= 300 and sum(per) == 3040
+    cut, files = table.delete(F.col("id") == 2999)
+    assert len(files) == 1 and sorted(map(repr, cut.read().collect())) == sorted(map(repr, df.where("id <> 2999").collect()))
