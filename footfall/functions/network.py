@@ -269,7 +269,7 @@ def lookup_blocks(rows: DataFrame, key: str, ranges: DataFrame, values: list[str
     Addresses are made distinct first, so a hot one is looked up once; then rows meet the answers
     by address. `rows` is read twice. Columns of `rows` named as `values` are replaced."""
     table = stored(block_table(ranges, values), "blocks")
-    lengths = [r[0] for r in table.select(F.length("prefix")).distinct().collect()]
+    lengths = table.agg(F.collect_set(F.length("prefix"))).first()[0]
     tried = rows.select(F.col(key).alias("at")).where("at IS NOT NULL").distinct().select(
         "at", F.explode(F.array(*[F.lit(n) for n in lengths]).cast("array<int>")).alias("n")).selectExpr(
         "at", "left(at, n) AS prefix")
