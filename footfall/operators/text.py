@@ -9,6 +9,7 @@ from footfall.operators.frames import top_per
 from footfall.session import stored
 
 GRAM = 4
+PART_CHARS = 8_000_000  # text of one task that counts words
 
 
 def upsert_pages(old: DataFrame, new: DataFrame, least: int = 0, most: int | None = None) -> DataFrame:
@@ -38,13 +39,15 @@ def overlap_score(questions: DataFrame, pages: DataFrame) -> DataFrame:
     """(question_id, path, score > 0): for every distinct question word of four letters or
     more, how often it occurs in the page, also inside longer words.
 
-    Pages are dealt out by path once, their words counted there, and stay there until they are
-    scored, so that the caller can cut the list per task. Which vocabulary words contain a
+    Pages are dealt out by path in parts of some million characters, their words counted there, and
+    what was found is dealt out by path again and stays there until it is scored, so that the caller
+    can cut the list per task and a task holds the same however many pages there are. Which vocabulary words contain a
     question word is an equi-join on four-letter pieces between two vocabularies; this table
     and the question words are stored, so their size decides how they are joined."""
     asked = stored(_asked(questions), "asked")
     runs = F.regexp_extract_all(F.lower("content"), F.lit(r"(?U)\w{4,}"), 0)
-    postings = pages.repartition("path").select("path", F.explode(runs).alias("word")).groupBy("path", "word").agg(
+    parts = 1 + (pages.agg(F.sum(F.length("content"))).first()[0] or 0) // PART_CHARS
+    postings = pages.repartition(parts, "path").select("path", F.explode(runs).alias("word")).groupBy("path", "word").agg(
         F.count(F.lit(1)).alias("tf"))
     vocabulary = pages.select(F.explode(F.array_distinct(runs)).alias("word")).distinct()
     at = F.sequence(F.lit(1), F.length("word") - GRAM + 1)
@@ -55,7 +58,7 @@ def overlap_score(questions: DataFrame, pages: DataFrame) -> DataFrame:
     times = ((F.length("word") - gone) / F.length("asked")).cast("long")
     inside = stored(heads.join(pieces, "piece").where(F.col("word").contains(F.col("asked"))).select(
         "asked", "word", times.alias("times")), "inside")
-    found = postings.join(inside, "word").groupBy("path", "asked").agg(F.sum(F.col("times") * F.col("tf")).alias("n"))
+    found = postings.join(inside, "word").repartition(parts, "path").groupBy("path", "asked").agg(F.sum(F.col("times") * F.col("tf")).alias("n"))
     return found.join(asked, "asked").groupBy("path", "question_id").agg(F.sum("n").alias("score"))
 
 

@@ -7,7 +7,9 @@ from datetime import date, timedelta
 
 from pyspark.sql import functions as F
 
-from footfall.operators import merkle as mk
+import public_tokenizers
+from footfall.llm import bpe
+from footfall.operators import merkle as mk, text
 from footfall.schema import ROLLUPS
 
 
@@ -46,3 +48,30 @@ def test_every_pending_day_is_anchored(spark):
     some = leaves.where("idx % 500 = 7").select("idx", F.lit("x").alias("more"))
     proofs = mk.merkle_proofs(leaves, some.unionByName(some))
     assert proofs.columns == ["idx", "more", "proof", "root"] and proofs.count() == 2 * some.count() == 10
+
+
+def test_pages_are_dealt_out_by_their_text(spark, monkeypatch):
+    q = spark.createDataFrame([(1, "quick brown foxes"), (2, "lazy dogs lazy")], "question_id long, question string")
+    p = spark.createDataFrame([(f"/{i:03}", "T", "Quick brownish foxes. " * (i % 5) + "lazy " * (i % 3)) for i in range(200)] + [("/none", "T", None)],
+                              "path string, title string, content string")
+    want = sorted(map(tuple, text.overlap_score(q, p).collect()))
+    assert len(want) == 160 + 133 and (1, "/004", 12) in {(x[1], x[0], x[2]) for x in want}
+    monkeypatch.setattr(text, "PART_CHARS", 1000)
+    many = text.overlap_score(q, p)
+    assert sorted(map(tuple, many.collect())) == want
+    chars = p.agg(F.sum(F.length("content"))).first()[0]
+    # Words are counted, and what was found is scored, in as many parts as the text has thousands.
+    assert plan(many).count(f", {1 + chars // 1000}), REPARTITION_BY_NUM") == 2
+    assert text.overlap_score(q, p.limit(0)).count() == 0
+
+
+def test_words_are_replayed_in_bounded_groups(monkeypatch):
+    sizes = []
+    whole = bpe.replay
+    monkeypatch.setattr(bpe, "replay", lambda words, pairs: sizes.append(sum(map(len, words))) or whole(words, pairs))
+    ranks = bpe.read_ranks(public_tokenizers.path(bpe.VOCABULARY))
+    words = [f"w{i * 7919:x}orld{i}" for i in range(40000)] + ["x" * 200_000, "end"]
+    got = bpe.Encoder(ranks, public_tokenizers.PATTERN).look_up(words)
+    assert len(sizes) > 2 and sorted(sizes)[-2] <= bpe.REPLAY_BYTES and len(got) == len(words)
+    monkeypatch.setattr(bpe, "REPLAY_BYTES", 1 << 30)
+    assert bpe.Encoder(ranks, public_tokenizers.PATTERN).look_up(words) == got
