@@ -33,6 +33,7 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 KNOWN_WORDS = 120_000
 CHUNK_CHARS = 1 << 20
 SLICE = 1024
+REPLAY_BYTES = 1 << 17  # of words whose merges are replayed together: arrays take a hundred times their bytes
 _ANY = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
 _WIDE = f"^ | $| {_ANY}|{_ANY} "  # a space that is not single or stands at an end
 
@@ -226,7 +227,12 @@ class Encoder:
                     continue
                 ids = self.one[4 * rank:4 * rank + 4]
             young[w] = ids
-        young.update(zip(rest, replay(raws, self.pairs), strict=True))
+        last = np.cumsum([len(r) for r in raws])
+        at = 0
+        while at < len(rest):
+            end = max(at + 1, int(np.searchsorted(last, (last[at - 1] if at else 0) + REPLAY_BYTES, "right")))
+            young.update(zip(rest[at:end], replay(raws[at:end], self.pairs), strict=True))
+            at = end
         get = young.__getitem__
         for p, words in made:
             if len(words) != 1:
@@ -320,6 +326,7 @@ def _encoding(path: str, pattern: str) -> Step:
         for batch in batches:
             for part in _chunks(batch):
                 yield part.append_column("ids", enc.encode(pc.fill_null(part.column("text"), "")))
+            give_back()
         enc.young, enc.old = {}, {}  # the worker goes on to other work
         give_back()
 
