@@ -1,8 +1,9 @@
 """Burst sweep with keyed state: what a batch costs follows its rows, not the day so far.
 
-Two stateful operators in one query. The first, keyed by visitor, gives out each visitor's first
-page view (a landing) once the watermark has passed it, and forgets the visitor when its key can
-no longer come. The second, keyed by site and country, holds
+Two stateful operators in one query. The first, keyed by site and part of its visitors (by hash,
+a few hundred of a day at a million a site), gives out each visitor's first page view (a landing)
+once the watermark has passed it, and forgets the visitor when its key can no longer come. A batch
+moves the state of the parts that its rows touch, as a whole. The second, keyed by site and country, holds
 
 * the landings of the last seconds, which the window and the look-ahead of the rule need;
 * the times of earlier landings in slices of a minute and the count of each slice, so that a
@@ -32,6 +33,7 @@ from footfall.operators.bursts import RULE, S, BurstRule, _pass
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 DAY_MS = 86_400_000
 SLICE = 60 * S
+VISITOR_PARTS = 4096  # of a site: every read or write of state is a message to the JVM, so visitors share them
 LANDING = "us long, id long, path string, visitor_hash string, cand boolean"
 FLAGGED = "site_id long, country string, visitor_hash string, us long, id long, path string"
 
@@ -42,33 +44,77 @@ def use_state_store(spark: SparkSession) -> None:
 
 
 class FirstViews(StatefulProcessor):
-    """Per (site, visitor): the first page view, when no earlier one can come."""
+    """Per (site, part of the visitors): each visitor's first page view, when no earlier one can come."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.first = handle.getValueState("first", "us long, id long, path string, country string, cand boolean, told boolean")
+        self.open = handle.getValueState(
+            "open", "visitor array<string>, us array<long>, id array<long>, path array<string>, country array<string>, cand array<boolean>")
+        self.told = handle.getValueState("told", "visitor array<string>, until array<long>")
+        self.timer = handle.getValueState("timer", "at long")
+
+    def _open(self) -> dict[str, tuple]:
+        """(us, id, path, country, cand) of the first views not given out yet."""
+        held = self.open.get()
+        return {} if held is None else {v: tuple(x) for v, *x in zip(*held, strict=True)}
+
+    def _told(self) -> dict[str, int]:
+        """Until when, in ms, a visitor that was given out is known."""
+        held = self.told.get()
+        return {} if held is None else dict(zip(*held, strict=True))
+
+    def _keep(self, first: dict[str, tuple]) -> None:
+        if first:
+            self.open.update((list(first), *map(list, zip(*first.values(), strict=True))))
+        else:
+            self.open.clear()
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        now = self.first.get() if self.first.exists() else None
-        if now is None or not now[5]:
-            best = min(((r.us, r.id, r.path, r.country, r.cand) for r in rows), key=lambda x: x[:2])
-            if now is None or best[:2] < tuple(now[:2]):
-                if now is not None:
-                    self.handle.deleteTimer(now[0] // 1000 + 1)
-                self.first.update((*best, False))
-                self.handle.registerTimer(best[0] // 1000 + 1)
+        first, told = self._open(), self._told()
+        earliest = None
+        for r in rows:
+            if r.visitor_hash in told:
+                continue
+            now = first.get(r.visitor_hash)
+            if now is None or (r.us, r.id) < now[:2]:
+                first[r.visitor_hash] = (r.us, r.id, r.path, r.country, r.cand)
+                earliest = r.us if earliest is None else min(earliest, r.us)
+        if earliest is not None:
+            self._keep(first)
+            at, held = earliest // 1000 + 1, self.timer.get()
+            if held is None or at < held[0]:
+                if held is not None:
+                    self.handle.deleteTimer(held[0])
+                self.handle.registerTimer(at)
+                self.timer.update((at,))
         return iter(())
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
-        us, i, path, country, cand, told = self.first.get()
-        if told:  # the visitor's key was valid for its day; rows of it are late from now on
-            self.first.clear()
-            return
-        self.first.update((us, i, path, country, cand, True))
-        self.handle.registerTimer((us // 1000 // DAY_MS + 1) * DAY_MS)
-        # The row is as old as its view; downstream it counts as said now.
-        said = pd.Timestamp(timerValues.getCurrentWatermarkInMs() + 1, unit="ms", tz="UTC").to_pydatetime()
-        yield Row(site_id=key[0], visitor_hash=key[1], us=us, id=i, path=path, country=country, cand=cand, said=said)
+        mark = timerValues.getCurrentWatermarkInMs()
+        first = self._open()
+        # A visitor's key was valid for its day; rows of it are late from then on.
+        told = {v: until for v, until in self._told().items() if until > mark}
+        out = {v: x for v, x in first.items() if x[0] // 1000 + 1 <= mark}
+        for v, x in out.items():
+            del first[v]
+            told[v] = (x[0] // 1000 // DAY_MS + 1) * DAY_MS
+        if out:
+            self._keep(first)
+        if told:
+            self.told.update((list(told), list(told.values())))
+        else:
+            self.told.clear()
+        wake = min([*told.values(), *(x[0] // 1000 + 1 for x in first.values())], default=None)
+        if wake is None:
+            self.timer.clear()
+        else:
+            wake = max(wake, mark + 1)  # never the timer that is just expiring
+            self.handle.registerTimer(wake)
+            self.timer.update((wake,))
+        # A row is as old as its view; downstream it counts as said now.
+        said = pd.Timestamp(mark + 1, unit="ms", tz="UTC").to_pydatetime()
+        for v, (us, i, path, country, cand) in out.items():
+            yield Row(site_id=key[0], visitor_hash=v, us=us, id=i, path=path, country=country, cand=cand, said=said)
 
     def close(self) -> None:
         pass
@@ -160,8 +206,11 @@ class Bursts(StatefulProcessor):
         # The next to be judged looks back from its own time, which is at least the horizon.
         oldest = min(horizon, waiting[0][0]) if waiting else horizon
         gone = [s for s in slices if (s + 1) * SLICE <= oldest - back]
-        for s in gone:
-            self.times.removeKey((s,))
+        if len(gone) == len(slices):
+            self.times.clear()
+        else:
+            for s in gone:
+                self.times.removeKey((s,))
         slices, n = slices[len(gone):], n[len(gone):]
         flags = [(u, i) for u, i in [*zip(flag_us, flag_id, strict=True), *((r[0], r[1]) for r in out)] if u >= oldest - back]
         keep = [r for r in near if r[:2] > done or r[0] >= oldest - rule.window * S]
@@ -195,8 +244,9 @@ def live_bursts(hits: DataFrame, late: str = "10 seconds", rule: BurstRule = RUL
         tagged = tagged | (F.coalesce(F.col(c), F.lit("")) != "")
     rows = pageviews(hits).select(
         "site_id", "visitor_hash", micros("ts").alias("us"), "id", "path", "country",
-        ((F.col("path") != "/") & ~tagged).alias("cand"), F.col("ts").cast("timestamp").alias("at")).withWatermark("at", late)
-    first = rows.groupBy("site_id", "visitor_hash").transformWithState(
+        ((F.col("path") != "/") & ~tagged).alias("cand"), F.col("ts").cast("timestamp").alias("at"),
+        F.pmod(F.xxhash64("visitor_hash"), F.lit(VISITOR_PARTS)).alias("part")).withWatermark("at", late)
+    first = rows.groupBy("site_id", "part").transformWithState(
         FirstViews(), "site_id long, visitor_hash string, us long, id long, path string, country string, cand boolean, said timestamp",
         "Append", "EventTime", eventTimeColumnName="said")
     return first.where("country <> ''").groupBy("site_id", "country").transformWithState(Bursts(rule), FLAGGED, "Append", "EventTime")
