@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import chain
@@ -30,8 +29,8 @@ from footfall.llm.memory import give_back
 from footfall.llm.registry import query, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-KNOWN_WORDS = 120_000
-CHUNK_CHARS = 1 << 20
+KNOWN_WORDS = 80_000
+CHUNK_CHARS = 1 << 19
 SLICE = 1024
 REPLAY_BYTES = 1 << 17  # of words whose merges are replayed together: arrays take a hundred times their bytes
 _ANY = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
@@ -78,96 +77,102 @@ class Pairs:
         return np.where(self.keys[at] == keys, self.values[at], -1)
 
 
+def _firsts(word: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Which entries, in the order of their ranks, have the lowest rank of their word."""
+    order = np.argsort(word, kind="stable")
+    w, r = word[order], rank[order]
+    heads = np.flatnonzero(np.diff(w, prepend=-1))
+    out = np.empty(len(word), bool)
+    out[order] = r == np.repeat(r[heads], np.diff(heads, append=len(w)))
+    return out
+
+
 def replay(words: list[bytes], pairs: Pairs, few: int = 24) -> list[bytes]:
     """Ids of each word (none is empty), four bytes each: its merges, lowest rank first, leftmost among equals.
 
-    All words are one row of tokens. The index (rank -> places where a pair of that rank begins) is
-    built once; each rank is applied at all its places, `few` or more at a time as arrays, and only
-    the two neighbours of a merged place are looked at again."""
+    All words are one row of tokens. The index lists, rank by rank, the places where a pair of that
+    rank begins; it is built once and read from its lowest ranks on, some thousand places at a time.
+    Of these each word takes those of its own lowest rank, until none is left: words do not touch
+    one another, so merges of many ranks are applied at once, as arrays where there are `few` places
+    or more. Only the two neighbours of a merged place are looked at again and enter the index."""
     raw = np.frombuffer(b"".join(words), np.uint8)
     if not len(raw):
         return []
     ends = np.cumsum([len(w) for w in words])
     starts = np.concatenate([[0], ends[:-1]])
     n = len(raw)
-    now = np.full(n, -1, np.int64)  # rank of the pair that begins here
+    now = np.full(n, -1, np.int32)  # rank of the pair that begins here
     now[:-1] = pairs.bytes[raw[:-1], raw[1:]]
     now[ends - 1] = -1
-    ids, after, before = pairs.single[raw].astype(np.int64), np.arange(1, n + 1), np.arange(-1, n - 1)
+    word = np.repeat(np.arange(len(words), dtype=np.int32), ends - starts)
+    ids, after, before = pairs.single[raw].astype(np.int32), np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
     after[ends - 1] = -1
     before[starts] = -1
-    one: dict[int, list[int]] = {}
-    many: dict[int, list[np.ndarray]] = {}
-    heap: list[int] = []
-
-    def enter(places: np.ndarray, found: np.ndarray) -> None:
-        order = np.argsort(found, kind="stable")
-        order = order[np.searchsorted(found[order], 0):]
-        sorted_found, sorted_places = found[order], places[order]
-        cuts = np.flatnonzero(np.diff(sorted_found, prepend=-1))
-        bounds = [*cuts.tolist(), len(order)]
-        for i, r in enumerate(sorted_found[cuts].tolist()):
-            if r not in many:
-                if r not in one:
-                    heapq.heappush(heap, r)
-                many[r] = []
-            many[r].append(sorted_places[bounds[i]:bounds[i + 1]])
-
-    def put(place: int, rank: int) -> None:
-        if rank in one:
-            one[rank].append(place)
-        else:
-            if rank not in many:
-                heapq.heappush(heap, rank)
-            one[rank] = [place]
-
-    enter(np.arange(n), now)
-    v_ids, v_now, v_after, v_before = memoryview(ids), memoryview(now), memoryview(after), memoryview(before)
     get = pairs.known.get
-    while heap:
-        rank = heapq.heappop(heap)
-        spots, blocks = one.pop(rank, []), many.pop(rank, [])
-        if len(spots) + sum(map(len, blocks)) >= few:
-            s = np.sort(np.concatenate([*blocks, np.array(spots, np.int64)]))
-            s = s[(np.diff(s, prepend=-1) > 0) & (now[s] == rank)]
-            a = after[s]
-            held = np.zeros(len(s), bool)
-            held[1:] = a[:-1] == s[1:]  # begins where the one before ends: of a run of these every second stays
-            if held.any():
-                at = np.arange(len(s))
-                stay = (at - np.maximum.accumulate(np.where(held, 0, at))) % 2 == 0
-                s, a = s[stay], a[stay]
-            k, h = after[a], before[s]
-            ids[s], ids[a], now[a], now[s], after[s] = rank, -1, -1, -1, k
-            right, left = k >= 0, h >= 0
-            before[k[right]] = s[right]
-            x, y = s[right], h[left]
-            r, q = pairs.ranks(rank * PAIR + ids[k[right]]), pairs.ranks(ids[y] * PAIR + rank)
-            now[x], now[y] = r, q
-            enter(np.concatenate([x, y]), np.concatenate([r, q]))
-            continue
-        spots.extend(x for b in blocks for x in b.tolist())
-        spots.sort()
-        for i in spots:
-            if v_now[i] != rank:
-                continue
-            j = v_after[i]
-            v_ids[i], v_ids[j], v_now[j] = rank, -1, -1
-            k = v_after[i] = v_after[j]
-            if k >= 0:
-                v_before[k] = i
-                r = v_now[i] = get(rank * PAIR + v_ids[k], -1)
-                if r >= 0:
-                    put(i, r)
-            else:
-                v_now[i] = -1
-            h = v_before[i]
-            if h >= 0:
-                r = v_now[h] = get(v_ids[h] * PAIR + rank, -1)
-                if r >= 0:
-                    put(h, r)
+
+    def merge(s: np.ndarray) -> np.ndarray:
+        """Merges the pairs that begin at `s`, which ascend; the index entries that come of it."""
+        if len(s) < few:
+            made = []
+            for i in s.tolist():
+                rank, j = int(now[i]), int(after[i])
+                if rank < 0:
+                    continue  # the second of a run
+                k, h = int(after[j]), int(before[i])
+                ids[i], ids[j], now[j], now[i], after[i] = rank, -1, -1, -1, k
+                if k >= 0:
+                    before[k] = i
+                    r = now[i] = get(rank * PAIR + int(ids[k]), -1)
+                    if r >= 0:
+                        made.append(r << 32 | i)
+                if h >= 0:
+                    r = now[h] = get(int(ids[h]) * PAIR + rank, -1)
+                    if r >= 0:
+                        made.append(r << 32 | h)
+            return np.array(made, np.int64)
+        a = after[s]
+        held = np.zeros(len(s), bool)
+        held[1:] = a[:-1] == s[1:]  # begins where the one before ends: of a run of these every second stays
+        if held.any():
+            at = np.arange(len(s))
+            stay = (at - np.maximum.accumulate(np.where(held, 0, at))) % 2 == 0
+            s, a = s[stay], a[stay]
+        rank, k, h = now[s], after[a], before[s]
+        ids[s], ids[a], now[a], now[s], after[s] = rank, -1, -1, -1, k
+        right, left = np.flatnonzero(k >= 0), np.flatnonzero(h >= 0)
+        before[k[right]] = s[right]
+        own = rank.astype(np.int64)
+        x, y = s[right], h[left]
+        places = np.concatenate([x, y])
+        found = pairs.ranks(np.concatenate([own[right] * PAIR + ids[k[right]], ids[y].astype(np.int64) * PAIR + own[left]]))
+        now[places] = found
+        stands = np.flatnonzero(found >= 0)
+        return found[stands] << 32 | places[stands]
+
+    at = np.flatnonzero(now >= 0)
+    index = np.sort(now[at].astype(np.int64) << 32 | at)  # rank and place
+    del at
+    grown = [index[:0]]
+    while len(index) or len(grown) > 1:
+        if len(grown) > 1:
+            index = np.sort(np.concatenate([index, *grown]), kind="stable")
+            grown = [index[:0]]
+        size = max(4096, len(index) >> 4)
+        bound = (int(index[size]) >> 32) + 1 << 32 if size < len(index) else 1 << 62
+        size = int(np.searchsorted(index, bound))
+        near, index = index[:size], index[size:]
+        while len(near):
+            s, rank = near & 0xFFFFFFFF, near >> 32
+            good = now[s] == rank
+            if not good.all():
+                near, s, rank = near[good], s[good], rank[good]
+            first = _firsts(word[s], rank)
+            s = np.sort(s[first])
+            made = merge(s[np.diff(s, prepend=-1) > 0])
+            grown.append(made[made >= bound])
+            near = np.sort(np.concatenate([near[~first], made[made < bound]]))
     keep = ids >= 0
-    flat, cuts = ids[keep].astype(np.int32).tobytes(), (4 * np.cumsum(np.add.reduceat(keep, starts, dtype=np.int64))).tolist()
+    flat, cuts = ids[keep].tobytes(), (4 * np.cumsum(np.add.reduceat(keep, starts, dtype=np.int64))).tolist()
     return [flat[s:e] for s, e in zip([0, *cuts], cuts, strict=False)]
 
 
@@ -258,7 +263,9 @@ class Encoder:
         words = cut.values.dictionary_encode()
         number, size = words.indices.to_numpy().astype(np.int64), len(words.dictionary)
         number[ends - np.diff(ends, prepend=0)] += size  # the first piece of a text has no space before it
-        used, number = np.unique(number, return_inverse=True)
+        met = np.zeros(2 * size, bool)
+        met[number] = True
+        used, number = np.flatnonzero(met), (np.cumsum(met) - 1)[number]
         names = words.dictionary.to_pylist()
         return self._lists(number, ends, [" " + names[i] if i < size else names[i - size] for i in used.tolist()])
 

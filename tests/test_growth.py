@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import random
+import tracemalloc
 from datetime import date, timedelta
 
+import numpy as np
+import tiktoken
 from pyspark.sql import functions as F
 
 import public_tokenizers
@@ -75,3 +79,23 @@ def test_words_are_replayed_in_bounded_groups(monkeypatch):
     assert len(sizes) > 2 and sorted(sizes)[-2] <= bpe.REPLAY_BYTES and len(got) == len(words)
     monkeypatch.setattr(bpe, "REPLAY_BYTES", 1 << 30)
     assert bpe.Encoder(ranks, public_tokenizers.PATTERN).look_up(words) == got
+
+
+def test_merges_of_many_ranks_are_replayed_at_once(monkeypatch):
+    ranks = bpe.read_ranks(public_tokenizers.path(bpe.VOCABULARY))
+    pairs, rng, calls = bpe.Pairs(ranks), random.Random(4), []
+    whole = bpe.Pairs.ranks
+    monkeypatch.setattr(bpe.Pairs, "ranks", lambda self, keys: calls.append(len(keys)) or whole(self, keys))
+    words = ["".join(rng.choice("etaoinshrdluæ") for _ in range(rng.randrange(3, 14))).encode() for _ in range(14_000)]
+    words += [bytes(rng.choice(b"abcdef") for _ in range(3_000)), b"ha" * 2_000]
+    tracemalloc.start()
+    got = bpe.replay(words, pairs)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # A step for every few thousand places, not one for every rank; tokens take little beside their bytes.
+    size = sum(map(len, words))
+    assert 100_000 < size and len(calls) < 400 and peak < 80 * size
+    for i in (0, 5, 13_999, 14_000, 14_001):
+        assert bpe.replay([words[i]], pairs, 10**9) == [got[i]]
+    own = tiktoken.Encoding("own", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={})
+    assert [np.frombuffer(b, np.int32).tolist() for b in got] == [own.encode_ordinary(w.decode()) for w in words]
