@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 import public_tokenizers
-from footfall.llm.memory import give_back
+from footfall.llm.memory import give_back, small_batches
 from footfall.llm.registry import query, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -305,6 +305,7 @@ Step = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 def _apply(df: DataFrame, schema: T.StructType, *steps: Step) -> DataFrame:
     """Steps one after the other in one Python worker."""
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for step in steps:
@@ -340,16 +341,16 @@ def _encoding(path: str, pattern: str) -> Step:
     return run
 
 
-def _joined(ids: pa.ListArray, names: pa.Array) -> tuple[memoryview, np.ndarray]:
-    """The names of all ids one after the other, and where each list ends."""
+def _joined(ids: pa.ListArray, names: pa.Array) -> tuple[pa.Buffer, np.ndarray]:
+    """The names of all ids one after the other, and where each list begins and the last ends."""
     told = names.take(ids.flatten())
     if told.null_count:
         raise ValueError("an id outside the vocabulary")
     bounds = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False), dtype=np.int64)])
     if not len(told):
-        return memoryview(b""), np.zeros(len(bounds), np.int64)
+        return pa.py_buffer(b""), np.zeros(len(bounds), np.int64)
     at = np.frombuffer(told.buffers()[1], np.int64)[told.offset:][:len(told) + 1]
-    return memoryview(told.buffers()[2]), at[bounds]
+    return told.buffers()[2], at[bounds]
 
 
 def _decoding(path: str) -> Step:
@@ -357,9 +358,11 @@ def _decoding(path: str) -> Step:
         for batch in batches:
             ids = batch.column("ids")
             told, at = _joined(ids, _tokens(path))
-            at = at.tolist()
-            out = [told[s:e] if ok else None for s, e, ok in zip(at, at[1:], ids.is_valid().to_pylist(), strict=False)]
-            yield batch.append_column("decoded", pa.array(out, pa.binary()))
+            # From buffers, not by pa.array() from memoryviews: that never lets go of what they view.
+            out = pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(at), told]).cast(pa.binary())
+            if ids.null_count:
+                out = pc.if_else(ids.is_valid(), out, None)
+            yield batch.append_column("decoded", out)
 
     return run
 
@@ -426,7 +429,7 @@ def digests(docs: DataFrame, key: str = "doc_id", vocabulary: str | None = None)
         for batch in batches:
             ids = batch.column("ids")
             told, at = _joined(ids, decimal)
-            at = at.tolist()
+            told, at = memoryview(told), at.tolist()
             shas = [hashlib.sha256(told[s:max(s, e - 1)]).hexdigest() for s, e in zip(at, at[1:], strict=False)]
             back = [hashlib.sha256(x.as_buffer()).hexdigest() for x in batch.column("decoded")]
             yield pa.RecordBatch.from_arrays(

@@ -277,6 +277,35 @@ def test_ids_equal_the_library_and_decode_back(spark):
     assert digest[0].n_tokens == 0 and digest[0].decoded_sha256 == hashlib.sha256(b"").hexdigest()
 
 
+def test_decoding_lets_go_of_what_it_decoded():
+    path = public_tokenizers.path(bpe.VOCABULARY)
+    ids = pa.RecordBatch.from_pydict({"ids": pa.array([[260, 300, 1000] * 20_000, None, [], [65]], pa.list_(pa.int32()))})
+    want = b"".join({r: t for t, r in bpe.read_ranks(path).items()}[i] for i in (260, 300, 1000)) * 20_000
+
+    def run(times):
+        for batch in bpe._decoding(path)(ids for _ in range(times)):
+            assert batch.column("decoded").to_pylist()[:3] == [want, None, b""]
+
+    run(1)
+    held = pa.total_allocated_bytes()
+    run(20)
+    assert pa.total_allocated_bytes() - held < len(want)
+
+
+def test_long_texts_go_to_python_in_small_batches(spark):
+    docs = spark.range(0, 300, 1, 1).selectExpr("id AS doc_id", "repeat('ab cd ', if(id = 7, 900000, 10000)) AS text")
+    bpe.encode(docs)
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"rows": [b.num_rows], "size": [b.nbytes]})
+
+    found = docs.mapInArrow(run, "rows long, size long").collect()
+    assert sum(r.rows for r in found) == 300
+    sizes = sorted(r.size for r in found)
+    assert len(sizes) > 3 and sizes[-2] < 3_000_000  # one holds the long text
+
+
 def test_forgetting_words_changes_nothing():
     ranks = bpe.read_ranks(public_tokenizers.path(bpe.VOCABULARY))
     texts = ["some words and more words", "and other words again", "some words and more words"] * 4
